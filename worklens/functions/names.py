@@ -53,10 +53,19 @@ def key_in(name: Column, values: Iterable[str]) -> Column:
     return name_key(name).isin([v.rstrip().lower() for v in values])
 
 
+def _quoted(literal: str) -> str:
+    """A Java regex matching ``literal`` verbatim."""
+    return "\\Q" + literal.replace("\\E", "\\E\\\\E\\Q") + "\\E"
+
+
 def left_of(text: Column, delimiter: str) -> Column:
-    """Text left of the first case-insensitive occurrence of ``delimiter``; unchanged if absent."""
-    pos = F.instr(F.lower(text), delimiter.lower())
-    return F.when(pos > 0, F.substring(text, F.lit(1), pos - 1)).otherwise(text)
+    """Text left of the first case-insensitive occurrence of ``delimiter``; unchanged if absent.
+
+    One regex replace (delimiter to end of text) references ``text`` once, so
+    nesting several cuts grows the expression linearly and keeps it in
+    whole-stage codegen.
+    """
+    return F.regexp_replace(text, F.lit("(?is)" + _quoted(delimiter) + ".*"), F.lit(""))
 
 
 def site_name(title: Column, delimiters: Sequence[str] = TITLE_DELIMITERS,

@@ -15,8 +15,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from worklens import oracle
-from worklens.operators import rollup
-from worklens.operators import reports
+from worklens.operators import access, departments, reclassify, reports, rollup
+from worklens.plans import reclassify as reclassify_job
 from worklens.session import configure
 from worklens.sources.fixtures import fixture_tables
 from worklens.sources.tables import Tables
@@ -26,6 +26,15 @@ AS_OF = _dt.datetime(2024, 6, 1)
 USAGE_AFTER = _dt.datetime(2023, 12, 31)
 DOMAIN_PREFIX = "CORP/"
 USAGE_PREVIEW_ROWS = 100
+# Viewer 0 has a usable filtering group in every fixture scale; account -1
+# has no group link at all (so every active user is visible). Dates pass
+# through the report window rule: the end (after 2020-01-01) becomes the
+# first of the month after AS_OF.
+VIEWER_WITH_GROUPS = 0
+VIEWER_WITHOUT_GROUPS = -1
+DEFAULT_VIEWER = 0
+DEPARTMENT_FROM = _dt.datetime(2024, 1, 1)
+DEPARTMENT_UNTIL = _dt.datetime(2024, 5, 1)
 MONTHLY = reports.monthly_params(
     sessions_since=_dt.datetime(2024, 1, 1),
     day_from=_dt.datetime(2024, 1, 1),
@@ -112,6 +121,83 @@ def _jobs() -> dict[str, tuple[Job, str | None]]:
     }
     jobs.update(_report_jobs("_month", MONTHLY))
     jobs.update(_report_jobs("", PERIOD))
+    jobs.update(_visibility_jobs())
+    jobs.update(_reclassify_jobs())
+    return jobs
+
+
+def _visible(t: Tables, viewer) -> DataFrame:
+    return access.visible_users(t.users, t.system_user_to_group, t.filtering_group, t.app_user_to_group,
+                                viewer, DEFAULT_VIEWER)
+
+
+def _department(t: Tables, viewer) -> DataFrame:
+    date_from, date_until = access.report_window(DEPARTMENT_FROM, DEPARTMENT_UNTIL, AS_OF)
+    return departments.department_productivity(
+        t.detail, t.daily, t.users, t.department, t.base, _visible(t, viewer), date_from, date_until
+    )
+
+
+def _visibility_jobs() -> dict[str, tuple[Job, str | None]]:
+    return {
+        "visible_users": (
+            _job(lambda t: _visible(t, VIEWER_WITH_GROUPS)),
+            oracle.visible_users(VIEWER_WITH_GROUPS, DEFAULT_VIEWER),
+        ),
+        "visible_users_unfiltered": (
+            _job(lambda t: _visible(t, VIEWER_WITHOUT_GROUPS)),
+            oracle.visible_users(VIEWER_WITHOUT_GROUPS, DEFAULT_VIEWER),
+        ),
+        "department_productivity": (
+            _job(lambda t: _department(t, VIEWER_WITHOUT_GROUPS)),
+            oracle.department_productivity(VIEWER_WITHOUT_GROUPS, DEFAULT_VIEWER, DEPARTMENT_FROM,
+                                           DEPARTMENT_UNTIL, AS_OF),
+        ),
+        "department_productivity_viewer": (
+            _job(lambda t: _department(t, VIEWER_WITH_GROUPS)),
+            oracle.department_productivity(VIEWER_WITH_GROUPS, DEFAULT_VIEWER, DEPARTMENT_FROM,
+                                           DEPARTMENT_UNTIL, AS_OF),
+        ),
+    }
+
+
+def _steps(t: Tables) -> dict[str, DataFrame]:
+    """The re-attribution steps in order, each on the previous steps' output
+    (no checkpoint: each registered step is one read-only plan)."""
+    base1 = reclassify.expire_duplicate_resources(t.base, AS_OF)
+    snapshot = reclassify.browser_activity_extract(t.activity, base1, t.detail)
+    candidates = reclassify.new_resource_candidates(snapshot, base1)
+    base2 = reclassify.register_resources(base1, candidates, AS_OF)
+    activity1 = reclassify.reassign_activity(t.activity, snapshot, base2)
+    affected = reclassify.affected_details(snapshot)
+    return {
+        "a1": base1, "a2": snapshot, "a3": candidates, "a4": base2, "a5": activity1, "a6": affected,
+        "a7": reclassify.detach_activity(activity1, affected),
+        "a8": reclassify.drop_details(t.detail, affected),
+    }
+
+
+_STEP_KEYS = {
+    "expire_duplicate_resources": "a1",
+    "browser_activity_extract": "a2",
+    "new_resource_candidates": "a3",
+    "register_resources": "a4",
+    "reassign_activity": "a5",
+    "affected_details": "a6",
+    "detach_activity": "a7",
+    "drop_details": "a8",
+}
+
+
+def _reclassify_jobs() -> dict[str, tuple[Job, str | None]]:
+    jobs: dict[str, tuple[Job, str | None]] = {
+        name: (_job(lambda t, s=step: _steps(t)[s]), oracle.reclassify_step(step, AS_OF))
+        for name, step in _STEP_KEYS.items()
+    }
+    jobs["browser_reclassify"] = (
+        _job(lambda t: reclassify_job.summary(reclassify_job.browser_reclassify(t, AS_OF), AS_OF)),
+        oracle.reclassify_summary(AS_OF),
+    )
     return jobs
 
 
