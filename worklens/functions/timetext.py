@@ -9,10 +9,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SECONDS_PER_DAY = 86400
+_EPOCH = "1970-01-01 00:00:00"
 
 
-def _two_digits(value: Column) -> Column:
-    return F.lpad(value.cast("string"), 2, "0")
+def _wall_clock(seconds: Column) -> Column:
+    """A TIMESTAMP_NTZ ``seconds`` after midnight of day 0 (no time zone involved)."""
+    return F.timestamp_add("SECOND", seconds, F.lit(_EPOCH).cast("timestamp_ntz"))
 
 
 def clock_time(seconds: Column) -> Column:
@@ -22,12 +24,7 @@ def clock_time(seconds: Column) -> Column:
     value does; callers that need the total keep the raw seconds next to it.
     NULL in, NULL out.
     """
-    s = F.pmod(seconds.cast("bigint"), F.lit(SECONDS_PER_DAY))
-    return F.concat(
-        _two_digits(F.floor(s / 3600)), F.lit(":"),
-        _two_digits(F.floor(s / 60) % 60), F.lit(":"),
-        _two_digits(s % 60),
-    )
+    return F.date_format(_wall_clock(F.pmod(seconds, F.lit(SECONDS_PER_DAY))), "HH:mm:ss")
 
 
 def duration_text(seconds: Column) -> Column:
@@ -36,11 +33,9 @@ def duration_text(seconds: Column) -> Column:
     Used where a duration is appended to a resource name in the top-resource
     columns, so long totals must not wrap.
     """
-    s = seconds.cast("bigint")
     return F.concat(
-        F.lit("["), F.floor(s / 3600).cast("string"), F.lit(":"),
-        _two_digits(F.floor(s / 60) % 60), F.lit(":"),
-        _two_digits(s % 60), F.lit("]"),
+        F.lit("["), F.floor(seconds / 3600).cast("string"), F.lit(":"),
+        F.date_format(_wall_clock(seconds), "mm:ss"), F.lit("]"),
     )
 
 

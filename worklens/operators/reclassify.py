@@ -82,16 +82,21 @@ def new_resource_candidates(snapshot: DataFrame, base: DataFrame, min_seconds: i
     """Site names whose time under one browser entry exceeds ``min_seconds``
     and that no active catalogue entry has. The threshold is per (site,
     browser) pair, so a site above it in two browsers is listed twice."""
+    # Sum per exact spelling first (hash aggregate, combined map-side), then
+    # merge spellings case-insensitively on the reduced rows.
+    per_spelling = snapshot.groupBy("new_resource_name", "resource_name").agg(
+        F.sum("active_duration").alias("seconds"), F.count(F.lit(1)).alias("rows")
+    )
     pairs = (
-        snapshot.groupBy(
+        per_spelling.groupBy(
             name_key(F.col("new_resource_name")).alias("_site"),
             name_key(F.col("resource_name")).alias("_browser"),
         )
         .agg(
             F.min("new_resource_name").alias("new_resource_name"),
             F.min("resource_name").alias("existing_resource_name"),
-            F.sum("active_duration").alias("sum_active_duration"),
-            F.count(F.lit(1)).alias("r_count"),
+            F.sum("seconds").alias("sum_active_duration"),
+            F.sum("rows").alias("r_count"),
         )
         .where(F.col("sum_active_duration") > min_seconds)
     )

@@ -225,8 +225,12 @@ def user_machines(sessions: DataFrame, params: ReportParams) -> DataFrame:
     rows = sessions.where(F.col("save_date") >= ntz(params.sessions_since))
     if params.monthly:
         rows = _with_ym(rows, "save_date")
-    per_machine = rows.groupBy(*params.keys, name_key(F.col("machine_name")).alias("machine_key")).agg(
-        F.count(F.lit(1)).alias("n"), F.min("machine_name").alias("machine_name")
+    # Count per exact spelling first (a hash aggregate over the session rows,
+    # combined map-side); the case-insensitive merge and its smallest spelling
+    # then run on one row per spelling.
+    per_spelling = rows.groupBy(*params.keys, "machine_name").agg(F.count(F.lit(1)).alias("n"))
+    per_machine = per_spelling.groupBy(*params.keys, name_key(F.col("machine_name")).alias("machine_key")).agg(
+        F.sum("n").alias("n"), F.min("machine_name").alias("machine_name")
     ).select(
         *params.keys,
         F.concat(F.col("machine_name"), F.lit("["), F.col("n").cast("string"), F.lit("]")).alias("machine_label"),
