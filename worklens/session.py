@@ -46,6 +46,9 @@ def local_session(cores: int | None = None, shuffle_partitions: int | None = Non
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or cores))
         .config("spark.driver.memory", os.environ.get("WORKLENS_DRIVER_MEMORY", "8g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # Python call-site capture costs several JVM round trips per column
+        # function while a plan is built; batch jobs do not need it.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for key, value in RUNTIME_SQL_CONF.items():
         builder = builder.config(key, value)

@@ -9,196 +9,129 @@ values (durations, NULLs, links, expiry); it never drops source rows.
 
 ``events.ts`` covers one month, so each event is shifted by 0/30/60/90 days
 to give the reports several months.
+
+The derivations are Spark SQL over the raw tables read with declared
+schemas (no schema-inference job per file), one statement per table.
 """
 
 from __future__ import annotations
 
 import os
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from worklens.sources.tables import Tables
 
-EXPIRED_AT = "2023-06-01 00:00:00"
-
-# Fixed fixture values: catalogue names given to the first six part keys, so
-# that the browser, lock-screen, blank and NULL cases occur in every scale.
-SPECIAL_RESOURCE_NAMES = {
-    0: "google chrome - chrome.exe",
-    1: "firefox - firefox.exe",
-    2: "opera internet browser - opera.exe",
-    3: "Windows LockApp.exe",
-    4: "  ",
-    5: None,
+RAW_SCHEMAS = {
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING",
+    "part": "p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_size INT, p_retailprice DOUBLE",
+    "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, c_mktsegment STRING",
+    "supplier": "s_suppkey BIGINT, s_name STRING, s_nationkey INT, s_acctbal DOUBLE",
+    "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
+    "region": "r_regionkey INT, r_name STRING",
+    "pages": "page_id BIGINT, url STRING, html STRING",
 }
 
+EXPIRED = "TIMESTAMP_NTZ '2023-06-01 00:00:00'"
 
-def _ntz(text: str) -> Column:
-    return F.lit(text).cast("timestamp_ntz")
-
-
-def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
-
-
-def _expired_when(cond: Column) -> Column:
-    return F.when(cond, _ntz(EXPIRED_AT)).otherwise(F.lit(None).cast("timestamp_ntz"))
+# Fixed fixture values: catalogue names given to the first six part keys, so
+# that the browser, lock-screen, blank and NULL cases occur at every scale.
+FIXTURE_SQL = {
+    "ev": """
+SELECT event_id, user_id, value, timestampadd(DAY, (event_id % 4) * 30, ts) AS ts2,
+       CAST(floor(value * 10) AS INT) + CASE WHEN user_id % 10 = 0 THEN 20000 ELSE 0 END AS dur
+FROM {events}""",
+    "productivity_base": f"""
+SELECT p_partkey AS id,
+       CASE p_partkey WHEN 0 THEN 'google chrome - chrome.exe' WHEN 1 THEN 'firefox - firefox.exe'
+            WHEN 2 THEN 'opera internet browser - opera.exe' WHEN 3 THEN 'Windows LockApp.exe'
+            WHEN 4 THEN '  ' WHEN 5 THEN NULL ELSE p_name END AS resource_name,
+       CASE WHEN p_partkey % 11 = 6 THEN {EXPIRED} END AS expired_on,
+       CASE WHEN p_partkey % 4 = 3 THEN NULL WHEN p_partkey % 4 = 2 THEN 0 ELSE 1 END AS browser_related,
+       CAST(NULL AS INT) AS application_or_website,
+       CAST(NULL AS TIMESTAMP_NTZ) AS created_on, CAST(NULL AS TIMESTAMP_NTZ) AS saved_on
+FROM {{part}}""",
+    "user_productivity_daily_detail": """
+SELECT event_id AS oid, CAST(CAST(ts2 AS DATE) AS TIMESTAMP_NTZ) AS date, hour(ts2) AS hour_from,
+       ts2 AS activity_start, timestampadd(SECOND, dur, ts2) AS activity_end, dur AS daily_duration,
+       CAST(CASE WHEN event_id % 5 = 4 THEN NULL ELSE event_id % 5 END AS INT) AS adjusted_productivity_type,
+       user_id AS system_user, event_id % 60 AS productivity_base,
+       CAST(user_id * 100000000 + year(ts2) * 10000 + month(ts2) * 100 + day(ts2) AS BIGINT)
+           AS user_productivity_daily
+FROM {ev}""",
+    "user_productivity_daily": """
+SELECT DISTINCT user_productivity_daily AS oid, date FROM {detail}""",
+    "user_activity": """
+SELECT e.event_id AS id, e.ts2 AS first_captured_on,
+       CASE e.event_id % 7 WHEN 0 THEN p.url
+            WHEN 1 THEN 'Report ' || CAST(e.event_id % 37 AS STRING) || '.pdf - viewer'
+            WHEN 2 THEN 'page' || CAST(e.event_id % 23 AS STRING) || '.html'
+            WHEN 3 THEN 'Default' || CAST(e.event_id % 5 AS STRING) || '.aspx?q=1'
+            WHEN 4 THEN 'portal./Search?q=' || CAST(e.event_id AS STRING)
+            WHEN 5 THEN '   ' END AS description,
+       p.url AS url, CAST(floor(e.value * 10 / 3) AS INT) AS active_duration,
+       (e.event_id * 7) % 60 AS productivity_base,
+       CASE WHEN e.event_id % 10 = 9 OR e.event_id % 50 = 3 THEN CAST(NULL AS BIGINT)
+            ELSE e.event_id - e.event_id % 3 END AS user_productivity_daily_detail,
+       CASE WHEN e.event_id % 2 = 0 THEN 4 ELSE 8 END AS object_type,
+       CASE WHEN e.event_id % 20 = 9 THEN 1 ELSE 0 END AS inactivity_set
+FROM {ev} e LEFT JOIN {pages} p ON p.page_id = e.event_id % 50""",
+    "system_user": f"""
+SELECT c_custkey AS oid, 'CORP/' || c_name AS name,
+       CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE 'F ' || c_name END AS friendly_name,
+       c_mktsegment AS comment,
+       CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE CAST(c_nationkey AS BIGINT) END AS working_department,
+       CASE WHEN c_custkey % 13 = 12 THEN {EXPIRED} END AS expired_on
+FROM {{customer}}""",
+    "department": """
+SELECT CAST(n_nationkey AS BIGINT) AS oid, n_name AS name FROM {nation}""",
+    "user_session": """
+SELECT user_id AS system_user,
+       CASE WHEN event_id % 29 = 28 THEN NULL ELSE 'PC-' || CAST(event_id % 5 AS STRING) END AS machine_name,
+       ts2 AS save_date
+FROM {ev}""",
+    "filtering_group": f"""
+SELECT CAST(r_regionkey AS BIGINT) AS id, r_regionkey % 2 AS user_inclusion_type,
+       CASE WHEN r_regionkey = 4 THEN {EXPIRED} END AS expired_on
+FROM {{region}}""",
+    "system_user_to_group": f"""
+SELECT c_custkey AS system_user, CAST(c_nationkey % 5 AS BIGINT) AS filtering_group,
+       CASE WHEN c_custkey % 17 = 16 THEN {EXPIRED} END AS expired_on
+FROM {{customer}}
+UNION ALL
+SELECT c_custkey, CAST((c_nationkey + 2) % 5 AS BIGINT), CAST(NULL AS TIMESTAMP_NTZ)
+FROM {{customer}} WHERE c_custkey % 3 = 0""",
+    "app_user_to_group": f"""
+SELECT s_suppkey AS app_user, CAST(s_nationkey % 5 AS BIGINT) AS filtering_group,
+       CASE WHEN s_suppkey % 9 = 8 THEN {EXPIRED} END AS expired_on
+FROM {{supplier}}
+UNION ALL
+SELECT s_suppkey, CAST((s_nationkey + 2) % 5 AS BIGINT), CAST(NULL AS TIMESTAMP_NTZ)
+FROM {{supplier}} WHERE s_suppkey % 2 = 0""",
+}
 
 
-def shifted_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = _read(spark, sf_dir, "events")
-    return ev.select(
-        "event_id",
-        "user_id",
-        "value",
-        F.timestamp_add("DAY", (F.col("event_id") % 4) * 30, F.col("ts")).alias("ts2"),
-        (
-            F.floor(F.col("value") * 10).cast("int")
-            + F.when(F.col("user_id") % 10 == 0, F.lit(20000)).otherwise(F.lit(0))
-        ).alias("dur"),
-    )
+def raw_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.schema(RAW_SCHEMAS[name]).parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
 def fixture_tables(spark: SparkSession, sf_dir: str) -> Tables:
-    ev = shifted_events(spark, sf_dir)
-    eid = F.col("event_id")
-
-    name = F.col("p_name")
-    for key in sorted(SPECIAL_RESOURCE_NAMES, reverse=True):
-        name = F.when(F.col("p_partkey") == key, F.lit(SPECIAL_RESOURCE_NAMES[key]).cast("string")).otherwise(name)
-    productivity_base = _read(spark, sf_dir, "part").select(
-        F.col("p_partkey").alias("id"),
-        name.alias("resource_name"),
-        _expired_when(F.col("p_partkey") % 11 == 6).alias("expired_on"),
-        F.when(F.col("p_partkey") % 4 == 3, F.lit(None).cast("int"))
-        .when(F.col("p_partkey") % 4 == 2, F.lit(0))
-        .otherwise(F.lit(1))
-        .alias("browser_related"),
-        F.lit(None).cast("int").alias("application_or_website"),
-        F.lit(None).cast("timestamp_ntz").alias("created_on"),
-        F.lit(None).cast("timestamp_ntz").alias("saved_on"),
-    )
+    raw = {name: raw_table(spark, sf_dir, name) for name in RAW_SCHEMAS}
+    ev = spark.sql(FIXTURE_SQL["ev"], events=raw["events"])
+    detail = spark.sql(FIXTURE_SQL["user_productivity_daily_detail"], ev=ev)
 
-    day = F.col("ts2").cast("date")
-    detail = ev.select(
-        eid.alias("oid"),
-        day.cast("timestamp_ntz").alias("date"),
-        F.hour("ts2").cast("int").alias("hour_from"),
-        F.col("ts2").alias("activity_start"),
-        F.timestamp_add("SECOND", F.col("dur"), F.col("ts2")).alias("activity_end"),
-        F.col("dur").alias("daily_duration"),
-        F.when(eid % 5 == 4, F.lit(None)).otherwise(eid % 5).cast("int").alias("adjusted_productivity_type"),
-        F.col("user_id").alias("system_user"),
-        (eid % 60).alias("productivity_base"),
-        (
-            F.col("user_id") * 100000000
-            + F.year(day) * 10000
-            + F.month(day) * 100
-            + F.dayofmonth(day)
-        ).cast("bigint").alias("user_productivity_daily"),
-    )
-
-    daily = detail.select(F.col("user_productivity_daily").alias("oid"), "date").distinct()
-
-    pages = _read(spark, sf_dir, "pages").select("page_id", "url")
-    mod7 = eid % 7
-    description = (
-        F.when(mod7 == 0, F.col("url"))
-        .when(mod7 == 1, F.concat(F.lit("Report "), (eid % 37).cast("string"), F.lit(".pdf - viewer")))
-        .when(mod7 == 2, F.concat(F.lit("page"), (eid % 23).cast("string"), F.lit(".html")))
-        .when(mod7 == 3, F.concat(F.lit("Default"), (eid % 5).cast("string"), F.lit(".aspx?q=1")))
-        .when(mod7 == 4, F.concat(F.lit("portal./Search?q="), eid.cast("string")))
-        .when(mod7 == 5, F.lit("   "))
-    )
-    activity = (
-        ev.join(pages, (eid % 50) == F.col("page_id"), "left")
-        .select(
-            eid.alias("id"),
-            F.col("ts2").alias("first_captured_on"),
-            description.alias("description"),
-            F.col("url"),
-            F.floor(F.col("value") * 10 / 3).cast("int").alias("active_duration"),
-            ((eid * 7) % 60).alias("productivity_base"),
-            F.when((eid % 10 == 9) | (eid % 50 == 3), F.lit(None).cast("bigint"))
-            .otherwise(eid - eid % 3)
-            .alias("user_productivity_daily_detail"),
-            F.when(eid % 2 == 0, F.lit(4)).otherwise(F.lit(8)).alias("object_type"),
-            F.when(eid % 20 == 9, F.lit(1)).otherwise(F.lit(0)).alias("inactivity_set"),
-        )
-    )
-
-    customer = _read(spark, sf_dir, "customer")
-    ck = F.col("c_custkey")
-    system_user = customer.select(
-        ck.alias("oid"),
-        F.concat(F.lit("CORP/"), F.col("c_name")).alias("name"),
-        F.when(ck % 3 == 0, F.lit(None).cast("string"))
-        .otherwise(F.concat(F.lit("F "), F.col("c_name")))
-        .alias("friendly_name"),
-        F.col("c_mktsegment").alias("comment"),
-        F.when(ck % 7 == 0, F.lit(None).cast("bigint"))
-        .otherwise(F.col("c_nationkey").cast("bigint"))
-        .alias("working_department"),
-        _expired_when(ck % 13 == 12).alias("expired_on"),
-    )
-
-    department = _read(spark, sf_dir, "nation").select(
-        F.col("n_nationkey").cast("bigint").alias("oid"), F.col("n_name").alias("name")
-    )
-
-    user_session = ev.select(
-        F.col("user_id").alias("system_user"),
-        F.when(eid % 29 == 28, F.lit(None).cast("string"))
-        .otherwise(F.concat(F.lit("PC-"), (eid % 5).cast("string")))
-        .alias("machine_name"),
-        F.col("ts2").alias("save_date"),
-    )
-
-    region = _read(spark, sf_dir, "region")
-    rk = F.col("r_regionkey")
-    filtering_group = region.select(
-        rk.cast("bigint").alias("id"),
-        (rk % 2).cast("int").alias("user_inclusion_type"),
-        _expired_when(rk == 4).alias("expired_on"),
-    )
-
-    nk = F.col("c_nationkey")
-    system_user_to_group = customer.select(
-        ck.alias("system_user"),
-        (nk % 5).cast("bigint").alias("filtering_group"),
-        _expired_when(ck % 17 == 16).alias("expired_on"),
-    ).unionByName(
-        customer.where(ck % 3 == 0).select(
-            ck.alias("system_user"),
-            ((nk + 2) % 5).cast("bigint").alias("filtering_group"),
-            F.lit(None).cast("timestamp_ntz").alias("expired_on"),
-        )
-    )
-
-    supplier = _read(spark, sf_dir, "supplier")
-    sk, snk = F.col("s_suppkey"), F.col("s_nationkey")
-    app_user_to_group = supplier.select(
-        sk.alias("app_user"),
-        (snk % 5).cast("bigint").alias("filtering_group"),
-        _expired_when(sk % 9 == 8).alias("expired_on"),
-    ).unionByName(
-        supplier.where(sk % 2 == 0).select(
-            sk.alias("app_user"),
-            ((snk + 2) % 5).cast("bigint").alias("filtering_group"),
-            F.lit(None).cast("timestamp_ntz").alias("expired_on"),
-        )
-    )
+    def derive(name: str, **frames: DataFrame) -> DataFrame:
+        return spark.sql(FIXTURE_SQL[name], **frames)
 
     return Tables(
-        user_activity=activity,
-        productivity_base=productivity_base,
+        user_activity=derive("user_activity", ev=ev, pages=raw["pages"]),
+        productivity_base=derive("productivity_base", part=raw["part"]),
         user_productivity_daily_detail=detail,
-        user_productivity_daily=daily,
-        system_user=system_user,
-        department=department,
-        user_session=user_session,
-        filtering_group=filtering_group,
-        system_user_to_group=system_user_to_group,
-        app_user_to_group=app_user_to_group,
+        user_productivity_daily=derive("user_productivity_daily", detail=detail),
+        system_user=derive("system_user", customer=raw["customer"]),
+        department=derive("department", nation=raw["nation"]),
+        user_session=derive("user_session", ev=ev),
+        filtering_group=derive("filtering_group", region=raw["region"]),
+        system_user_to_group=derive("system_user_to_group", customer=raw["customer"]),
+        app_user_to_group=derive("app_user_to_group", supplier=raw["supplier"]),
     )
