@@ -293,6 +293,8 @@ def top_resources_pivot(top: DataFrame, base: DataFrame, params: ReportParams) -
         F.concat(F.col("resource_name"), F.col("work_duration_time")).alias("work_activity_with_time"),
     )
     ranks = list(range(1, params.top_k + 1))
+    if not ranks:
+        return labelled.select(*params.keys).distinct()
     pivoted = labelled.groupBy(*params.keys).pivot("rn_work_hours", ranks).agg(F.max("work_activity_with_time"))
     return pivoted.select(*params.keys, *[F.col(str(k)).alias(f"t{k}") for k in ranks])
 
