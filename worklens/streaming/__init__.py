@@ -1 +1,9 @@
-"""worklens."""
+"""Streaming jobs: none.
+
+Every job of the original analytics is a batch job over tables (no watermark,
+window, session or state construct exists in it), so this package holds no
+operators. An incremental mode was only wished for in comments of the
+browser re-attribution job; it is not built. The batch jobs are written as
+pure DataFrame functions, so a ``foreachBatch`` sink could call them on new
+activity once such a mode is specified.
+"""
