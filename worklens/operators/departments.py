@@ -29,9 +29,10 @@ def department_productivity(detail: DataFrame, daily: DataFrame, users: DataFram
     The label has no fallback: other or NULL types get a NULL label and count
     in the total only. Names group case-insensitively, so homonyms merge.
 
-    Plan: the day filter reaches the parent-day scan, parent days and visible
-    users are semi-joins on keys, and detail rows are summed per (user,
-    resource, type) before the dimension joins, which then see aggregated rows.
+    Plan: the day filter reaches the parent-day scan; visible users and
+    parent days are semi-joins on keys; detail rows are summed per parent
+    day before the parent-day join and per (user, resource, type) before the
+    dimension joins, which then see aggregated rows.
     """
     in_window = daily.where(F.col("date").between(ntz(date_from), ntz(date_until))).select(
         F.col("oid").alias("user_productivity_daily")
@@ -42,16 +43,24 @@ def department_productivity(detail: DataFrame, daily: DataFrame, users: DataFram
     def typed(code: int) -> Column:
         return F.sum(F.when(ptype == code, duration).otherwise(F.lit(0)))
 
-    per_user_resource = (
-        detail.join(in_window, "user_productivity_daily", "left_semi")
-        .join(visible.select("system_user"), "system_user", "left_semi")
-        .groupBy("system_user", "productivity_base", "adjusted_productivity_type")
+    sums = ["sum_undefined", "sum_productive", "sum_distracting", "sum_neutral", "sum_daily"]
+    # Sum detail rows per parent day first (the hour buckets of one day
+    # collapse, combined map-side), so the parent-day semi-join shuffles
+    # aggregated rows, not raw detail rows.
+    per_parent_day = (
+        detail.join(visible.select("system_user"), "system_user", "left_semi")
+        .groupBy("user_productivity_daily", "system_user", "productivity_base", "adjusted_productivity_type")
         .agg(
             typed(0).alias("sum_undefined"), typed(1).alias("sum_productive"),
             typed(2).alias("sum_distracting"), typed(3).alias("sum_neutral"),
             F.sum(duration).alias("sum_daily"),
         )
     )
+    per_user_resource = (
+        per_parent_day.join(in_window, "user_productivity_daily", "left_semi")
+        .groupBy("system_user", "productivity_base", "adjusted_productivity_type")
+        .agg(*[F.sum(c).alias(c) for c in sums])
+    )
     accounts = users.select(
         F.col("oid").alias("system_user"), F.col("name").alias("username"),
         F.col("comment").alias("position"), "working_department",
@@ -64,7 +73,6 @@ def department_productivity(detail: DataFrame, daily: DataFrame, users: DataFram
         .join(resources, "productivity_base")
         .withColumn("adjusted_productivity_type", type_label(ptype))
     )
-    sums = ["sum_undefined", "sum_productive", "sum_distracting", "sum_neutral", "sum_daily"]
     names = ["department_name", "username", "position", "resource_name"]
     return joined.groupBy(
         *[name_key(F.col(n)).alias(f"_{n}") for n in names], "adjusted_productivity_type"

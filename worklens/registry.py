@@ -10,6 +10,7 @@ so the whole fixture range is in scope.
 from __future__ import annotations
 
 import datetime as _dt
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,9 +50,19 @@ PERIOD = reports.period_params(
 Job = Callable[[SparkSession, str], DataFrame]
 
 
+@functools.lru_cache(maxsize=8)
+def _tables(spark: SparkSession, sf_dir: str) -> Tables:
+    """The fixture tables of one session and directory, opened once.
+
+    Only the (lazy, immutable) DataFrame plans are kept; every job still reads
+    the parquet files when it runs.
+    """
+    return fixture_tables(configure(spark), sf_dir)
+
+
 def _job(build: Callable[[Tables], DataFrame]) -> Job:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return build(fixture_tables(configure(spark), sf_dir))
+        return build(_tables(spark, sf_dir))
     run.__doc__ = build.__doc__
     return run
 
