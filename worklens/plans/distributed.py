@@ -9,6 +9,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +18,23 @@ from worklens.session import ensure_checkpoint_dir
 NULL_KEY_SPREAD = 256
 
 
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` to the session's reliable checkpoint folder and
+    return a DataFrame that reads it back.
+
+    The rows are persisted for the duration of the checkpoint, so they are
+    computed once: a reliable checkpoint of an unpersisted plan computes it a
+    second time to write the files. The checkpoint survives executor loss
+    (unlike a local checkpoint or a cache).
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    held = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return held.checkpoint(eager=True)
+    finally:
+        held.unpersist()
+
+
 def left_join_spreading_nulls(left: DataFrame, right: DataFrame, key: str, spread_by: list[str],
                               spread: int = NULL_KEY_SPREAD) -> DataFrame:
     """``left.join(right, key, 'left')`` where a NULL ``key`` is a hot value.
@@ -45,12 +63,10 @@ def global_ordinal(df: DataFrame, order: list[Column], name: str = "ordinal") ->
     partition's start offset is a running sum over one row per partition -
     a table bounded by the partition count, broadcast back to the rows.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    tagged = (
+    tagged = cut_lineage(
         df.orderBy(*order)
         .withColumn("_part", F.spark_partition_id())
         .withColumn("_seq", F.monotonically_increasing_id())
-        .checkpoint(eager=True)
     )
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from worklens.functions import BROWSER_RESOURCE_NAMES, ntz
 from worklens.operators import reclassify as step
-from worklens.session import ensure_checkpoint_dir
+from worklens.plans.distributed import cut_lineage
 from worklens.sources.tables import Tables, write_version
 
 
@@ -36,8 +36,7 @@ def browser_reclassify(tables: Tables, as_of: _dt.datetime,
     base1 = step.expire_duplicate_resources(tables.base, as_of)
     snapshot = step.browser_activity_extract(tables.activity, base1, tables.detail, browsers)
     if checkpoint:
-        ensure_checkpoint_dir(snapshot.sparkSession)
-        snapshot = snapshot.checkpoint(eager=True)
+        snapshot = cut_lineage(snapshot)
     candidates = step.new_resource_candidates(snapshot, base1, min_seconds)
     base2 = step.register_resources(base1, candidates, as_of)
     affected = step.affected_details(snapshot)
@@ -58,23 +57,26 @@ def publish(result: Reclassified, root: str, version: str) -> str:
 
 
 def summary(result: Reclassified, as_of: _dt.datetime) -> DataFrame:
-    """(metric, value) rows describing the next version; each metric is its
-    own global aggregate, stacked with a union (no cross join)."""
+    """(metric, value) rows describing the next version.
+
+    One global aggregate per table (conditional counts side by side), each
+    unpivoted to rows and stacked with a union: every table's plan runs once,
+    and no cross join is needed.
+    """
     t = result.tables
     now = ntz(as_of)
-    metrics = [
-        ("catalogue_rows", t.base, None),
-        ("catalogue_added", t.base, F.col("created_on") == now),
-        ("catalogue_expired_now", t.base, F.col("expired_on") == now),
-        ("activity_rows", t.activity, None),
-        ("activity_unlinked", t.activity, F.col("user_productivity_daily_detail").isNull()),
-        ("detail_rows", t.detail, None),
+
+    def counts(frame: DataFrame, metrics: dict[str, object]) -> DataFrame:
+        cols = [F.count(F.lit(1)).alias(name) if cond is None
+                else F.count_if(cond).alias(name) for name, cond in metrics.items()]
+        return frame.agg(*cols).unpivot([], list(metrics), "metric", "value")
+
+    parts = [
+        counts(t.base, {"catalogue_rows": None,
+                        "catalogue_added": F.col("created_on") == now,
+                        "catalogue_expired_now": F.col("expired_on") == now}),
+        counts(t.activity, {"activity_rows": None,
+                            "activity_unlinked": F.col("user_productivity_daily_detail").isNull()}),
+        counts(t.detail, {"detail_rows": None}),
     ]
-    parts = []
-    for name, frame, cond in metrics:
-        rows = frame if cond is None else frame.where(cond)
-        parts.append(rows.agg(F.count(F.lit(1)).alias("value")).select(F.lit(name).alias("metric"), "value"))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
