@@ -152,3 +152,13 @@ def test_tables_round_trip(spark, fixture_tables):
     back = read_tables(spark, os.path.join(root, "v0"))
     assert back.detail.count() == fixture_tables.detail.count()
     assert back.base.schema == fixture_tables.base.schema
+
+
+def test_broadcast_if_small_checks_the_size(spark):
+    from worklens.plans.distributed import broadcast_if_small
+
+    big = spark.range(0, 1000)
+    small = spark.range(0, 10).withColumnRenamed("id", "k")
+    joined = big.join(broadcast_if_small(small, max_rows=10), big.id == small.k)
+    assert "BroadcastHashJoin" in joined._jdf.queryExecution().executedPlan().toString()
+    assert broadcast_if_small(small, max_rows=9) is small

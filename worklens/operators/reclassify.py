@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from worklens.functions import BROWSER_RESOURCE_NAMES, is_blank, key_in, name_key, ntz, site_name
-from worklens.plans.distributed import global_ordinal, left_join_spreading_nulls
+from worklens.plans.distributed import broadcast_if_small, global_ordinal, left_join_spreading_nulls
 
 # Fixed value: seconds of browser time a (site, browser) pair needs before the
 # site becomes a catalogue entry.
@@ -57,13 +57,15 @@ def browser_activity_extract(activity: DataFrame, base: DataFrame, detail: DataF
     included) and a non-blank title, with the site name cut from the title.
 
     ``upd_oid`` is the linked roll-up row if it exists, else NULL. The browser
-    entries are a handful of catalogue ids, so the activity side is filtered
-    by a semi-join before anything shuffles; activity without a link skips
-    the roll-up lookup by salting its NULL key.
+    entries are a handful of catalogue ids, broadcast after a size check, so
+    activity is filtered before anything shuffles; activity without a link
+    has its NULL key salted for the roll-up lookup.
     """
-    browser_ids = base.where(key_in(F.col("resource_name"), browsers)).select(
+    # A handful of ids holding a large share of all activity: broadcast them
+    # (size-checked), so no shuffle ever groups activity by these few keys.
+    browser_ids = broadcast_if_small(base.where(key_in(F.col("resource_name"), browsers)).select(
         F.col("id").alias("productivity_base"), "resource_name"
-    )
+    ))
     rows = activity.where(
         (F.col("active_duration") > 0) & ~is_blank(F.coalesce(F.col("description"), F.lit("")))
     ).join(browser_ids, "productivity_base")

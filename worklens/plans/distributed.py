@@ -16,6 +16,23 @@ from pyspark.sql import functions as F
 from worklens.session import ensure_checkpoint_dir
 
 NULL_KEY_SPREAD = 256
+# Largest row count a dimension side may have to be broadcast by
+# :func:`broadcast_if_small` (rows here are a key and a short name).
+BROADCAST_MAX_ROWS = 100_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """``broadcast(df)`` when it has at most ``max_rows`` rows, else ``df``.
+
+    The bound is checked with a ``limit(max_rows + 1)`` count (a small job that
+    stops early), so a broadcast never ships data of unchecked size; above the
+    bound the join stays a shuffle join that AQE may still re-plan from
+    measured sizes. Use it where the join keys are few and hot, so a shuffle
+    join would send whole key groups to single tasks.
+    """
+    if df.limit(max_rows + 1).count() <= max_rows:
+        return F.broadcast(df)
+    return df
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
