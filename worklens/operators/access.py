@@ -65,15 +65,18 @@ def visible_users(users: DataFrame, user_groups: DataFrame, groups: DataFrame, v
 
     The existence test uses ``viewer`` or, when it is NULL, ``default_viewer``;
     the member list uses ``viewer`` itself, so a NULL viewer whose default has
-    groups sees nobody. Both branches are one plan gated by an uncorrelated
-    EXISTS subquery (evaluated once, no driver round trip, no cross join).
+    groups sees nobody. One plan: active users left-joined to the viewer's
+    members, kept when they are members or when no usable membership exists.
+    The existence test is an uncorrelated EXISTS, evaluated once as a scalar
+    subquery (no driver round trip, no cross join).
     """
     evaluated = default_viewer if viewer is None else viewer
-    has_groups = usable_memberships(user_groups, groups, viewer_groups, evaluated).exists()
-    members = usable_memberships(user_groups, groups, viewer_groups, viewer).select(
-        F.col("system_user").alias("oid")
+    tested = usable_memberships(user_groups, groups, viewer_groups, evaluated)
+    listed = tested if viewer is not None else usable_memberships(user_groups, groups, viewer_groups, None)
+    members = listed.select(F.col("system_user").alias("oid")).distinct().withColumn("_member", F.lit(True))
+    return (
+        users.where(F.col("expired_on").isNull()).select("oid")
+        .join(members, "oid", "left")
+        .where(F.coalesce(F.col("_member"), F.lit(False)) | ~tested.exists())
+        .select(F.col("oid").alias("system_user"))
     )
-    active = users.where(F.col("expired_on").isNull()).select("oid")
-    in_groups = active.join(members, "oid", "left_semi").where(has_groups)
-    everyone = active.where(~has_groups)
-    return in_groups.unionByName(everyone).select(F.col("oid").alias("system_user"))
