@@ -172,20 +172,48 @@ def _visibility_jobs() -> dict[str, tuple[Job, str | None]]:
     }
 
 
-def _steps(t: Tables) -> dict[str, DataFrame]:
-    """The re-attribution steps in order, each on the previous steps' output
-    (no checkpoint: each registered step is one read-only plan)."""
-    base1 = reclassify.expire_duplicate_resources(t.base, AS_OF)
-    snapshot = reclassify.browser_activity_extract(t.activity, base1, t.detail)
-    candidates = reclassify.new_resource_candidates(snapshot, base1)
-    base2 = reclassify.register_resources(base1, candidates, AS_OF)
-    activity1 = reclassify.reassign_activity(t.activity, snapshot, base2)
-    affected = reclassify.affected_details(snapshot)
-    return {
-        "a1": base1, "a2": snapshot, "a3": candidates, "a4": base2, "a5": activity1, "a6": affected,
-        "a7": reclassify.detach_activity(activity1, affected),
-        "a8": reclassify.drop_details(t.detail, affected),
-    }
+class _Steps:
+    """The re-attribution steps in order, each on the previous steps' output.
+
+    Built lazily, so a registered step constructs only the steps it depends
+    on (no checkpoint: each registered step is one read-only plan, apart from
+    the id numbering of ``a4``).
+    """
+
+    def __init__(self, t: Tables):
+        self.t = t
+
+    @functools.cached_property
+    def a1(self) -> DataFrame:
+        return reclassify.expire_duplicate_resources(self.t.base, AS_OF)
+
+    @functools.cached_property
+    def a2(self) -> DataFrame:
+        return reclassify.browser_activity_extract(self.t.activity, self.a1, self.t.detail)
+
+    @functools.cached_property
+    def a3(self) -> DataFrame:
+        return reclassify.new_resource_candidates(self.a2, self.a1)
+
+    @functools.cached_property
+    def a4(self) -> DataFrame:
+        return reclassify.register_resources(self.a1, self.a3, AS_OF)
+
+    @functools.cached_property
+    def a5(self) -> DataFrame:
+        return reclassify.reassign_activity(self.t.activity, self.a2, self.a4)
+
+    @functools.cached_property
+    def a6(self) -> DataFrame:
+        return reclassify.affected_details(self.a2)
+
+    @functools.cached_property
+    def a7(self) -> DataFrame:
+        return reclassify.detach_activity(self.a5, self.a6)
+
+    @functools.cached_property
+    def a8(self) -> DataFrame:
+        return reclassify.drop_details(self.t.detail, self.a6)
 
 
 _STEP_KEYS = {
@@ -202,7 +230,7 @@ _STEP_KEYS = {
 
 def _reclassify_jobs() -> dict[str, tuple[Job, str | None]]:
     jobs: dict[str, tuple[Job, str | None]] = {
-        name: (_job(lambda t, s=step: _steps(t)[s]), oracle.reclassify_step(step, AS_OF))
+        name: (_job(lambda t, s=step: getattr(_Steps(t), s)), oracle.reclassify_step(step, AS_OF))
         for name, step in _STEP_KEYS.items()
     }
     jobs["browser_reclassify"] = (
