@@ -153,7 +153,7 @@ def test_tables_round_trip(spark, fixture_tables):
     assert sorted(os.listdir(os.path.join(root, "v0", "user_productivity_daily_detail")))[-1].startswith("date=")
     for name, frame in fixture_tables.as_dict().items():
         copy = back.as_dict()[name]
-        assert copy.schema == frame.schema, name
+        assert [(f.name, f.dataType) for f in copy.schema] == [(f.name, f.dataType) for f in frame.schema], name
         assert copy.exceptAll(frame).count() == 0 and frame.exceptAll(copy).count() == 0, name
 
 
