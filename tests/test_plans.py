@@ -79,3 +79,14 @@ def test_department_window_pushed_to_parent_day_scan(tables):
 def test_usage_filter_pushed(tables):
     text = plan(reports.resource_hour_usage(tables.detail, tables.base, tables.users, ts(2024, 2, 1), "CORP/"))
     assert re.search(r"PartitionFilters: \[.*\(date#\d+ > ", scans(text, "user_productivity_daily_detail")[0])
+
+
+def test_monthly_report_bounds_the_resource_scan_to_report_months(tables):
+    p = reports.monthly_params(sessions_since=ts(2024, 1, 1), day_from=ts(2024, 2, 10), day_until=ts(2024, 3, 5))
+    text = plan(reports.user_report(tables.detail, tables.base, tables.users, tables.department,
+                                    tables.user_session, p))
+    detail_scans = scans(text, "user_productivity_daily_detail")
+    assert len(detail_scans) == 2
+    # both scans prune day partitions: the day window, and whole months Feb..Mar for top resources
+    assert all("PartitionFilters: [isnotnull(date" in line for line in detail_scans)
+    assert any("2024-04-01" in line for line in detail_scans)

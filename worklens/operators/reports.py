@@ -16,6 +16,7 @@ import datetime as _dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from worklens.functions.calendar import first_of_month
 from worklens.functions import (
     clock_time,
     duration_text,
@@ -181,10 +182,26 @@ def resource_hour_usage(detail: DataFrame, base: DataFrame, users: DataFrame,
 # --------------------------------------------------------------------------- #
 
 
-def user_resource_time(detail: DataFrame, base: DataFrame, params: ReportParams) -> DataFrame:
+def _in_months(rows: DataFrame, column: str, months: tuple[_dt.datetime, _dt.datetime] | None) -> DataFrame:
+    if months is None:
+        return rows
+    return rows.where((F.col(column) >= ntz(months[0])) & (F.col(column) < ntz(months[1])))
+
+
+def report_months(params: ReportParams) -> tuple[_dt.datetime, _dt.datetime] | None:
+    """For the monthly report: ``[first of day_from's month, first of the
+    month after day_until)``, the only months whose rows can reach the report."""
+    if not params.monthly:
+        return None
+    return first_of_month(params.day_from), first_of_month(params.day_until, months_ahead=1)
+
+
+def user_resource_time(detail: DataFrame, base: DataFrame, params: ReportParams,
+                       months: tuple[_dt.datetime, _dt.datetime] | None = None) -> DataFrame:
     """Per user x resource (x month): time inside work hours on the top-resource
-    weekdays, and all time. No date bound (as in the original report)."""
-    rows = reportable_detail(detail, base)
+    weekdays, and all time. No date bound (as in the original report) unless
+    ``months`` restricts it to whole months ``[start, end)``."""
+    rows = _in_months(reportable_detail(detail, base), "date", months)
     if params.monthly:
         rows = _with_ym(rows, "date")
     work = in_work_hours(F.col("date"), F.col("hour_from"), params.work_hours, params.top_weekdays)
@@ -215,14 +232,16 @@ def top_resources(resource_time: DataFrame, params: ReportParams) -> DataFrame:
     )
 
 
-def user_machines(sessions: DataFrame, params: ReportParams) -> DataFrame:
+def user_machines(sessions: DataFrame, params: ReportParams,
+                  months: tuple[_dt.datetime, _dt.datetime] | None = None) -> DataFrame:
     """Per user (x month): number of distinct machines and the list
-    ``name[sessions]; ...`` in name order. Sessions from ``sessions_since``.
+    ``name[sessions]; ...`` in name order. Sessions from ``sessions_since``
+    (and within whole ``months`` when given).
 
     A NULL machine counts in ``computers_count`` but is left out of the list;
     a user with only NULL machines gets a NULL list.
     """
-    rows = sessions.where(F.col("save_date") >= ntz(params.sessions_since))
+    rows = _in_months(sessions.where(F.col("save_date") >= ntz(params.sessions_since)), "save_date", months)
     if params.monthly:
         rows = _with_ym(rows, "save_date")
     # Count per exact spelling first (a hash aggregate over the session rows,
@@ -316,13 +335,19 @@ def user_report(detail: DataFrame, base: DataFrame, users: DataFrame, department
     Whole period: machines attach to the user directly and the count is text
     with ``-`` when absent. Users without a department show ``-``. All joins
     after the two detail aggregations are on per-user(-month) rows.
+
+    Monthly, top resources and machines are only computed for the whole
+    months around ``[day_from, day_until]``: rows of other months could only
+    join month rows the report does not have. This bounds the otherwise
+    history-wide resource scan (and prunes day partitions).
     """
     keys = params.keys
+    months = report_months(params)
     main = user_day_averages(detail, base, users, params)
     pivot = top_resources_pivot(
-        top_resources(user_resource_time(detail, base, params), params), base, params
+        top_resources(user_resource_time(detail, base, params, months), params), base, params
     )
-    machines = user_machines(sessions, params)
+    machines = user_machines(sessions, params, months)
     report = main.join(users.select(F.col("oid").alias("system_user"), "working_department"), "system_user")
     if params.monthly:
         report = report.join(pivot.join(machines, keys, "left"), keys, "left")
