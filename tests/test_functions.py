@@ -76,3 +76,12 @@ def test_weekday_sunday_is_one(spark):
 def test_first_of_month():
     assert first_of_month(ts(2024, 12, 15)) == ts(2024, 12, 1)
     assert first_of_month(ts(2024, 12, 15), 1) == ts(2025, 1, 1)
+
+
+def test_seconds_since_midnight_counts_whole_seconds(spark):
+    from worklens.functions import seconds_since
+
+    df = spark.createDataFrame([(ts(2024, 1, 8), ts(2024, 1, 8, 0, 0, 1, 500000)),
+                                (ts(2024, 1, 8), ts(2024, 1, 9, 0, 0, 2))], "d timestamp_ntz, t timestamp_ntz")
+    got = [r.s for r in df.select(seconds_since(F.col("d"), F.col("t")).alias("s")).collect()]
+    assert got == [1, 86402]

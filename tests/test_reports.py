@@ -175,3 +175,11 @@ def test_rollup_drift_and_pending(spark):
     ])
     assert [(r["oid"], r["diff_duration"]) for r in rows(rollup.rollup_drift(detail, act))] == [(1, 3)]
     assert rows(rollup.pending_rollup_count(act)) == [{"pending_count": 1}]
+
+
+def test_null_work_time_ranks_last(spark):
+    p = reports.period_params(as_of=ts(2024, 6, 1))
+    rt = spark.createDataFrame([(1, 30, None, None), (1, 31, 0, 0), (1, 32, 7, 7)],
+                               "system_user bigint, productivity_base bigint, work_duration bigint, all_duration bigint")
+    got = rows(reports.top_resources(rt, p), order=["rn_work_hours"])
+    assert [r["productivity_base"] for r in got] == [32, 31, 30]
