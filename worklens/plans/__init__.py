@@ -1 +1 @@
-"""worklens."""
+"""Composed jobs and distributed building blocks shared by the operators."""

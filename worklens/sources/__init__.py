@@ -1 +1 @@
-"""worklens."""
+"""Table schemas, the Tables bundle, reader, versioned writer and fixture tables."""
