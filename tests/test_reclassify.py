@@ -76,7 +76,7 @@ def test_steps_on_a_small_catalogue(spark):
     assert {r["resource_name"].lower() for r in added} == {"news"}
     assert all(r["browser_related"] == 1 and r["created_on"] == NOW for r in added)
 
-    moved = {r["id"]: r for r in rows(step.reassign_activity(t.activity, snap, base2))}
+    moved = {r["id"]: r for r in rows(step.reassign_activity(t.activity, t.base, base2))}
     assert moved[1]["productivity_base"] == 5 and moved[1]["user_productivity_daily_detail"] is None
     assert moved[3]["productivity_base"] == 5
     assert moved[4]["productivity_base"] == 2                   # lowest id among 'known site' spellings
@@ -86,7 +86,7 @@ def test_steps_on_a_small_catalogue(spark):
     affected = step.affected_details(snap)
     assert sorted(rows(affected), key=lambda r: (r["upd_oid"] is None, r["upd_oid"])) == [
         {"upd_oid": 100}, {"upd_oid": 101}, {"upd_oid": 102}, {"upd_oid": None}]
-    detached = {r["id"]: r for r in rows(step.detach_activity(step.reassign_activity(t.activity, snap, base2),
+    detached = {r["id"]: r for r in rows(step.detach_activity(step.reassign_activity(t.activity, t.base, base2),
                                                                affected))}
     assert detached[8]["user_productivity_daily_detail"] is None   # shares an affected detail
     assert detached[4]["user_productivity_daily_detail"] is None   # moved

@@ -51,6 +51,19 @@ def expire_duplicate_resources(base: DataFrame, as_of: _dt.datetime) -> DataFram
     )
 
 
+def _browser_entries(base: DataFrame, browsers: Sequence[str]) -> DataFrame:
+    """(productivity_base, resource_name) of the browser entries. A handful of
+    ids holding a large share of all activity: broadcast them (size-checked),
+    so no shuffle ever groups activity by these few keys."""
+    return broadcast_if_small(base.where(key_in(F.col("resource_name"), browsers)).select(
+        F.col("id").alias("productivity_base"), "resource_name"
+    ))
+
+
+def _titled_with_time():
+    return (F.col("active_duration") > 0) & ~is_blank(F.coalesce(F.col("description"), F.lit("")))
+
+
 def browser_activity_extract(activity: DataFrame, base: DataFrame, detail: DataFrame,
                              browsers: Sequence[str] = BROWSER_RESOURCE_NAMES) -> DataFrame:
     """Activity with positive time on a browser entry (expired entries
@@ -61,14 +74,7 @@ def browser_activity_extract(activity: DataFrame, base: DataFrame, detail: DataF
     activity is filtered before anything shuffles; activity without a link
     has its NULL key salted for the roll-up lookup.
     """
-    # A handful of ids holding a large share of all activity: broadcast them
-    # (size-checked), so no shuffle ever groups activity by these few keys.
-    browser_ids = broadcast_if_small(base.where(key_in(F.col("resource_name"), browsers)).select(
-        F.col("id").alias("productivity_base"), "resource_name"
-    ))
-    rows = activity.where(
-        (F.col("active_duration") > 0) & ~is_blank(F.coalesce(F.col("description"), F.lit("")))
-    ).join(browser_ids, "productivity_base")
+    rows = activity.where(_titled_with_time()).join(_browser_entries(base, browsers), "productivity_base")
     snapshot = rows.select(
         "id", "first_captured_on",
         site_name(F.col("description")).alias("new_resource_name"),
@@ -132,21 +138,34 @@ def register_resources(base: DataFrame, candidates: DataFrame, as_of: _dt.dateti
     return base.unionByName(added)
 
 
-def reassign_activity(activity: DataFrame, snapshot: DataFrame, base: DataFrame) -> DataFrame:
-    """Activity of the snapshot whose site name has an active browser-related
-    catalogue entry is moved to the lowest such id and unlinked from its
-    roll-up row, unless it already points there."""
+def reassign_activity(activity: DataFrame, snapshot_base: DataFrame, base: DataFrame,
+                      browsers: Sequence[str] = BROWSER_RESOURCE_NAMES) -> DataFrame:
+    """Activity of the browser snapshot whose site name has an active
+    browser-related catalogue entry is moved to the lowest such id and
+    unlinked from its roll-up row, unless it already points there.
+
+    ``snapshot_base`` is the catalogue the snapshot was taken against, ``base``
+    the catalogue with the new entries. Belonging to the snapshot is a per-row
+    test (a broadcast lookup of the browser entries, positive time, a
+    non-blank title), so activity is not joined back to the snapshot by id.
+    Each snapshot row's site name is looked up in the per-name target table,
+    one row per catalogue name, which AQE broadcasts when it fits. In that
+    case the activity table is rewritten without a shuffle. Rows outside the
+    snapshot have a NULL site key, salted if the lookup has to shuffle.
+    """
     target = (
         base.where(F.col("expired_on").isNull() & (F.col("browser_related") == 1))
         .groupBy(name_key(F.col("resource_name")).alias("_site"))
         .agg(F.min("id").alias("_target"))
     )
-    moves = snapshot.select("id", name_key(F.col("new_resource_name")).alias("_site")).join(target, "_site").select(
-        "id", "_target"
+    entries = _browser_entries(snapshot_base, browsers).select("productivity_base", F.lit(True).alias("_browser"))
+    in_snapshot = F.coalesce(F.col("_browser"), F.lit(False)) & _titled_with_time()
+    rows = activity.join(entries, "productivity_base", "left").withColumn(
+        "_site", F.when(in_snapshot, name_key(site_name(F.col("description"))))
     )
     moved = F.coalesce(F.col("productivity_base") != F.col("_target"), F.lit(False))
     return (
-        activity.join(moves, "id", "left")
+        left_join_spreading_nulls(rows, target, "_site", ["id"])
         .withColumn("_moved", moved)
         .withColumn("productivity_base", F.when(F.col("_moved"), F.col("_target")).otherwise(F.col("productivity_base")))
         .withColumn(LINK, F.when(F.col("_moved"), F.lit(None).cast("bigint")).otherwise(F.col(LINK)))

@@ -40,7 +40,7 @@ def browser_reclassify(tables: Tables, as_of: _dt.datetime,
     candidates = step.new_resource_candidates(snapshot, base1, min_seconds)
     base2 = step.register_resources(base1, candidates, as_of)
     affected = step.affected_details(snapshot)
-    activity = step.detach_activity(step.reassign_activity(tables.activity, snapshot, base2), affected)
+    activity = step.detach_activity(step.reassign_activity(tables.activity, base1, base2, browsers), affected)
     detail = step.drop_details(tables.detail, affected)
     next_tables = tables.replace(productivity_base=base2, user_activity=activity,
                                  user_productivity_daily_detail=detail)

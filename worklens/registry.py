@@ -201,7 +201,7 @@ class _Steps:
 
     @functools.cached_property
     def a5(self) -> DataFrame:
-        return reclassify.reassign_activity(self.t.activity, self.a2, self.a4)
+        return reclassify.reassign_activity(self.t.activity, self.a1, self.a4)
 
     @functools.cached_property
     def a6(self) -> DataFrame:
