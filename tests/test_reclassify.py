@@ -165,3 +165,16 @@ def test_broadcast_if_small_checks_the_size(spark):
     joined = big.join(broadcast_if_small(small, max_rows=10), big.id == small.k)
     assert "BroadcastHashJoin" in joined._jdf.queryExecution().executedPlan().toString()
     assert broadcast_if_small(small, max_rows=9) is small
+
+
+def test_global_ordinal_of_nothing_is_empty(spark):
+    empty = spark.range(0).select(F.col("id").alias("v"))
+    assert global_ordinal(empty, [F.asc("v")]).count() == 0
+
+
+def test_cut_lineage_keeps_rows(spark):
+    from worklens.plans.distributed import cut_lineage
+
+    df = spark.range(0, 1000, numPartitions=4).withColumn("w", F.col("id") % 7)
+    cut = cut_lineage(df)
+    assert cut.exceptAll(df).count() == 0 and df.exceptAll(cut).count() == 0
