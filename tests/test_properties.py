@@ -78,3 +78,49 @@ def test_truncated_avg_matches_python(spark, groups):
         return q if sum(present) >= 0 else -q
 
     assert got == {g: py_avg(values) for g, values in enumerate(groups)}
+
+
+_detail_rows = st.lists(
+    st.tuples(st.integers(1, 28), st.integers(0, 23), st.one_of(st.none(), st.integers(0, 5000)),
+              st.one_of(st.none(), st.integers(0, 4)), st.integers(1, 3), st.sampled_from([3, 10, 11])),
+    min_size=1, max_size=120)
+
+
+@SETTINGS
+@given(_detail_rows)
+def test_work_hour_split_equals_self_join(spark, items):
+    import datetime as dt
+
+    from worklens.operators import rollup
+    from conftest import frame
+
+    base = frame(spark, "productivity_base", [{"id": 3, "resource_name": "LockApp"},
+                                              {"id": 10, "resource_name": "Word"}, {"id": 11, "resource_name": "mail"}])
+    detail = frame(spark, "user_productivity_daily_detail", [
+        {"oid": i, "date": dt.datetime(2024, 1, d), "hour_from": h,
+         "activity_start": dt.datetime(2024, 1, d, h, 5), "activity_end": dt.datetime(2024, 1, d, h, 50),
+         "daily_duration": dur, "adjusted_productivity_type": t, "system_user": u, "productivity_base": r}
+        for i, (d, h, dur, t, u, r) in enumerate(items)])
+    got = rollup.user_day_work_hours(detail, base, dt.datetime(2024, 1, 3), dt.datetime(2024, 1, 25), (9, 19), (2, 6))
+
+    up, wh = detail.alias("up"), detail.alias("wh")
+    cond = ((F.col("up.oid") == F.col("wh.oid")) & F.col("wh.hour_from").between(9, 19)
+            & F.dayofweek("wh.date").between(2, 6))
+    keep = base.where(~F.lower("resource_name").contains("lockapp")).select(F.col("id").alias("pb"))
+    ptype, dur = F.col("wh.adjusted_productivity_type"), F.col("wh.daily_duration")
+    expected = (
+        up.join(keep, F.col("up.productivity_base") == F.col("pb"))
+        .where(F.col("up.date").between(F.lit("2024-01-03").cast("timestamp_ntz"),
+                                        F.lit("2024-01-25").cast("timestamp_ntz")))
+        .join(wh, cond, "left")
+        .groupBy(F.col("up.date").alias("date"), F.col("up.system_user").alias("system_user"))
+        .agg(F.sum(dur).alias("sum_daily_duration_wh"),
+             F.sum(F.when(ptype == 1, dur)).alias("sum_productive_wh"),
+             F.sum(F.when(F.coalesce(ptype, F.lit(0)) == 0, dur)).alias("sum_undefined_wh"),
+             F.min("wh.activity_start").alias("min_activity_start_wh"),
+             F.max("wh.activity_end").alias("max_activity_end_wh"))
+    )
+    cols = ["date", "system_user", "sum_daily_duration_wh", "sum_productive_wh", "sum_undefined_wh",
+            "min_activity_start_wh", "max_activity_end_wh"]
+    a, b = got.select(*cols), expected.select(*cols)
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
