@@ -90,3 +90,19 @@ def test_monthly_report_bounds_the_resource_scan_to_report_months(tables):
     # both scans prune day partitions: the day window, and whole months Feb..Mar for top resources
     assert all("PartitionFilters: [isnotnull(date" in line for line in detail_scans)
     assert any("2024-04-01" in line for line in detail_scans)
+
+
+def test_reassignment_does_not_join_activity_by_id(tables):
+    from worklens.operators import reclassify as step
+
+    base1 = step.expire_duplicate_resources(tables.base, ts(2024, 6, 1))
+    snap = step.browser_activity_extract(tables.activity, base1, tables.detail)
+    base2 = step.register_resources(base1, step.new_resource_candidates(snap, base1), ts(2024, 6, 1))
+    text = plan(step.detach_activity(step.reassign_activity(tables.activity, base1, base2),
+                                     step.affected_details(snap)))
+    activity_ids = set()
+    for line in scans(text, "user_activity"):
+        activity_ids.update(re.findall(r"\bid#\d+L?", line.split("]")[0]))
+    assert activity_ids
+    join_lines = [line for line in text.splitlines() if re.search(r"(HashJoin|MergeJoin) \[", line)]
+    assert not [line for line in join_lines for a in activity_ids if f"[{a}]" in line or f"[{a}," in line]
