@@ -41,12 +41,17 @@ def test_every_job_has_an_oracle():
 
 
 @pytest.mark.parametrize("name", sorted(entry.queries()))
+DUCK_TO_SPARK = {"BIGINT": "bigint", "INTEGER": "int", "VARCHAR": "string", "TIMESTAMP": "timestamp_ntz"}
+
+
 def test_job_matches_oracle(spark, duck, name):
     df = entry.queries()[name](spark, SMALL_SF)
     got = _canon(df.columns, [tuple(r) for r in df.collect()])
-    cur = duck.execute(entry.oracle_sql()[name])
-    want = _canon([d[0] for d in cur.description], cur.fetchall())
+    rel = duck.sql(entry.oracle_sql()[name])
+    want_types = {c: DUCK_TO_SPARK.get(str(t), str(t)) for c, t in zip(rel.columns, rel.types)}
+    want = _canon(list(rel.columns), rel.fetchall())
     assert got == want
+    assert {f.name: f.dataType.simpleString() for f in df.schema} == want_types
 
 
 def test_entry_smoke(spark):
