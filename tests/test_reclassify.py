@@ -178,3 +178,14 @@ def test_cut_lineage_keeps_rows(spark):
     df = spark.range(0, 1000, numPartitions=4).withColumn("w", F.col("id") % 7)
     cut = cut_lineage(df)
     assert cut.exceptAll(df).count() == 0 and df.exceptAll(cut).count() == 0
+
+
+def test_partitioned_write_keeps_few_files_per_day(spark, fixture_tables):
+    from worklens.sources.tables import write_table
+
+    path = os.path.join(tempfile.mkdtemp(prefix="worklens-layout-"), "detail")
+    # a detail table spread over many partitions, as after a shuffle on another key
+    write_table(fixture_tables.detail.repartition(16, "oid"), path, ["date"])
+    days = [d for d in os.listdir(path) if d.startswith("date=")]
+    files = {d: [f for f in os.listdir(os.path.join(path, d)) if f.endswith(".parquet")] for d in days}
+    assert days and max(len(v) for v in files.values()) <= 2
