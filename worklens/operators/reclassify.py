@@ -108,7 +108,11 @@ def new_resource_candidates(snapshot: DataFrame, base: DataFrame, min_seconds: i
         )
         .where(F.col("sum_active_duration") > min_seconds)
     )
-    active_names = base.where(F.col("expired_on").isNull()).select(name_key(F.col("resource_name")).alias("_site"))
+    # distinct name keys (combined map-side): catalogue names repeat, and the
+    # anti-join only needs each key once
+    active_names = base.where(F.col("expired_on").isNull()).select(
+        name_key(F.col("resource_name")).alias("_site")
+    ).distinct()
     return pairs.join(active_names, "_site", "left_anti").select(
         "new_resource_name", "existing_resource_name", "sum_active_duration", "r_count"
     )
