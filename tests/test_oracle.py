@@ -12,6 +12,7 @@ import pytest
 
 import __spark_entry__ as entry
 from conftest import SMALL_SF
+from worklens import registry
 
 RAW = ["region", "nation", "customer", "supplier", "part", "events", "pages"]
 
@@ -37,13 +38,14 @@ def _canon(columns, values):
 
 
 def test_every_job_has_an_oracle():
-    assert set(entry.oracle_sql()) == set(entry.queries())
+    assert set(registry.oracle_sql()) == set(registry.queries())
+    assert set(registry.queries()) <= set(entry.queries())
 
 
 DUCK_TO_SPARK = {"BIGINT": "bigint", "INTEGER": "int", "VARCHAR": "string", "TIMESTAMP": "timestamp_ntz"}
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(registry.queries()))
 def test_job_matches_oracle(spark, duck, name):
     df = entry.queries()[name](spark, SMALL_SF)
     got = _canon(df.columns, [tuple(r) for r in df.collect()])
