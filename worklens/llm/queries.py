@@ -2,13 +2,24 @@
 
 from __future__ import annotations
 
-from worklens.llm import boilerplate
-from worklens.llm.mixing import op5_mixing
-from worklens.llm.sharding import op2_sharding
+from worklens.llm import (
+    boilerplate, decontamination, language_model, mixing, ngram_join, quality, sharding, substring_dedup, token_counts,
+    vector_search,
+)
 
 QUERIES = {
-    "op2_sharding": op2_sharding,
-    "op5_mixing": op5_mixing,
+    "op1_quality": quality.op1_quality,
+    "op2_sharding": sharding.op2_sharding,
+    "op3_ngram_join": ngram_join.op3_ngram_join,
+    "op4_substring_dedup": substring_dedup.op4_substring_dedup,
+    "op5_mixing": mixing.op5_mixing,
+    "op6_decontamination": decontamination.op6_decontamination,
+    "op7_token_counts": token_counts.op7_token_counts,
     "op8_line_dedup": boilerplate.op8_line_dedup,
+    "op9_lm_scoring": language_model.op9_lm_scoring,
+    "op10_vector_search": vector_search.op10_vector_search,
+}
+ORACLE_SQL = {
+    "op8_line_dedup": boilerplate.ORACLE,
+    "op10_vector_search": vector_search.ORACLE,
 }
-ORACLE_SQL = {"op8_line_dedup": boilerplate.ORACLE}
