@@ -42,10 +42,10 @@ from itertools import pairwise
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from worklens.llm.common import WordArrays, mix64, raw_texts, shuffle_partitions, stage, table, words_of
+from worklens.llm.common import WORD_PATTERN, WordArrays, mix64, raw_texts, shuffle_partitions, stage, table, words_of
 from worklens.llm.components import components
 from worklens.llm.units import arrow_table, bucket_slices, pack, pack_bits, unpack, unpack_bits
 
@@ -469,8 +469,12 @@ def link_classes(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     return described.drop("tokens"), components(edges, "ngram").withColumnRenamed("node", "class")
 
 
+def row_key() -> Column:
+    return F.xxhash64("doc_id", "text")
+
+
 def with_key(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("doc_id", "text").alias("row_key"))
+    return docs.select(F.col("doc_id").cast("long"), "text").withColumn("row_key", row_key())
 
 
 def join_report(docs: DataFrame, rule: Rule) -> DataFrame:
@@ -482,5 +486,28 @@ def join_report(docs: DataFrame, rule: Rule) -> DataFrame:
         F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("smallest")).alias("component_id"))
 
 
+def one_of_each_group(docs: DataFrame, rule: Rule) -> DataFrame:
+    """``docs`` with one row of each component: the smallest doc_id (rows without one come last).
+
+    Documents without words stay as they are.
+    """
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    keyed = rows.select("_row", F.col("_row.doc_id").cast("long").alias("doc_id"), F.col("_row.text").alias("text"))
+    keyed = keyed.withColumn("row_key", row_key())
+    members, linked = link_classes(keyed.drop("_row"), rule)
+    order = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "row_key")
+    kept = (
+        members.filter("class is not null").join(linked, "class", "left")
+        .groupBy(F.coalesce("component", "class").alias("component")).agg(F.min(order).alias("kept"))
+        .select("kept.row_key", "kept.without", F.coalesce("kept.doc_id", F.lit(0).cast("long")).alias("id"))
+    )
+    worded = F.coalesce(F.col("text").rlike(WORD_PATTERN), F.lit(False))
+    held = keyed.filter(worded).select("_row", "row_key", F.col("doc_id").isNull().alias("without"),
+                                       F.coalesce("doc_id", F.lit(0).cast("long")).alias("id"))
+    # Equal rows meet in the join's shuffle already; one of them stays.
+    one = held.join(kept, ["row_key", "without", "id"]).dropDuplicates(["row_key", "without", "id"])
+    return one.select("_row.*").unionByName(keyed.filter(~worded).select("_row.*"))
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_report(table(spark, sf_dir, "documents"), Rule(words=3, num=90, den=100))

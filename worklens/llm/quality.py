@@ -154,13 +154,16 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_FIT_ROWS) -> Rul
     sample = labelled_sample(docs, labels, max_rows)
     names = sample.schema["_stats"].dataType.names
     seen = sample.agg(F.count(F.lit(1)).alias("n"), F.avg("label").alias("mean")).first()
+    mean = min(max(seen["mean"], 0.001), 0.999) if seen["n"] else 0.5
+    constant = RuleEnsemble(math.log(mean / (1 - mean)), ())
     if not seen["n"] or seen["mean"] in (0.0, 1.0):
-        mean = 0.5 if not seen["n"] else min(max(seen["mean"], 0.001), 0.999)
-        return RuleEnsemble(math.log(mean / (1 - mean)), ())
+        return constant
     forest = RandomForestClassifier(featuresCol="x", labelCol="label", numTrees=TREES, maxDepth=DEPTH,
                                     featureSubsetStrategy="0.6", subsamplingRate=0.7, minInstancesPerNode=5,
                                     seed=SEED).fit(_vectors(sample, [F.col(f"_stats.{n}") for n in names]))
     paths = sorted({p for tree in forest.trees for p in _paths(tree._java_obj.rootNode(), names)})
+    if not paths:  # no statistic tells the classes apart
+        return constant
     rules = [Rule(p) for p in paths]
     lasso = LogisticRegression(featuresCol="x", labelCol="label", elasticNetParam=1.0, regParam=LASSO,
                                maxIter=60, standardization=False).fit(
