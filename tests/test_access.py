@@ -56,7 +56,7 @@ def test_null_viewer_uses_default_for_the_test_but_not_for_the_list(spark):
 
 def test_report_window():
     now = ts(2024, 12, 15)
-    assert access.report_window(as_of=now) == (ts(2016, 1, 1), ts(2020, 1, 1))
+    assert access.report_window(access.EARLIEST_FROM, access.LATEST_UNTIL, now) == (ts(2016, 1, 1), ts(2020, 1, 1))
     assert access.report_window(ts(2015, 5, 1), ts(2021, 1, 1), now) == (ts(2024, 12, 1), ts(2025, 1, 1))
     assert access.report_window(ts(2017, 1, 1), ts(2018, 1, 1), now) == (ts(2017, 1, 1), ts(2018, 1, 1))
 
@@ -97,3 +97,14 @@ def test_department_report(spark):
     got = rows(departments.department_productivity(detail, daily, users, dept, base, only_one,
                                                    ts(2024, 1, 1), ts(2024, 2, 1)))
     assert sorted(r["sum_daily"] for r in got) == [4, 5, 10]
+
+
+def test_detail_date_mismatch(spark):
+    daily = frame(spark, "user_productivity_daily", [{"oid": 1, "date": ts(2024, 1, 1)}, {"oid": 2}])
+    detail = frame(spark, "user_productivity_daily_detail", [
+        {"oid": 1, "date": ts(2024, 1, 1), "user_productivity_daily": 1},
+        {"oid": 2, "date": ts(2024, 1, 2), "user_productivity_daily": 1},
+        {"oid": 3, "date": ts(2024, 1, 1), "user_productivity_daily": 2},
+        {"oid": 4, "date": ts(2024, 1, 1), "user_productivity_daily": 9}, {"oid": 5}])
+    got = rows(departments.detail_date_mismatch(detail, daily))
+    assert sorted((r["user_productivity_daily"] or 0, r["detail_rows"]) for r in got) == [(0, 1), (1, 1), (2, 1), (9, 1)]

@@ -5,8 +5,10 @@ from __future__ import annotations
 import os
 import tempfile
 
+import pytest
+
 from worklens.__main__ import main
-from worklens.sources.tables import write_version
+from worklens.sources.tables import published_versions, read_tables, write_version
 
 
 def test_cli_runs_reports_and_publishes_reclassification(spark, fixture_tables):
@@ -18,4 +20,10 @@ def test_cli_runs_reports_and_publishes_reclassification(spark, fixture_tables):
                  "--day-until", "2024-04-30", "--sessions-since", "2024-01-01"]) == 0
     assert spark.read.parquet(out).count() == 60
     assert main(["browser_reclassify", *common, "--out", root, "--version", "v1"]) == 0
-    assert os.path.isdir(os.path.join(root, "v1", "_PUBLISHED"))
+    assert [os.path.basename(p) for p in published_versions(spark, root)] == ["v0", "v1"]
+    # The next run reads what the last one published.
+    assert main(["browser_reclassify", "--tables", root, "--as-of", "2024-06-02", "--out", root, "--version", "v2"]) == 0
+    first, second = (read_tables(spark, os.path.join(root, v)) for v in ("v1", "v2"))
+    assert second.base.count() >= first.base.count() and second.users.count() == first.users.count()
+    with pytest.raises(FileExistsError):
+        main(["browser_reclassify", *common, "--out", root, "--version", "v0"])

@@ -61,8 +61,9 @@ def test_catalogue_and_dimensions_are_broadcast(tables):
     text = plan(reports.user_report(tables.detail, tables.base, tables.users, tables.department,
                                     tables.user_session, P))
     assert "BroadcastHashJoin" in text
-    # two detail scans: one per aggregation grain (day measures, resource time)
-    assert len(scans(text, "user_productivity_daily_detail")) == 2
+    # the detail table was read when its sums were written; each half reads the sums
+    assert not scans(text, "user_productivity_daily_detail")
+    assert len(scans(text, "system_user")) == 1
 
 
 def test_department_window_pushed_to_parent_day_scan(tables):
@@ -81,15 +82,64 @@ def test_usage_filter_pushed(tables):
     assert re.search(r"PartitionFilters: \[.*\(date#\d+ > ", scans(text, "user_productivity_daily_detail")[0])
 
 
-def test_monthly_report_bounds_the_resource_scan_to_report_months(tables):
+def test_monthly_report_reads_detail_once_and_only_the_report_months(tables, monkeypatch):
     p = reports.monthly_params(sessions_since=ts(2024, 1, 1), day_from=ts(2024, 2, 10), day_until=ts(2024, 3, 5))
-    text = plan(reports.user_report(tables.detail, tables.base, tables.users, tables.department,
-                                    tables.user_session, p))
-    detail_scans = scans(text, "user_productivity_daily_detail")
-    assert len(detail_scans) == 2
-    # both scans prune day partitions: the day window, and whole months Feb..Mar for top resources
-    assert all("PartitionFilters: [isnotnull(date" in line for line in detail_scans)
-    assert any("2024-04-01" in line for line in detail_scans)
+    seen = []
+    monkeypatch.setattr(reports, "materialize", lambda df, name: seen.append(plan(df)) or df)
+    reports.user_report(tables.detail, tables.base, tables.users, tables.department, tables.user_session, p)
+    assert len(seen) == 1
+    detail_scans = scans(seen[0], "user_productivity_daily_detail")
+    assert len(detail_scans) == 1
+    assert "PartitionFilters: [isnotnull(date" in detail_scans[0] and "2024-04-01" in detail_scans[0]
+
+
+def _exchanges_of_detail_rows(spark, build) -> list[str]:
+    """Shuffles whose input is the detail scan without an aggregate in between,
+    when nothing may be broadcast."""
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    for k in keys:
+        spark.conf.set(k, "-1")
+    try:
+        lines = build()._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        for k in keys:
+            spark.conf.unset(k)
+    found = []
+    for i, line in enumerate(lines):
+        if "Exchange hashpartitioning" in line:
+            below = []
+            for next_line in lines[i + 1:]:
+                if "Exchange" in next_line or "Join" in next_line or "Scan" in next_line:
+                    below.append(next_line)
+                    break
+                below.append(next_line)
+            if "user_productivity_daily_detail]" in below[-1] and not any("Aggregate" in x for x in below):
+                found.append(line)
+    return found
+
+
+@pytest.mark.parametrize("job", ["user_day_totals", "user_day_work_hours", "user_resource_time", "department"])
+def test_no_detail_row_is_shuffled_before_it_is_summed(spark, tables, job):
+    visible = access.visible_users(tables.users, tables.system_user_to_group, tables.filtering_group,
+                                   tables.app_user_to_group, -1, 0)
+    build = {
+        "user_day_totals": lambda: rollup.user_day_totals(tables.detail, tables.base),
+        "user_day_work_hours": lambda: rollup.user_day_work_hours(tables.detail, tables.base, P.day_from, P.day_until),
+        "user_resource_time": lambda: reports.user_resource_time(tables.detail, tables.base, P),
+        "department": lambda: departments.department_productivity(
+            tables.detail, tables.daily, tables.users, tables.department, tables.base, visible,
+            ts(2024, 1, 1), ts(2024, 3, 1)),
+    }[job]
+    assert _exchanges_of_detail_rows(spark, build) == []
+
+
+def test_department_detail_scan_is_bounded_where_dates_agree(tables):
+    visible = access.visible_users(tables.users, tables.system_user_to_group, tables.filtering_group,
+                                   tables.app_user_to_group, -1, 0)
+    text = plan(departments.department_productivity(
+        tables.detail, tables.daily, tables.users, tables.department, tables.base, visible,
+        ts(2024, 1, 1), ts(2024, 3, 1), dates_agree=True))
+    assert re.search(r"PartitionFilters: \[.*\(date#\d+ >= ", scans(text, "user_productivity_daily_detail")[0])
 
 
 def test_reassignment_does_not_join_activity_by_id(tables):

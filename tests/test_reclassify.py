@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
+import pytest
 from pyspark.sql import functions as F
 
 from worklens.operators import reclassify as step
 from worklens.plans import reclassify as job
-from worklens.plans.distributed import global_ordinal, left_join_spreading_nulls
-from worklens.sources.tables import read_tables, write_version
+from worklens.plans.distributed import global_ordinal, join_spreading_key, left_join_spreading_nulls, materialize
+from worklens.sources.tables import published_versions, read_tables, write_version
 from conftest import empty_tables, frame, rows, ts
 
 NOW = ts(2024, 6, 1)
@@ -107,27 +109,68 @@ def test_detach_is_idempotent(fixture_tables):
     assert once.exceptAll(twice).count() == 0 and twice.exceptAll(once).count() == 0
 
 
-def test_composed_job_leaves_no_dangling_links_and_publishes(spark, fixture_tables):
+def test_composed_job_removes_affected_rows_and_every_link_to_them(spark, fixture_tables):
     result = job.browser_reclassify(fixture_tables, NOW)
     t = result.tables
-    kept = t.detail.select(F.col("oid").alias("user_productivity_daily_detail"))
-    linked = t.activity.where(F.col("user_productivity_daily_detail").isNotNull())
-    before = fixture_tables.activity.where(F.col("user_productivity_daily_detail").isNotNull()).join(
-        fixture_tables.detail.select(F.col("oid").alias("user_productivity_daily_detail")),
-        "user_productivity_daily_detail", "left_anti").count()
-    # links that pointed at rows deleted by this job are gone (pre-existing dangling links may remain)
-    dangling_after = linked.join(kept, "user_productivity_daily_detail", "left_anti").count()
-    assert dangling_after <= before
-    affected = result.affected.where(F.col("upd_oid").isNotNull()).select(
-        F.col("upd_oid").alias("user_productivity_daily_detail"))
-    assert linked.join(affected, "user_productivity_daily_detail", "left_semi").count() == 0
+    affected = {r["upd_oid"] for r in result.affected.collect()} - {None}
+    details = {r["oid"] for r in fixture_tables.detail.collect()}
+    assert affected and {r["oid"] for r in t.detail.collect()} == details - affected
+    before = {r["id"]: r for r in rows(fixture_tables.activity)}
+    after = {r["id"]: r for r in rows(t.activity)}
+    link = "user_productivity_daily_detail"
+    assert before.keys() == after.keys()
+    for i, old in before.items():
+        moved = old["productivity_base"] != after[i]["productivity_base"]
+        assert after[i][link] == (None if moved or old[link] in affected else old[link])
     assert t.base.select("id").distinct().count() == t.base.count()
 
-    root = tempfile.mkdtemp(prefix="worklens-test-")
-    target = job.publish(result, root, "v1")
-    assert os.path.isdir(os.path.join(target, "_PUBLISHED"))
-    back = spark.read.parquet(os.path.join(target, "productivity_base"))
-    assert back.count() == t.base.count()
+
+def test_version_chain(spark):
+    """Three duplicates of a name need two runs, each on what the last one published."""
+    root = tempfile.mkdtemp(prefix="worklens-chain-")
+    t = _scenario(spark)
+    names = frame(spark, "productivity_base", [{"id": 90 + i, "resource_name": "thrice"} for i in range(3)])
+    write_version(t.replace(productivity_base=t.base.unionByName(names)).as_dict(), root, "v0")
+    left = []
+    for version, now in (("v1", ts(2024, 6, 1)), ("v2", ts(2024, 6, 2)), ("v3", ts(2024, 6, 3))):
+        result = job.browser_reclassify(read_tables(spark, root), now)
+        job.publish(result, root, version, root)
+        back = read_tables(spark, root)
+        left.append(back.base.where("resource_name = 'thrice' and expired_on is null").count())
+        assert back.users.count() == 0 and back.activity.count() == 8
+    assert left == [2, 1, 1]
+    assert read_tables(spark, os.path.join(root, "v0")).base.where("expired_on is not null").count() == 0
+
+
+def test_versions_are_written_once_and_only_visible_whole(spark):
+    root = tempfile.mkdtemp(prefix="worklens-once-")
+    t = _scenario(spark)
+    write_version(t.as_dict(), root, "v0")
+    with pytest.raises(FileExistsError):
+        write_version(t.as_dict(), root, "v0")
+    with pytest.raises(ValueError):
+        write_version({"productivity_base": t.base}, root, "v1")
+    full = frame(spark, "user_session", [{"system_user": 1}])
+    broken = t.replace(user_session=full.withColumn("machine_name", F.raise_error(F.lit("lost")).cast("string")))
+    with pytest.raises(Exception, match="lost"):
+        write_version(broken.as_dict(), root, "v1")
+    assert [os.path.basename(p) for p in published_versions(spark, root)] == ["v0"]
+    assert read_tables(spark, root).base.count() == t.base.count()
+
+
+def test_reading_steps_fires_no_job(spark, fixture_tables):
+    """Building a step runs nothing but the id numbering where new entries are needed."""
+    def jobs_of(build) -> int:
+        group = uuid.uuid4().hex
+        spark.sparkContext.setJobGroup(group, "")
+        build()
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    steps = job.BrowserReclassify(fixture_tables, NOW)
+    for name in ("expired", "snapshot", "candidates", "affected", "detail"):
+        assert jobs_of(lambda: getattr(steps, name)) == 0, name
+    assert jobs_of(lambda: steps.catalogue) > 0
+    assert jobs_of(lambda: (steps.reassigned, steps.activity)) == 0
 
 
 def test_global_ordinal_is_dense_and_ordered(spark):
@@ -157,14 +200,12 @@ def test_tables_round_trip(spark, fixture_tables):
         assert copy.exceptAll(frame).count() == 0 and frame.exceptAll(copy).count() == 0, name
 
 
-def test_broadcast_if_small_checks_the_size(spark):
-    from worklens.plans.distributed import broadcast_if_small
-
-    big = spark.range(0, 1000)
-    small = spark.range(0, 10).withColumnRenamed("id", "k")
-    joined = big.join(broadcast_if_small(small, max_rows=10), big.id == small.k)
-    assert "BroadcastHashJoin" in joined._jdf.queryExecution().executedPlan().toString()
-    assert broadcast_if_small(small, max_rows=9) is small
+def test_join_spreading_key_matches_plain_join(spark):
+    left = spark.createDataFrame([(i, None if i % 3 == 0 else 1 if i % 2 else i % 10) for i in range(300)], "id bigint, k bigint")
+    right = spark.createDataFrame([(k, k * 100) for k in (0, 1, 2, 4)], "k bigint, v bigint")
+    for how in ("left", "inner"):
+        a, b = join_spreading_key(left, right, "k", ["id"], how), left.join(right, "k", how)
+        assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
 
 
 def test_global_ordinal_of_nothing_is_empty(spark):
@@ -172,12 +213,10 @@ def test_global_ordinal_of_nothing_is_empty(spark):
     assert global_ordinal(empty, [F.asc("v")]).count() == 0
 
 
-def test_cut_lineage_keeps_rows(spark):
-    from worklens.plans.distributed import cut_lineage
-
+def test_materialize_keeps_rows(spark):
     df = spark.range(0, 1000, numPartitions=4).withColumn("w", F.col("id") % 7)
-    cut = cut_lineage(df)
-    assert cut.exceptAll(df).count() == 0 and df.exceptAll(cut).count() == 0
+    kept = materialize(df, "test")
+    assert kept.exceptAll(df).count() == 0 and df.exceptAll(kept).count() == 0
 
 
 def test_partitioned_write_keeps_few_files_per_day(spark, fixture_tables):

@@ -7,7 +7,6 @@
 * ``worklens.operators`` - the jobs, each ``DataFrame(s) -> DataFrame``.
 * ``worklens.plans`` - the composed re-attribution job and distributed
   building blocks (NULL-key spreading, size-checked broadcast, global ordinal).
-* ``worklens.streaming`` - none; every job is batch.
 
 ``python -m worklens <job> --tables <root> --out <path>`` runs one job.
 """

@@ -1,14 +1,15 @@
 """Run one job over a table version and write its result.
 
     spark-submit --py-files worklens.zip -m worklens user_month_report \\
-        --tables /data/activity/v42 --out /data/reports/2018-12 [--as-of 2018-12-31] ...
+        --tables /data/activity/v42 --out /data/reports/2018-12 --as-of 2018-12-31 ...
 
-``--tables`` holds the ten tables as ``<root>/<table>`` parquet (see
+``--tables`` is a published version, a folder of versions (the newest counts),
+or holds the ten tables as ``<root>/<table>`` parquet (see
 ``worklens.sources.tables``). Parameters default to the original jobs' values;
 ``--day-from``, ``--day-until``, ``--sessions-since``, ``--after``,
 ``--viewer``, ``--default-viewer`` and ``--domain-prefix`` override them.
-``browser_reclassify`` writes the next version of the three tables it changes
-to ``--out/<--version>`` and publishes it.
+``browser_reclassify`` publishes the next version as ``--out/<--version>``,
+which must not exist; no other job overwrites its output either.
 """
 
 from __future__ import annotations
@@ -73,7 +74,7 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("--tables", required=True, help="root of the current table version")
     parser.add_argument("--out", required=True, help="output path (a new version root for browser_reclassify)")
     parser.add_argument("--version", default=None, help="version name written by browser_reclassify")
-    parser.add_argument("--as-of", type=_date, default=None, help="'now' of the job (default: current time)")
+    parser.add_argument("--as-of", type=_date, required=True, help="'now' of the job")
     parser.add_argument("--day-from", type=_date)
     parser.add_argument("--day-until", type=_date)
     parser.add_argument("--sessions-since", type=_date)
@@ -84,18 +85,17 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("--limit", type=int, default=None)
     parser.add_argument("--tolerance", type=int, default=2)
     args = parser.parse_args(argv)
-    args.as_of = args.as_of or _dt.datetime.now().replace(microsecond=0)
 
     spark = configure(SparkSession.builder.appName(f"worklens-{args.job}").getOrCreate())
     tables = read_tables(spark, args.tables)
     if args.job == "browser_reclassify":
         result = reclassify_job.browser_reclassify(tables, args.as_of)
-        reclassify_job.publish(result, args.out, args.version or args.as_of.strftime("v%Y%m%d%H%M%S"))
+        reclassify_job.publish(result, args.out, args.version or args.as_of.strftime("v%Y%m%d%H%M%S"), args.tables)
         return 0
     jobs = _jobs(args)
     if args.job not in jobs:
         parser.error(f"unknown job {args.job!r}; one of {sorted(jobs) + ['browser_reclassify']}")
-    jobs[args.job](tables).write.mode("overwrite").parquet(args.out)
+    jobs[args.job](tables).write.parquet(args.out)
     return 0
 
 

@@ -5,7 +5,6 @@ from worklens.functions.calendar import (
     month_start,
     ntz,
     weekday,
-    year_month_text,
 )
 from worklens.functions.names import (
     BROWSER_RESOURCE_NAMES,
@@ -18,6 +17,7 @@ from worklens.functions.names import (
     name_key,
     not_lock_screen,
     site_name,
+    without_prefix,
 )
 from worklens.functions.timetext import clock_time, duration_text, seconds_since, truncated_avg
 
@@ -25,5 +25,5 @@ __all__ = [
     "BROWSER_RESOURCE_NAMES", "LOCK_SCREEN_FRAGMENT", "TITLE_DELIMITERS",
     "clock_time", "contains_ci", "duration_text", "in_work_hours", "is_blank", "key_in",
     "left_of", "month_start", "name_key", "not_lock_screen", "ntz", "seconds_since",
-    "site_name", "truncated_avg", "weekday", "year_month_text",
+    "site_name", "truncated_avg", "weekday", "without_prefix",
 ]

@@ -7,9 +7,6 @@ import datetime as _dt
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SUNDAY, MONDAY, FRIDAY, SATURDAY = 1, 2, 6, 7
-
-
 def ntz(value: str | _dt.date | _dt.datetime) -> Column:
     """A TIMESTAMP_NTZ literal (time-zone independent)."""
     if isinstance(value, _dt.datetime):
@@ -32,11 +29,6 @@ def in_work_hours(day: Column, hour_from: Column, hours: tuple[int, int],
     return weekday(day).between(*weekdays) & hour_from.between(*hours)
 
 
-def year_month_text(day: Column) -> Column:
-    """``YYYY-MM``."""
-    return F.date_format(day, "yyyy-MM")
-
-
 def month_start(day: Column) -> Column:
     """First day of the month at midnight, TIMESTAMP_NTZ."""
     return F.trunc(day.cast("date"), "month").cast("timestamp_ntz")

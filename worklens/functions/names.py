@@ -68,6 +68,11 @@ def left_of(text: Column, delimiter: str) -> Column:
     return F.regexp_replace(text, F.lit("(?is)" + _quoted(delimiter) + ".*"), F.lit(""))
 
 
+def without_prefix(name: Column, prefix: str) -> Column:
+    """``name`` without any occurrence of ``prefix``, ignoring case as all name comparisons do."""
+    return F.regexp_replace(name, F.lit("(?i)" + _quoted(prefix)), F.lit("")) if prefix else name
+
+
 def site_name(title: Column, delimiters: Sequence[str] = TITLE_DELIMITERS,
               max_chars: int = SITE_NAME_MAX_CHARS) -> Column:
     """Site name from a browser window title: cut at each delimiter in turn, then cap the length."""

@@ -45,9 +45,7 @@ def seconds_since(start: Column, end: Column) -> Column:
 
 
 def truncated_avg(value: Column) -> Column:
-    """Average of an integer column truncated toward zero, NULLs skipped.
-
-    The double quotient is exact enough for truncation below 2**53, and the
-    cast to bigint truncates toward zero: (1, 2, 2) -> 1, (-1, -2) -> -1.
-    """
-    return F.avg(value).cast("bigint")
+    """Average of an integer column truncated toward zero, NULLs skipped:
+    (1, 2, 2) -> 1, (-1, -2) -> -1, no value -> NULL. Integer division, so no
+    total is too large to be exact."""
+    return F.call_function("div", F.sum(value), F.nullif(F.count(value), F.lit(0)))

@@ -22,15 +22,14 @@ LATEST_UNTIL = _dt.datetime(2020, 1, 1)
 LISTING_GROUP_TYPE = 0
 
 
-def report_window(date_from: _dt.datetime = EARLIEST_FROM, date_until: _dt.datetime = LATEST_UNTIL,
-                  as_of: _dt.datetime | None = None) -> tuple[_dt.datetime, _dt.datetime]:
+def report_window(date_from: _dt.datetime, date_until: _dt.datetime,
+                  as_of: _dt.datetime) -> tuple[_dt.datetime, _dt.datetime]:
     """Resolve the department report's window on the driver.
 
     A start before 2016-01-01 becomes the first of ``as_of``'s month; an end
     after 2020-01-01 becomes the first of the next month. Both comparisons are
     strict, so the defaults themselves pass through unchanged.
     """
-    as_of = as_of or _dt.datetime.now()
     if date_from < EARLIEST_FROM:
         date_from = first_of_month(as_of)
     if date_until > LATEST_UNTIL:

@@ -20,7 +20,8 @@ def type_label(ptype: Column) -> Column:
 
 
 def department_productivity(detail: DataFrame, daily: DataFrame, users: DataFrame, department: DataFrame,
-                            base: DataFrame, visible: DataFrame, date_from, date_until) -> DataFrame:
+                            base: DataFrame, visible: DataFrame, date_from, date_until,
+                            dates_agree: bool = False) -> DataFrame:
     """Sums of Undefined/Productive/Distracting/Neutral and total time per
     (department, user name, position, resource name, type label), for detail
     rows whose parent day lies in ``[date_from, date_until]`` (both inclusive)
@@ -29,14 +30,20 @@ def department_productivity(detail: DataFrame, daily: DataFrame, users: DataFram
     The label has no fallback: other or NULL types get a NULL label and count
     in the total only. Names group case-insensitively, so homonyms merge.
 
-    Plan: the day filter reaches the parent-day scan; visible users and
-    parent days are semi-joins on keys; detail rows are summed per parent
-    day before the parent-day join and per (user, resource, type) before the
-    dimension joins, which then see aggregated rows.
+    ``dates_agree`` says that every detail row has its parent day's date (see
+    :func:`detail_date_mismatch`); the window then bounds the detail scan as
+    well, which prunes its day partitions.
+
+    Plan: detail rows are summed per (parent day, user, resource, type) before
+    any join. The sums are semi-joined to the visible users and then to the
+    parent days of the window; the last of these keys is not hot and the next
+    aggregate needs another shuffle, so AQE can split either join.
     """
     in_window = daily.where(F.col("date").between(ntz(date_from), ntz(date_until))).select(
         F.col("oid").alias("user_productivity_daily")
     )
+    if dates_agree:
+        detail = detail.where(F.col("date").between(ntz(date_from), ntz(date_until)))
     ptype = F.col("adjusted_productivity_type")
     duration = F.col("daily_duration")
 
@@ -44,20 +51,16 @@ def department_productivity(detail: DataFrame, daily: DataFrame, users: DataFram
         return F.sum(F.when(ptype == code, duration).otherwise(F.lit(0)))
 
     sums = ["sum_undefined", "sum_productive", "sum_distracting", "sum_neutral", "sum_daily"]
-    # Sum detail rows per parent day first (the hour buckets of one day
-    # collapse, combined map-side), so the parent-day semi-join shuffles
-    # aggregated rows, not raw detail rows.
-    per_parent_day = (
-        detail.join(visible.select("system_user"), "system_user", "left_semi")
-        .groupBy("user_productivity_daily", "system_user", "productivity_base", "adjusted_productivity_type")
-        .agg(
-            typed(0).alias("sum_undefined"), typed(1).alias("sum_productive"),
-            typed(2).alias("sum_distracting"), typed(3).alias("sum_neutral"),
-            F.sum(duration).alias("sum_daily"),
-        )
+    per_parent_day = detail.groupBy(
+        "user_productivity_daily", "system_user", "productivity_base", "adjusted_productivity_type"
+    ).agg(
+        typed(0).alias("sum_undefined"), typed(1).alias("sum_productive"),
+        typed(2).alias("sum_distracting"), typed(3).alias("sum_neutral"),
+        F.sum(duration).alias("sum_daily"),
     )
     per_user_resource = (
-        per_parent_day.join(in_window, "user_productivity_daily", "left_semi")
+        per_parent_day.join(visible.select("system_user"), "system_user", "left_semi")
+        .join(in_window, "user_productivity_daily", "left_semi")
         .groupBy("system_user", "productivity_base", "adjusted_productivity_type")
         .agg(*[F.sum(c).alias(c) for c in sums])
     )
@@ -79,3 +82,17 @@ def department_productivity(detail: DataFrame, daily: DataFrame, users: DataFram
     ).agg(
         *[F.min(n).alias(n) for n in names], *[F.sum(s).alias(s) for s in sums]
     ).select(*names, "adjusted_productivity_type", *sums)
+
+
+def detail_date_mismatch(detail: DataFrame, daily: DataFrame) -> DataFrame:
+    """Detail rows whose date is not their parent day's (none: the department
+    report may bound its detail scan by date). Rows without a parent day or
+    with a NULL date on either side are listed as well."""
+    parents = daily.select(F.col("oid").alias("user_productivity_daily"), F.col("date").alias("parent_date"),
+                           F.lit(True).alias("_parent"))
+    days = detail.groupBy("user_productivity_daily", "date").agg(F.count(F.lit(1)).alias("detail_rows"))
+    return (
+        days.join(parents, "user_productivity_daily", "left")
+        .where(F.col("_parent").isNull() | F.coalesce(F.col("date") != F.col("parent_date"), F.lit(True)))
+        .select("user_productivity_daily", "date", "parent_date", "detail_rows")
+    )

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from worklens.functions import BROWSER_RESOURCE_NAMES, is_blank, key_in, name_key, ntz, site_name
-from worklens.plans.distributed import broadcast_if_small, global_ordinal, left_join_spreading_nulls
+from worklens.plans.distributed import global_ordinal, join_spreading_key, left_join_spreading_nulls
 
 # Fixed value: seconds of browser time a (site, browser) pair needs before the
 # site becomes a catalogue entry.
@@ -52,12 +52,12 @@ def expire_duplicate_resources(base: DataFrame, as_of: _dt.datetime) -> DataFram
 
 
 def _browser_entries(base: DataFrame, browsers: Sequence[str]) -> DataFrame:
-    """(productivity_base, resource_name) of the browser entries. A handful of
-    ids holding a large share of all activity: broadcast them (size-checked),
-    so no shuffle ever groups activity by these few keys."""
-    return broadcast_if_small(base.where(key_in(F.col("resource_name"), browsers)).select(
+    """(productivity_base, resource_name) of the browser entries: a handful of
+    ids holding a large share of all activity, so they are only joined with
+    their keys spread."""
+    return base.where(key_in(F.col("resource_name"), browsers)).select(
         F.col("id").alias("productivity_base"), "resource_name"
-    ))
+    )
 
 
 def _titled_with_time():
@@ -69,12 +69,14 @@ def browser_activity_extract(activity: DataFrame, base: DataFrame, detail: DataF
     """Activity with positive time on a browser entry (expired entries
     included) and a non-blank title, with the site name cut from the title.
 
-    ``upd_oid`` is the linked roll-up row if it exists, else NULL. The browser
-    entries are a handful of catalogue ids, broadcast after a size check, so
-    activity is filtered before anything shuffles; activity without a link
-    has its NULL key salted for the roll-up lookup.
+    ``upd_oid`` is the linked roll-up row if it exists, else NULL. Activity is
+    filtered by the browser entries first (spread over salts where they are
+    not broadcast); activity without a link has its NULL key salted for the
+    roll-up lookup. Names and ids do not change when duplicates expire, so
+    any version of the catalogue since the last insert gives the same rows.
     """
-    rows = activity.where(_titled_with_time()).join(_browser_entries(base, browsers), "productivity_base")
+    rows = join_spreading_key(activity.where(_titled_with_time()), _browser_entries(base, browsers),
+                              "productivity_base", ["id"], "inner")
     snapshot = rows.select(
         "id", "first_captured_on",
         site_name(F.col("description")).alias("new_resource_name"),
@@ -90,13 +92,22 @@ def new_resource_candidates(snapshot: DataFrame, base: DataFrame, min_seconds: i
     """Site names whose time under one browser entry exceeds ``min_seconds``
     and that no active catalogue entry has. The threshold is per (site,
     browser) pair, so a site above it in two browsers is listed twice."""
-    # Sum per exact spelling first (hash aggregate, combined map-side), then
-    # merge spellings case-insensitively on the reduced rows.
-    per_spelling = snapshot.groupBy("new_resource_name", "resource_name").agg(
+    return candidates_of(site_times(snapshot), base, min_seconds)
+
+
+def site_times(snapshot: DataFrame) -> DataFrame:
+    """Seconds and rows of the snapshot per exact spelling of site and browser
+    (a hash aggregate, combined map-side)."""
+    return snapshot.groupBy("new_resource_name", "resource_name").agg(
         F.sum("active_duration").alias("seconds"), F.count(F.lit(1)).alias("rows")
     )
+
+
+def candidates_of(times: DataFrame, base: DataFrame, min_seconds: int = MIN_SITE_SECONDS) -> DataFrame:
+    """:func:`new_resource_candidates` from :func:`site_times`: spellings merge
+    case-insensitively on the reduced rows."""
     pairs = (
-        per_spelling.groupBy(
+        times.groupBy(
             name_key(F.col("new_resource_name")).alias("_site"),
             name_key(F.col("resource_name")).alias("_browser"),
         )
@@ -150,12 +161,10 @@ def reassign_activity(activity: DataFrame, snapshot_base: DataFrame, base: DataF
 
     ``snapshot_base`` is the catalogue the snapshot was taken against, ``base``
     the catalogue with the new entries. Belonging to the snapshot is a per-row
-    test (a broadcast lookup of the browser entries, positive time, a
-    non-blank title), so activity is not joined back to the snapshot by id.
-    Each snapshot row's site name is looked up in the per-name target table,
-    one row per catalogue name, which AQE broadcasts when it fits. In that
-    case the activity table is rewritten without a shuffle. Rows outside the
-    snapshot have a NULL site key, salted if the lookup has to shuffle.
+    test (a lookup of the browser entries, positive time, a non-blank title),
+    so activity is not joined back to the snapshot by id. Only snapshot rows
+    look up their site in the per-name target table, with a popular site
+    spread over salts; all other rows pass through without that join.
     """
     target = (
         base.where(F.col("expired_on").isNull() & (F.col("browser_related") == 1))
@@ -163,18 +172,17 @@ def reassign_activity(activity: DataFrame, snapshot_base: DataFrame, base: DataF
         .agg(F.min("id").alias("_target"))
     )
     entries = _browser_entries(snapshot_base, browsers).select("productivity_base", F.lit(True).alias("_browser"))
-    in_snapshot = F.coalesce(F.col("_browser"), F.lit(False)) & _titled_with_time()
-    rows = activity.join(entries, "productivity_base", "left").withColumn(
-        "_site", F.when(in_snapshot, name_key(site_name(F.col("description"))))
-    )
+    rows = join_spreading_key(activity, entries, "productivity_base", ["id"]).withColumn(
+        "_inside", F.coalesce(F.col("_browser"), F.lit(False)) & F.coalesce(_titled_with_time(), F.lit(False)))
     moved = F.coalesce(F.col("productivity_base") != F.col("_target"), F.lit(False))
-    return (
-        left_join_spreading_nulls(rows, target, "_site", ["id"])
+    inside = rows.where("_inside").withColumn("_site", name_key(site_name(F.col("description"))))
+    changed = (
+        join_spreading_key(inside, target, "_site", ["id"])
         .withColumn("_moved", moved)
         .withColumn("productivity_base", F.when(F.col("_moved"), F.col("_target")).otherwise(F.col("productivity_base")))
         .withColumn(LINK, F.when(F.col("_moved"), F.lit(None).cast("bigint")).otherwise(F.col(LINK)))
-        .select(*activity.columns)
     )
+    return rows.where("not _inside").select(*activity.columns).unionByName(changed.select(*activity.columns))
 
 
 def affected_details(snapshot: DataFrame) -> DataFrame:

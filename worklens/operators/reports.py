@@ -26,8 +26,18 @@ from worklens.functions import (
     not_lock_screen,
     ntz,
     truncated_avg,
+    without_prefix,
 )
-from worklens.operators.rollup import reportable_detail, user_day_totals, user_day_work_hours
+from worklens.operators.rollup import (
+    day_resource_measures,
+    merged,
+    reportable,
+    user_day_totals,
+    user_day_work_hours,
+    work_hour_days,
+    work_hour_measures,
+)
+from worklens.plans.distributed import materialize
 
 # Fixed values of the original reports.
 WORK_HOURS = (9, 19)              # hour buckets 9..19, both ends inclusive
@@ -164,7 +174,7 @@ def resource_hour_usage(detail: DataFrame, base: DataFrame, users: DataFrame,
     ).agg(F.sum("duration").alias("duration"), F.min("resource_name").alias("resource_name"))
     out = usage.select(
         "resource_name",
-        F.coalesce(F.col("friendly_name"), F.replace(F.col("name"), F.lit(domain_prefix), F.lit(""))).alias("name"),
+        F.coalesce(F.col("friendly_name"), without_prefix(F.col("name"), domain_prefix)).alias("name"),
         "duration", "hour_from",
         usage_type_label(F.col("adjusted_productivity_type")).alias("productivity_type"),
         "month", "system_user", "adjusted_productivity_type", "resource_key",
@@ -196,23 +206,30 @@ def report_months(params: ReportParams) -> tuple[_dt.datetime, _dt.datetime] | N
     return first_of_month(params.day_from), first_of_month(params.day_until, months_ahead=1)
 
 
+def _resource_measures(params: ReportParams) -> list[Column]:
+    work = in_work_hours(F.col("date"), F.col("hour_from"), params.work_hours, params.top_weekdays)
+    return [F.sum(F.when(work, F.col("daily_duration")).otherwise(F.lit(0))).alias("sum_work"),
+            F.sum("daily_duration").alias("sum_all")]
+
+
+def _resource_times(rows: DataFrame, params: ReportParams) -> DataFrame:
+    return rows.withColumnsRenamed({"sum_work": "work_duration", "sum_all": "all_duration"}).withColumns({
+        "work_duration_time": duration_text(F.col("work_duration")),
+        "all_duration_time": duration_text(F.col("all_duration")),
+    })
+
+
 def user_resource_time(detail: DataFrame, base: DataFrame, params: ReportParams,
                        months: tuple[_dt.datetime, _dt.datetime] | None = None) -> DataFrame:
     """Per user x resource (x month): time inside work hours on the top-resource
     weekdays, and all time. No date bound (as in the original report) unless
-    ``months`` restricts it to whole months ``[start, end)``."""
-    rows = _in_months(reportable_detail(detail, base), "date", months)
+    ``months`` restricts it to whole months ``[start, end)``. Detail rows are
+    summed before the catalogue filter."""
+    rows = _in_months(detail, "date", months)
     if params.monthly:
         rows = _with_ym(rows, "date")
-    work = in_work_hours(F.col("date"), F.col("hour_from"), params.work_hours, params.top_weekdays)
-    out = rows.groupBy(*params.keys, "productivity_base").agg(
-        F.sum(F.when(work, F.col("daily_duration")).otherwise(F.lit(0))).alias("work_duration"),
-        F.sum("daily_duration").alias("all_duration"),
-    )
-    return out.withColumns({
-        "work_duration_time": duration_text(F.col("work_duration")),
-        "all_duration_time": duration_text(F.col("all_duration")),
-    })
+    sums = rows.groupBy(*params.keys, "productivity_base").agg(*_resource_measures(params))
+    return _resource_times(reportable(sums, base), params)
 
 
 def top_resources(resource_time: DataFrame, params: ReportParams) -> DataFrame:
@@ -280,6 +297,11 @@ def user_day_averages(detail: DataFrame, base: DataFrame, users: DataFrame, para
     """
     days = user_day_work_hours(detail, base, params.day_from, params.day_until,
                                params.work_hours, params.day_weekdays)
+    return _day_averages(days, users, params).drop("working_department")
+
+
+def _day_averages(days: DataFrame, users: DataFrame, params: ReportParams) -> DataFrame:
+    """The averages of :func:`user_day_averages`, with the user's department."""
     if params.monthly:
         days = _with_ym(days, "date")
 
@@ -296,7 +318,7 @@ def user_day_averages(detail: DataFrame, base: DataFrame, users: DataFrame, para
                         .alias(f"average_end_time{suffix}"))
     extra = [] if params.monthly else [F.min("date").alias("min_date"), F.max("date").alias("max_date")]
     agg = days.groupBy(*params.keys).agg(F.count(F.lit(1)).alias("number_of_days_observed"), *extra, *measures)
-    named = agg.join(users.select(F.col("oid").alias("system_user"), "name"), "system_user")
+    named = agg.join(users.select(F.col("oid").alias("system_user"), "name", "working_department"), "system_user")
     if params.monthly:
         named = named.withColumn("year_month", _year_month(F.col("y"), F.col("m")))
     return named
@@ -340,15 +362,24 @@ def user_report(detail: DataFrame, base: DataFrame, users: DataFrame, department
     months around ``[day_from, day_until]``: rows of other months could only
     join month rows the report does not have. This bounds the otherwise
     history-wide resource scan (and prunes day partitions).
+
+    The detail table is scanned once: the measures of both halves are summed
+    per (date, user, resource), filtered by the catalogue and written to
+    shared storage, and both halves merge these sums.
     """
     keys = params.keys
     months = report_months(params)
-    main = user_day_averages(detail, base, users, params)
-    pivot = top_resources_pivot(
-        top_resources(user_resource_time(detail, base, params, months), params), base, params
-    )
+    sums = materialize(
+        reportable(day_resource_measures(
+            _in_months(detail, "date", months),
+            [*work_hour_measures(params.work_hours, params.day_weekdays), *_resource_measures(params)]), base),
+        "report-sums")
+    days = work_hour_days(sums.where(F.col("date").between(ntz(params.day_from), ntz(params.day_until))))
+    report = _day_averages(days, users, params)
+    per_resource = _with_ym(sums, "date") if params.monthly else sums
+    times = _resource_times(merged(per_resource, [*keys, "productivity_base"], ["sum_work", "sum_all"]), params)
+    pivot = top_resources_pivot(top_resources(times, params), base, params)
     machines = user_machines(sessions, params, months)
-    report = main.join(users.select(F.col("oid").alias("system_user"), "working_department"), "system_user")
     if params.monthly:
         report = report.join(pivot.join(machines, keys, "left"), keys, "left")
     else:

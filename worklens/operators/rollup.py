@@ -67,14 +67,16 @@ def rollup_drift(detail: DataFrame, activity: DataFrame, tolerance_seconds: int
     )
 
 
-def reportable_detail(detail: DataFrame, base: DataFrame) -> DataFrame:
-    """Detail rows whose resource is in the catalogue and is not the lock screen.
+def reportable(rows: DataFrame, base: DataFrame) -> DataFrame:
+    """Rows whose resource is in the catalogue and is not the lock screen.
 
     The catalogue id is its key, so the inner join of the original reports is
     a semi-join on the qualifying ids: no catalogue column is carried along.
+    Callers pass rows that are already summed per resource, so the shuffle by
+    resource, whose keys are hot, moves groups and no detail rows.
     """
     keep = base.where(not_lock_screen(F.col("resource_name"))).select(F.col("id").alias("productivity_base"))
-    return detail.join(keep, "productivity_base", "left_semi")
+    return rows.join(keep, "productivity_base", "left_semi")
 
 
 def _span_and_type_sums(rows: Column | None, suffix: str, else_zero: bool,
@@ -108,6 +110,17 @@ def _span_and_type_sums(rows: Column | None, suffix: str, else_zero: bool,
     ]
 
 
+def day_resource_measures(detail: DataFrame, measures: list[Column]) -> DataFrame:
+    """``measures`` per (date, user, resource), combined map-side."""
+    return detail.groupBy("date", "system_user", "productivity_base").agg(*measures)
+
+
+def merged(rows: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
+    """Measures of finer groups merged per ``keys``: their prefix (``min_``, ``max_``, ``sum_``) says how."""
+    how = {"min": F.min, "max": F.max, "sum": F.sum}
+    return rows.groupBy(*keys).agg(*[how[n.split("_")[0]](n).alias(n) for n in names])
+
+
 def _with_second_of_day(df: DataFrame, suffix: str) -> DataFrame:
     start_s = seconds_since(F.col("date"), F.col("min_activity_start" + suffix))
     end_s = seconds_since(F.col("date"), F.col("max_activity_end" + suffix))
@@ -127,20 +140,38 @@ DAY_MEASURES = [
 ]
 
 
+_SPAN_AND_SUMS = ["min_activity_start", "max_activity_end", "sum_daily_duration", "sum_productive",
+                  "sum_distracting", "sum_neutral", "sum_undefined"]
+
+
 def user_day_totals(detail: DataFrame, base: DataFrame) -> DataFrame:
     """Per (date, user): first start, last end (timestamp, seconds of day and
     clock text), total time and time per productivity type.
 
     Type buckets sum 0 for other types; a NULL type counts in the total only.
+    Detail rows are summed per resource before the catalogue filter.
     """
-    day = (
-        reportable_detail(detail, base)
-        .groupBy("date", "system_user")
-        .agg(*_span_and_type_sums(None, "", else_zero=True, null_type_is_undefined=False))
-    )
+    per_resource = day_resource_measures(
+        detail, _span_and_type_sums(None, "", else_zero=True, null_type_is_undefined=False))
+    day = merged(reportable(per_resource, base), ["date", "system_user"], _SPAN_AND_SUMS)
     return _with_second_of_day(day, "").select("date", "system_user", *DAY_MEASURES)
 
 
+def work_hour_measures(work_hours: tuple[int, int] = (9, 19),
+                       work_weekdays: tuple[int, int] = (2, 6)) -> list[Column]:
+    """The day measures over all rows and, suffixed ``_wh``, over rows inside work hours."""
+    wh = in_work_hours(F.col("date"), F.col("hour_from"), work_hours, work_weekdays)
+    return [*_span_and_type_sums(None, "", else_zero=False, null_type_is_undefined=True),
+            *_span_and_type_sums(wh, "_wh", else_zero=False, null_type_is_undefined=True)]
+
+
+def work_hour_days(per_resource: DataFrame) -> DataFrame:
+    """:func:`work_hour_measures` per (date, user, resource) merged per (date, user)."""
+    day = merged(per_resource, ["date", "system_user"], [*_SPAN_AND_SUMS, *[n + "_wh" for n in _SPAN_AND_SUMS]])
+    day = _with_second_of_day(_with_second_of_day(day, ""), "_wh")
+    return day.select("date", "system_user", *DAY_MEASURES, *[c + "_wh" for c in DAY_MEASURES])
+
+
 def user_day_work_hours(detail: DataFrame, base: DataFrame, day_from, day_until,
                         work_hours: tuple[int, int] = (9, 19),
                         work_weekdays: tuple[int, int] = (2, 6)) -> DataFrame:
@@ -149,20 +180,8 @@ def user_day_work_hours(detail: DataFrame, base: DataFrame, day_from, day_until,
 
     Type buckets are NULL when no row of that type exists; a NULL type counts
     as Undefined. A day without work-hour rows has NULL ``_wh`` measures.
-    One scan and one aggregation; the row-level work-hour flag replaces a
-    left self-join on the detail key (exact because ``oid`` is unique).
+    One scan; the row-level work-hour flag replaces a left self-join on the
+    detail key (exact because ``oid`` is unique).
     """
-    rows = (
-        reportable_detail(detail, base)
-        .where(F.col("date").between(ntz(day_from), ntz(day_until)))
-    )
-    wh = in_work_hours(F.col("date"), F.col("hour_from"), work_hours, work_weekdays)
-    day = rows.groupBy("date", "system_user").agg(
-        *_span_and_type_sums(None, "", else_zero=False, null_type_is_undefined=True),
-        *_span_and_type_sums(wh, "_wh", else_zero=False, null_type_is_undefined=True),
-    )
-    day = _with_second_of_day(_with_second_of_day(day, ""), "_wh")
-    return day.select(
-        "date", "system_user",
-        *DAY_MEASURES, *[c + "_wh" for c in DAY_MEASURES],
-    )
+    rows = detail.where(F.col("date").between(ntz(day_from), ntz(day_until)))
+    return work_hour_days(reportable(day_resource_measures(rows, work_hour_measures(work_hours, work_weekdays)), base))

@@ -1,71 +1,65 @@
 """Distributed building blocks the jobs share.
 
-* :func:`left_join_spreading_nulls` - a left outer equi-join whose NULL left
-  keys (which can never match) are spread over many shuffle partitions
-  instead of all hashing to one.
+* :func:`materialize` - a lineage cut in shared storage.
+* :func:`join_spreading_key` - an equi-join whose left keys may be hot or NULL.
 * :func:`global_ordinal` - 1..n numbering in a global sort order without a
   single-partition window.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from worklens.session import ensure_checkpoint_dir
 
-NULL_KEY_SPREAD = 256
-# Largest row count a dimension side may have to be broadcast by
-# :func:`broadcast_if_small` (rows here are a key and a short name).
-BROADCAST_MAX_ROWS = 100_000
+# Join keys a value of the left side is spread over; AQE splits larger ones further.
+KEY_SPREAD = 32
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """``broadcast(df)`` when it has at most ``max_rows`` rows, else ``df``.
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the session's shared folder and read it back.
 
-    The bound is checked with a ``limit(max_rows + 1)`` count (a small job that
-    stops early), so a broadcast never ships data of unchecked size; above the
-    bound the join stays a shuffle join that AQE may still re-plan from
-    measured sizes. Use it where the join keys are few and hot, so a shuffle
-    join would send whole key groups to single tasks.
+    The files outlive any executor (unlike a cache or a local checkpoint), the
+    rows are computed once, and the reader knows the table's true size.
     """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
-
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def join_spreading_key(left: DataFrame, right: DataFrame, key: str, spread_by: list[str],
+                       how: str = "left") -> DataFrame:
+    """``left.join(right, key, how)`` for a left key with hot values or NULLs.
+
+    A left row joins on (key, salt) with a salt in ``[0, KEY_SPREAD)`` from a
+    hash of ``spread_by`` (deterministic, so a retried task salts
+    identically); the right side, which must be small next to the left one,
+    is repeated for each salt. A NULL key can match nothing, so its salt is
+    the full 64-bit hash and its rows spread over all partitions. ``right``
+    must carry ``key`` and no other column of ``left``. Whether the right
+    side is broadcast is left to Spark's byte threshold.
+    """
+    spread = F.xxhash64(*spread_by)
+    salt = F.when(F.col(key).isNull(), spread).otherwise(F.pmod(spread, F.lit(KEY_SPREAD)).cast("bigint"))
+    salts = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(KEY_SPREAD - 1).cast("bigint")))
+    return (
+        left.withColumn("_salt", salt)
+        .join(right.withColumn("_salt", salts), [key, "_salt"], how)
+        .drop("_salt")
+    )
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` to the session's reliable checkpoint folder and
-    return a DataFrame that reads it back.
 
-    The rows are persisted for the duration of the checkpoint, so they are
-    computed once: a reliable checkpoint of an unpersisted plan computes it a
-    second time to write the files. The checkpoint survives executor loss
-    (unlike a local checkpoint or a cache).
-    """
-    ensure_checkpoint_dir(df.sparkSession)
-    held = df.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return held.checkpoint(eager=True)
-    finally:
-        held.unpersist()
-
-
-def left_join_spreading_nulls(left: DataFrame, right: DataFrame, key: str, spread_by: list[str],
-                              spread: int = NULL_KEY_SPREAD) -> DataFrame:
-    """``left.join(right, key, 'left')`` where a NULL ``key`` is a hot value.
-
-    Left rows with a NULL key get a salt in ``[0, spread)`` from a hash of
-    ``spread_by`` (deterministic, so a retried task salts identically); all
-    other rows and the right side use salt 0. The join is on (key, salt), so
-    matches are unchanged and the NULL rows shuffle to ``spread`` partitions.
-    ``right`` must carry ``key`` and no other column of ``left``.
-    """
-    salt = F.when(F.col(key).isNull(), F.pmod(F.xxhash64(*spread_by), F.lit(spread))).otherwise(F.lit(0))
+def left_join_spreading_nulls(left: DataFrame, right: DataFrame, key: str, spread_by: list[str]) -> DataFrame:
+    """``left.join(right, key, 'left')`` where only the NULL key is hot: NULL
+    rows get their full hash as a salt, all others and the right side salt 0."""
+    zero = F.lit(0).cast("bigint")
+    salt = F.when(F.col(key).isNull(), F.xxhash64(*spread_by)).otherwise(zero)
     return (
-        left.withColumn("_salt", salt.cast("bigint"))
-        .join(right.withColumn("_salt", F.lit(0).cast("bigint")), [key, "_salt"], "left")
+        left.withColumn("_salt", salt)
+        .join(right.withColumn("_salt", zero), [key, "_salt"], "left")
         .drop("_salt")
     )
 
@@ -75,15 +69,16 @@ def global_ordinal(df: DataFrame, order: list[Column], name: str = "ordinal") ->
     seeing all rows.
 
     The rows are range-partitioned and sorted, tagged with their partition
-    and a within-partition sequence, and checkpointed (reliable checkpoint,
-    so the layout is fixed even if executors are lost and tasks rerun). Each
+    and a within-partition sequence, and written to shared storage, so the
+    layout is fixed even if executors are lost and tasks rerun. Each
     partition's start offset is a running sum over one row per partition -
     a table bounded by the partition count, broadcast back to the rows.
     """
-    tagged = cut_lineage(
+    tagged = materialize(
         df.orderBy(*order)
         .withColumn("_part", F.spark_partition_id())
-        .withColumn("_seq", F.monotonically_increasing_id())
+        .withColumn("_seq", F.monotonically_increasing_id()),
+        "ordinal",
     )
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (

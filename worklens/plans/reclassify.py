@@ -1,16 +1,15 @@
 """The browser re-attribution job: all eight steps in order, as one job.
 
-The browser snapshot is taken once, after the duplicate expiry and before
-any activity changes, and every later step reads that snapshot (not the
-updated activity). It is checkpointed (reliable, to the session's checkpoint
-folder) because three steps read it: recomputing it per step would rescan the
-activity table and could see a different state if the inputs moved.
+The browser snapshot is taken before any activity changes, and every later
+step reads that snapshot (not the updated activity). What later steps need of
+it are two aggregates, the time per site and browser and the distinct roll-up
+ids; a published run writes these to shared storage once.
 """
 
 from __future__ import annotations
 
-import dataclasses
 import datetime as _dt
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -18,45 +17,81 @@ from pyspark.sql import functions as F
 
 from worklens.functions import BROWSER_RESOURCE_NAMES, ntz
 from worklens.operators import reclassify as step
-from worklens.plans.distributed import cut_lineage
-from worklens.sources.tables import Tables, write_version
+from worklens.plans.distributed import materialize
+from worklens.sources.tables import Tables, table_locations, write_version
 
+CHANGED = ("productivity_base", "user_activity", "user_productivity_daily_detail")
 
-@dataclasses.dataclass(frozen=True)
-class Reclassified:
-    tables: Tables            # next versions of catalogue, activity and roll-up
-    snapshot: DataFrame
-    candidates: DataFrame
-    affected: DataFrame
+
+class BrowserReclassify:
+    """The steps over one version of the tables, each built when it is asked for.
+
+    With ``keep`` the two aggregates of the snapshot are written to shared
+    storage when a step needs them, so that they are computed once although
+    three next tables read them; without, every step is one lazy plan (apart
+    from the id numbering of ``catalogue``).
+    """
+
+    def __init__(self, tables: Tables, as_of: _dt.datetime, browsers: Sequence[str] = BROWSER_RESOURCE_NAMES,
+                 min_seconds: int = step.MIN_SITE_SECONDS, keep: bool = False):
+        self.before, self.as_of, self.browsers, self.min_seconds = tables, as_of, browsers, min_seconds
+        self._kept = materialize if keep else lambda frame, name: frame
+
+    @functools.cached_property
+    def expired(self) -> DataFrame:
+        return step.expire_duplicate_resources(self.before.base, self.as_of)
+
+    @functools.cached_property
+    def snapshot(self) -> DataFrame:
+        return step.browser_activity_extract(self.before.activity, self.before.base, self.before.detail, self.browsers)
+
+    @functools.cached_property
+    def candidates(self) -> DataFrame:
+        times = self._kept(step.site_times(self.snapshot), "site-times")
+        return step.candidates_of(times, self.expired, self.min_seconds)
+
+    @functools.cached_property
+    def catalogue(self) -> DataFrame:
+        return step.register_resources(self.expired, self.candidates, self.as_of)
+
+    @functools.cached_property
+    def reassigned(self) -> DataFrame:
+        return step.reassign_activity(self.before.activity, self.before.base, self.catalogue, self.browsers)
+
+    @functools.cached_property
+    def affected(self) -> DataFrame:
+        return self._kept(step.affected_details(self.snapshot), "affected-details")
+
+    @functools.cached_property
+    def activity(self) -> DataFrame:
+        return step.detach_activity(self.reassigned, self.affected)
+
+    @functools.cached_property
+    def detail(self) -> DataFrame:
+        return step.drop_details(self.before.detail, self.affected)
+
+    @functools.cached_property
+    def tables(self) -> Tables:
+        """The next version: catalogue, activity and roll-up replaced."""
+        return self.before.replace(productivity_base=self.catalogue, user_activity=self.activity,
+                                   user_productivity_daily_detail=self.detail)
 
 
 def browser_reclassify(tables: Tables, as_of: _dt.datetime,
                        browsers: Sequence[str] = BROWSER_RESOURCE_NAMES,
-                       min_seconds: int = step.MIN_SITE_SECONDS, checkpoint: bool = True) -> Reclassified:
-    base1 = step.expire_duplicate_resources(tables.base, as_of)
-    snapshot = step.browser_activity_extract(tables.activity, base1, tables.detail, browsers)
-    if checkpoint:
-        snapshot = cut_lineage(snapshot)
-    candidates = step.new_resource_candidates(snapshot, base1, min_seconds)
-    base2 = step.register_resources(base1, candidates, as_of)
-    affected = step.affected_details(snapshot)
-    activity = step.detach_activity(step.reassign_activity(tables.activity, base1, base2, browsers), affected)
-    detail = step.drop_details(tables.detail, affected)
-    next_tables = tables.replace(productivity_base=base2, user_activity=activity,
-                                 user_productivity_daily_detail=detail)
-    return Reclassified(next_tables, snapshot, candidates, affected)
-
-
-def publish(result: Reclassified, root: str, version: str) -> str:
-    """Write the three changed tables as a new published version."""
-    t = result.tables
-    return write_version(
-        {"productivity_base": t.base, "user_activity": t.activity, "user_productivity_daily_detail": t.detail},
-        root, version,
-    )
+                       min_seconds: int = step.MIN_SITE_SECONDS) -> BrowserReclassify:
+    return BrowserReclassify(tables, as_of, browsers, min_seconds, keep=True)
+
+
+def publish(result: BrowserReclassify, root: str, version: str, source: str) -> str:
+    """Write the three changed tables as a new published version of ``root``;
+    the other seven stay where the version at ``source`` has them."""
+    spark = result.before.base.sparkSession
+    unchanged = {name: path for name, path in table_locations(spark, source).items() if name not in CHANGED}
+    return write_version({name: result.tables.as_dict()[name] for name in CHANGED}, root, version, unchanged)
 
 
-def summary(result: Reclassified, as_of: _dt.datetime) -> DataFrame:
+def summary(result: BrowserReclassify, as_of: _dt.datetime) -> DataFrame:
     """(metric, value) rows describing the next version.
 
     One global aggregate per table (conditional counts side by side), each

@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from worklens import oracle
-from worklens.operators import access, departments, reclassify, reports, rollup
+from worklens.operators import access, departments, reports, rollup
 from worklens.plans import reclassify as reclassify_job
 from worklens.session import configure
 from worklens.sources.fixtures import fixture_tables
@@ -35,6 +35,7 @@ VIEWER_WITH_GROUPS = 0
 VIEWER_WITHOUT_GROUPS = -1
 DEFAULT_VIEWER = 0
 DEPARTMENT_FROM = _dt.datetime(2024, 1, 1)
+EARLY_START, EARLY_AS_OF = _dt.datetime(2015, 6, 1), _dt.datetime(2024, 3, 15)
 DEPARTMENT_UNTIL = _dt.datetime(2024, 5, 1)
 MONTHLY = reports.monthly_params(
     sessions_since=_dt.datetime(2024, 1, 1),
@@ -137,15 +138,17 @@ def _jobs() -> dict[str, tuple[Job, str | None]]:
     return jobs
 
 
-def _visible(t: Tables, viewer) -> DataFrame:
+def _visible(t: Tables, viewer, default_viewer=DEFAULT_VIEWER) -> DataFrame:
     return access.visible_users(t.users, t.system_user_to_group, t.filtering_group, t.app_user_to_group,
-                                viewer, DEFAULT_VIEWER)
+                                viewer, default_viewer)
 
 
-def _department(t: Tables, viewer) -> DataFrame:
-    date_from, date_until = access.report_window(DEPARTMENT_FROM, DEPARTMENT_UNTIL, AS_OF)
+def _department(t: Tables, viewer, first: _dt.datetime = DEPARTMENT_FROM, as_of: _dt.datetime = AS_OF) -> DataFrame:
+    date_from, date_until = access.report_window(first, DEPARTMENT_UNTIL, as_of)
+    # detail_date_mismatch is empty for the fixtures.
     return departments.department_productivity(
-        t.detail, t.daily, t.users, t.department, t.base, _visible(t, viewer), date_from, date_until
+        t.detail, t.daily, t.users, t.department, t.base, _visible(t, viewer), date_from, date_until,
+        dates_agree=True,
     )
 
 
@@ -159,6 +162,26 @@ def _visibility_jobs() -> dict[str, tuple[Job, str | None]]:
             _job(lambda t: _visible(t, VIEWER_WITHOUT_GROUPS)),
             oracle.visible_users(VIEWER_WITHOUT_GROUPS, DEFAULT_VIEWER),
         ),
+        # A NULL viewer: the default viewer's groups decide whether the list
+        # applies, and the list of a NULL viewer is empty.
+        "visible_users_null_viewer": (
+            _job(lambda t: _visible(t, None)),
+            oracle.visible_users(None, DEFAULT_VIEWER),
+        ),
+        "visible_users_null_viewer_unfiltered": (
+            _job(lambda t: _visible(t, None, VIEWER_WITHOUT_GROUPS)),
+            oracle.visible_users(None, VIEWER_WITHOUT_GROUPS),
+        ),
+        "detail_date_mismatch": (
+            _job(lambda t: departments.detail_date_mismatch(t.detail, t.daily)),
+            oracle.detail_date_mismatch(),
+        ),
+        # A start before 2016 becomes the first of the current month.
+        "department_productivity_early_start": (
+            _job(lambda t: _department(t, VIEWER_WITHOUT_GROUPS, EARLY_START, EARLY_AS_OF)),
+            oracle.department_productivity(VIEWER_WITHOUT_GROUPS, DEFAULT_VIEWER, EARLY_START,
+                                           DEPARTMENT_UNTIL, EARLY_AS_OF),
+        ),
         "department_productivity": (
             _job(lambda t: _department(t, VIEWER_WITHOUT_GROUPS)),
             oracle.department_productivity(VIEWER_WITHOUT_GROUPS, DEFAULT_VIEWER, DEPARTMENT_FROM,
@@ -172,71 +195,35 @@ def _visibility_jobs() -> dict[str, tuple[Job, str | None]]:
     }
 
 
-class _Steps:
-    """The re-attribution steps in order, each on the previous steps' output.
-
-    Built lazily, so a registered step constructs only the steps it depends
-    on (no checkpoint: each registered step is one read-only plan, apart from
-    the id numbering of ``a4``).
-    """
-
-    def __init__(self, t: Tables):
-        self.t = t
-
-    @functools.cached_property
-    def a1(self) -> DataFrame:
-        return reclassify.expire_duplicate_resources(self.t.base, AS_OF)
-
-    @functools.cached_property
-    def a2(self) -> DataFrame:
-        return reclassify.browser_activity_extract(self.t.activity, self.a1, self.t.detail)
-
-    @functools.cached_property
-    def a3(self) -> DataFrame:
-        return reclassify.new_resource_candidates(self.a2, self.a1)
-
-    @functools.cached_property
-    def a4(self) -> DataFrame:
-        return reclassify.register_resources(self.a1, self.a3, AS_OF)
-
-    @functools.cached_property
-    def a5(self) -> DataFrame:
-        return reclassify.reassign_activity(self.t.activity, self.a1, self.a4)
-
-    @functools.cached_property
-    def a6(self) -> DataFrame:
-        return reclassify.affected_details(self.a2)
-
-    @functools.cached_property
-    def a7(self) -> DataFrame:
-        return reclassify.detach_activity(self.a5, self.a6)
-
-    @functools.cached_property
-    def a8(self) -> DataFrame:
-        return reclassify.drop_details(self.t.detail, self.a6)
-
-
+# Step of the composed job, and the step of the oracle it must equal.
 _STEP_KEYS = {
-    "expire_duplicate_resources": "a1",
-    "browser_activity_extract": "a2",
-    "new_resource_candidates": "a3",
-    "register_resources": "a4",
-    "reassign_activity": "a5",
-    "affected_details": "a6",
-    "detach_activity": "a7",
-    "drop_details": "a8",
+    "expire_duplicate_resources": ("expired", "a1"),
+    "browser_activity_extract": ("snapshot", "a2"),
+    "new_resource_candidates": ("candidates", "a3"),
+    "register_resources": ("catalogue", "a4"),
+    "reassign_activity": ("reassigned", "a5"),
+    "affected_details": ("affected", "a6"),
+    "detach_activity": ("activity", "a7"),
+    "drop_details": ("detail", "a8"),
 }
 
 
 def _reclassify_jobs() -> dict[str, tuple[Job, str | None]]:
     jobs: dict[str, tuple[Job, str | None]] = {
-        name: (_job(lambda t, s=step: getattr(_Steps(t), s)), oracle.reclassify_step(step, AS_OF))
-        for name, step in _STEP_KEYS.items()
+        name: (_job(lambda t, s=step: getattr(reclassify_job.BrowserReclassify(t, AS_OF), s)),
+               oracle.reclassify_step(sql_step, AS_OF))
+        for name, (step, sql_step) in _STEP_KEYS.items()
     }
     jobs["browser_reclassify"] = (
         _job(lambda t: reclassify_job.summary(reclassify_job.browser_reclassify(t, AS_OF), AS_OF)),
         oracle.reclassify_summary(AS_OF),
     )
+    # The next version's tables, out of the job as it is published.
+    for table, sql_step in (("productivity_base", "a4"), ("user_activity", "a7"), ("user_productivity_daily_detail", "a8")):
+        jobs[f"next_{table}"] = (
+            _job(lambda t, name=table: reclassify_job.browser_reclassify(t, AS_OF).tables.as_dict()[name]),
+            oracle.reclassify_step(sql_step, AS_OF),
+        )
     return jobs
 
 

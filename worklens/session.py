@@ -10,7 +10,6 @@ directory for lineage cuts in multi-output jobs.
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -60,22 +59,16 @@ def local_session(cores: int | None = None, shuffle_partitions: int | None = Non
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the session's reliable checkpoint directory.
+    """The application's own folder in storage that all executors share.
 
-    The cluster names a shared folder in ``spark.checkpoint.dir``; that is used
-    as is. Only a local-mode session without the setting (a test) gets a fresh
-    scratch folder; a cluster session without it is an error, because a
-    machine-local folder would not survive the loss of an executor.
+    One rule for every master: the folder that ``spark.checkpoint.dir`` names,
+    or, where it is unset (tests), one under the session's warehouse, which a
+    cluster shares too. The folder is removed when the driver's JVM ends.
     """
     sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if configured:
-        sc.setCheckpointDir(configured)
-    elif sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="worklens-ckpt-"))
-    else:
-        raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
+    if not sc.getCheckpointDir():
+        configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        sc.setCheckpointDir(configured or f"{spark.conf.get('spark.sql.warehouse.dir')}/worklens-checkpoints")
+        path = sc._jvm.org.apache.hadoop.fs.Path(sc.getCheckpointDir())
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(path)
     return sc.getCheckpointDir()

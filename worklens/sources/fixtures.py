@@ -4,8 +4,12 @@ No activity data ships with the task, so the ten tables the jobs read are
 derived, row for row, from ``events customer supplier part nation region
 pages`` (see FIXTURES.md). Every derived table grows with the scale factor:
 the catalogue is the whole ``part`` table, the roll-up detail has one row per
-event, activity one row per event. Modular arithmetic below only *shapes*
-values (durations, NULLs, links, expiry); it never drops source rows.
+event, activity one row per event. Facts refer to the whole catalogue and all
+pages (modulo their row counts), so the number of resources and sites grows
+too. Skew is built in at every scale: user 0 has a third of all rows, resource
+7 a quarter of the roll-up, the three browsers a third of the activity, one
+site a seventh of the titles, and a third of the activity has no link.
+Modular arithmetic only *shapes* values; it never drops source rows.
 
 ``events.ts`` covers one month, so each event is shifted by 0/30/60/90 days
 to give the reports several months.
@@ -38,8 +42,10 @@ EXPIRED = "TIMESTAMP_NTZ '2023-06-01 00:00:00'"
 # that the browser, lock-screen, blank and NULL cases occur at every scale.
 FIXTURE_SQL = {
     "ev": """
-SELECT event_id, user_id, value, timestampadd(DAY, (event_id % 4) * 30, ts) AS ts2,
-       CAST(floor(value * 10) AS INT) + CASE WHEN user_id % 10 = 0 THEN 20000 ELSE 0 END AS dur
+SELECT event_id, value, timestampadd(DAY, (event_id % 4) * 30, ts) AS ts2,
+       CASE WHEN event_id % 3 = 1 THEN 0 ELSE user_id END AS user_id,
+       CAST(floor(value * 10) AS INT) + CASE WHEN user_id % 10 = 0 THEN 20000 ELSE 0 END AS dur,
+       (SELECT count(*) FROM {part}) AS n_parts, (SELECT count(*) FROM {pages}) AS n_pages
 FROM {events}""",
     "productivity_base": f"""
 SELECT p_partkey AS id,
@@ -55,7 +61,7 @@ FROM {{part}}""",
 SELECT event_id AS oid, CAST(CAST(ts2 AS DATE) AS TIMESTAMP_NTZ) AS date, hour(ts2) AS hour_from,
        ts2 AS activity_start, timestampadd(SECOND, dur, ts2) AS activity_end, dur AS daily_duration,
        CAST(CASE WHEN event_id % 5 = 4 THEN NULL ELSE event_id % 5 END AS INT) AS adjusted_productivity_type,
-       user_id AS system_user, event_id % 60 AS productivity_base,
+       user_id AS system_user, CASE WHEN event_id % 4 = 1 THEN 7 ELSE event_id % n_parts END AS productivity_base,
        CAST(user_id * 100000000 + year(ts2) * 10000 + month(ts2) * 100 + day(ts2) AS BIGINT)
            AS user_productivity_daily
 FROM {ev}""",
@@ -64,18 +70,18 @@ SELECT DISTINCT user_productivity_daily AS oid, date FROM {detail}""",
     "user_activity": """
 SELECT e.event_id AS id, e.ts2 AS first_captured_on,
        CASE e.event_id % 7 WHEN 0 THEN p.url
-            WHEN 1 THEN 'Report ' || CAST(e.event_id % 37 AS STRING) || '.pdf - viewer'
-            WHEN 2 THEN 'page' || CAST(e.event_id % 23 AS STRING) || '.html'
+            WHEN 1 THEN 'Report ' || CAST(e.event_id % e.n_pages AS STRING) || '.pdf - viewer'
+            WHEN 2 THEN 'page' || CAST(e.event_id div 7 % e.n_parts AS STRING) || '.html'
             WHEN 3 THEN 'Default' || CAST(e.event_id % 5 AS STRING) || '.aspx?q=1'
             WHEN 4 THEN 'portal./Search?q=' || CAST(e.event_id AS STRING)
             WHEN 5 THEN '   ' END AS description,
        p.url AS url, CAST(floor(e.value * 10 / 3) AS INT) AS active_duration,
-       (e.event_id * 7) % 60 AS productivity_base,
-       CASE WHEN e.event_id % 10 = 9 OR e.event_id % 50 = 3 THEN CAST(NULL AS BIGINT)
+       CASE WHEN e.event_id % 3 = 0 THEN e.event_id div 3 % 3 ELSE e.event_id * 7 % e.n_parts END AS productivity_base,
+       CASE WHEN e.event_id % 3 = 2 OR e.event_id % 50 = 3 THEN CAST(NULL AS BIGINT)
             ELSE e.event_id - e.event_id % 3 END AS user_productivity_daily_detail,
        CASE WHEN e.event_id % 2 = 0 THEN 4 ELSE 8 END AS object_type,
        CASE WHEN e.event_id % 20 = 9 THEN 1 ELSE 0 END AS inactivity_set
-FROM {ev} e LEFT JOIN {pages} p ON p.page_id = e.event_id % 50""",
+FROM {ev} e LEFT JOIN {pages} p ON p.page_id = e.event_id % e.n_pages""",
     "system_user": f"""
 SELECT c_custkey AS oid, 'CORP/' || c_name AS name,
        CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE 'F ' || c_name END AS friendly_name,
@@ -117,7 +123,7 @@ def raw_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def fixture_tables(spark: SparkSession, sf_dir: str) -> Tables:
     raw = {name: raw_table(spark, sf_dir, name) for name in RAW_SCHEMAS}
-    ev = spark.sql(FIXTURE_SQL["ev"], events=raw["events"])
+    ev = spark.sql(FIXTURE_SQL["ev"], events=raw["events"], part=raw["part"], pages=raw["pages"])
     detail = spark.sql(FIXTURE_SQL["user_productivity_daily_detail"], ev=ev)
 
     def derive(name: str, **frames: DataFrame) -> DataFrame:

@@ -1,9 +1,10 @@
-"""The set of activity tables a job reads, and the next-version sink.
+"""The set of activity tables a job reads, and the version chain.
 
 Jobs never mutate a table in place: an UPDATE/DELETE/INSERT of the original
-scripts becomes a pure ``DataFrame -> DataFrame`` producing the next version,
-which :func:`write_version` writes to a fresh directory and publishes only
-when every table of the version has been written.
+scripts becomes a pure ``DataFrame -> DataFrame`` producing the next version.
+:func:`write_version` writes the changed tables to a fresh folder and then a
+manifest that says where each of the ten tables of this version lies, changed
+or not; :func:`read_tables` reads a version, or the newest published one.
 """
 
 from __future__ import annotations
@@ -67,52 +68,102 @@ PARTITIONING: dict[str, list[str]] = {
 }
 
 
-def read_tables(spark: SparkSession, root: str) -> Tables:
-    """Read every table from ``root/<table>`` parquet with its declared schema.
+MANIFEST = "_PUBLISHED"
+
+
+def _folder(spark: SparkSession, path: str):
+    """(Hadoop file system, qualified path) of a folder, in whatever store it lies."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs, fs.makeQualified(path)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    fs, where = _folder(spark, path)
+    return fs.exists(where)
+
+
+def published_versions(spark: SparkSession, root: str) -> list[str]:
+    """Paths of the published versions under ``root``, oldest first.
+
+    A version is published once its manifest is complete; folders of writes
+    that failed have none and are not listed.
+    """
+    if not _exists(spark, root):
+        return []
+    fs, where = _folder(spark, root)
+    paths = [f.getPath().toString() for f in fs.listStatus(where) if f.isDirectory()]
+    found = [(_manifest(spark, p)["sequence"], p) for p in paths if _is_published(spark, p)]
+    return [p for _, p in sorted(found)]
+
+
+def _is_published(spark: SparkSession, path: str) -> bool:
+    return _exists(spark, f"{path}/{MANIFEST}/_SUCCESS")
+
+
+def _manifest(spark: SparkSession, version_path: str) -> dict:
+    return json.loads(spark.read.text(f"{version_path}/{MANIFEST}").first()[0])
+
+
+def table_locations(spark: SparkSession, path: str) -> dict[str, str]:
+    """Where each table lies: of the version at ``path``, of the newest version
+    published under ``path``, or else as plain ``<path>/<table>`` folders."""
+    if not _is_published(spark, path):
+        versions = published_versions(spark, path)
+        if not versions:
+            return {name: _folder(spark, f"{path}/{name}")[1].toString() for name in TABLE_SCHEMAS}
+        path = versions[-1]
+    return _manifest(spark, path)["tables"]
+
+
+def read_tables(spark: SparkSession, path: str) -> Tables:
+    """The ten tables at ``path`` (see :func:`table_locations`) with their declared schemas.
 
     Declaring the schema skips inference and makes column pruning, filter
     pushdown and (for day-partitioned tables) partition pruning reach the
     scan for each job. Columns come back in declared order.
     """
-    frames = {
-        name: spark.read.schema(schema).parquet(os.path.join(root, name)).select(*schema.fieldNames())
+    where = table_locations(spark, path)
+    return Tables(**{
+        name: spark.read.schema(schema).parquet(where[name]).select(*schema.fieldNames())
         for name, schema in TABLE_SCHEMAS.items()
-    }
-    return Tables(**frames)
-
-
-def register_views(spark: SparkSession, tables: Tables) -> None:
-    """Expose the tables as temp views for ``spark.sql`` users."""
-    for name, frame in tables.as_dict().items():
-        frame.createOrReplaceTempView(name)
+    })
 
 
 def write_table(frame: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    """Write one table version as parquet.
+    """Write one table of a version as parquet; an existing path is an error.
 
     A partitioned table is rebalanced on its partition columns first (AQE
     sizes the write tasks and splits a large day), so each task writes a few
     large files of one day instead of every task writing a file for every day.
     """
     if partition_by:
-        frame.hint("rebalance", *partition_by).write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+        frame.hint("rebalance", *partition_by).write.partitionBy(*partition_by).parquet(path)
     else:
-        frame.write.mode("overwrite").parquet(path)
+        frame.write.parquet(path)
 
 
 def write_version(tables: dict[str, DataFrame], root: str, version: str,
-                  partitioning: dict[str, list[str]] | None = None) -> str:
+                  unchanged: dict[str, str] | None = None) -> str:
     """Write the given tables as ``root/<version>/<table>`` and publish the version.
 
-    The marker ``root/<version>/_PUBLISHED`` is written last; readers take the
-    newest published version, so a failure mid-way never exposes a partial
-    state (the original scripts ran their statements without a transaction).
+    ``unchanged`` names the locations of the other tables. The manifest is
+    written last, over nothing: an existing version, published or not, is
+    refused, so a failure half-way is never visible and never damages what is
+    there (the original scripts ran their statements without a transaction).
     """
-    layout = PARTITIONING if partitioning is None else partitioning
+    spark = next(iter(tables.values())).sparkSession
     target = os.path.join(root, version)
+    missing = set(TABLE_SCHEMAS) - set(tables) - set(unchanged or {})
+    if missing:
+        raise ValueError(f"no table or location given for {sorted(missing)}")
+    if _exists(spark, target):
+        raise FileExistsError(f"{target} exists; a version is written once, under a new name")
+    older = published_versions(spark, root)
     for name, frame in tables.items():
-        write_table(frame, os.path.join(target, name), layout.get(name))
-    spark = next(iter(tables.values())).sparkSession
-    marker = spark.createDataFrame([(json.dumps(sorted(tables)),)], "tables string")
-    marker.coalesce(1).write.mode("overwrite").text(os.path.join(target, "_PUBLISHED"))
+        write_table(frame, os.path.join(target, name), PARTITIONING.get(name))
+    where = {**(unchanged or {}), **{n: _folder(spark, os.path.join(target, n))[1].toString() for n in tables}}
+    sequence = _manifest(spark, older[-1])["sequence"] + 1 if older else 0
+    manifest = json.dumps({"sequence": sequence, "tables": {n: where[n] for n in TABLE_SCHEMAS}})
+    spark.createDataFrame([(manifest,)], "manifest string").coalesce(1).write.text(os.path.join(target, MANIFEST))
     return target
