@@ -6,7 +6,7 @@
   site names, calendar).
 * ``worklens.operators`` - the jobs, each ``DataFrame(s) -> DataFrame``.
 * ``worklens.plans`` - the composed re-attribution job and distributed
-  building blocks (NULL-key spreading, size-checked broadcast, global ordinal).
+  building blocks (spreading of hot and NULL keys, lineage cut, global ordinal).
 
 ``python -m worklens <job> --tables <root> --out <path>`` runs one job.
 """
