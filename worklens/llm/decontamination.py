@@ -171,6 +171,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             if i not in held:
                 held.clear()
                 held[i] = Phrases(blocks[i].value)
+                # A broadcast keeps what it has loaded; one block at a time is the bound.
+                vars(blocks[i]).pop("_value", None)
             return held[i]
 
         for batch in batches:
