@@ -25,8 +25,14 @@ def documents(request, odd_documents, no_documents, small):
     return {"odd": odd_documents, "none": no_documents, "small": small("documents")}[request.param]
 
 
-@pytest.mark.parametrize("rule", [ngram_join.Rule(3, 90, 100), ngram_join.Rule(5, 8, 10), ngram_join.Rule(2, 1, 2)])
-def test_ngram_join(documents, rule):
+def test_ngram_join(documents):
+    rule = ngram_join.Rule(3, 90, 100)
+    assert rows(ngram_join.join_report(documents, rule)) == brute.join(pairs(documents), rule.words, rule.num, rule.den)
+
+
+@pytest.mark.parametrize("rule", [ngram_join.Rule(5, 8, 10), ngram_join.Rule(2, 1, 2)])
+def test_ngram_join_of_other_rules(odd_documents, rule):
+    documents = odd_documents
     assert rows(ngram_join.join_report(documents, rule)) == brute.join(pairs(documents), rule.words, rule.num, rule.den)
 
 

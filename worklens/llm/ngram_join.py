@@ -230,8 +230,8 @@ class InvertedLists:
         self.postings = np.repeat(np.arange(len(sets)), self.sizes)[order]
         self.edges = np.searchsorted(number[order], np.arange(len(self.shingles) + 1))
 
-    def query(self, own: np.ndarray, skip: np.ndarray | None = None) -> np.ndarray:
-        """Numbers of the sets that link with ``own``; sets marked in ``skip`` are left out."""
+    def query(self, own: np.ndarray) -> np.ndarray:
+        """Numbers of the sets that link with ``own``."""
         n = len(own)
         at = np.searchsorted(self.shingles, own)
         at[at == len(self.shingles)] = 0
@@ -248,16 +248,18 @@ class InvertedLists:
         merged = self.postings[np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(self.edges[short], sizes)]
         found, times = np.unique(merged, return_counts=True)
         fits = (times >= least - n_long) & (self.sizes[found] >= least) & (self.rule.least(self.sizes[found]) <= n)
-        if skip is not None:
-            fits &= ~skip[found]
         found, times = found[fits], times[fits]
-        # Probe the long lists: each list is sorted by set number.
-        for i in long:
-            if not len(found):
-                break
-            entries = self.postings[self.edges[i]:self.edges[i + 1]]
-            place = np.minimum(np.searchsorted(entries, found), len(entries) - 1)
-            times += entries[place] == found
+        # Probe the long lists by binary search: each of them for all sets, or
+        # all of them in each set's sorted shingles, whichever is fewer probes.
+        if len(found) < len(long):
+            wanted = np.sort(self.shingles[long])
+            for i, j in enumerate(found):
+                there = self.sets[j]
+                times[i] += (there[np.minimum(np.searchsorted(there, wanted), len(there) - 1)] == wanted).sum()
+        else:
+            for i in long:
+                entries = self.postings[self.edges[i]:self.edges[i + 1]]
+                times += entries[np.minimum(np.searchsorted(entries, found), len(entries) - 1)] == found
         return found[self.rule.links(times, n, self.sizes[found])]
 
 
