@@ -59,9 +59,22 @@ def test_quality_odd_rows(spark, odd_documents, no_documents):
     assert {r["predicted"] for r in one_class} == {1}
 
 
-def test_quality_rules_are_conjunctions_of_their_path():
-    rule = quality.Rule((("words", True, 1.0), ("upper", False, 0.5)), 2.0)
-    assert "words" in str(rule.holds()) and "upper" in str(rule.holds())
+def test_quality_rules_are_the_paths_of_the_trees():
+    printed = """RandomForestClassificationModel: uid=x, numTrees=2
+  Tree 0 (weight 1.0):
+    If (feature 0 <= 1.5)
+     If (feature 1 <= -2.0E-5)
+      Predict: 1.0
+     Else (feature 1 > -2.0E-5)
+      Predict: 0.0
+    Else (feature 0 > 1.5)
+     Predict: 0.0
+  Tree 1 (weight 1.0):
+    Predict: 1.0"""
+    a, b = ("words", False, 1.5), ("words", True, 1.5)
+    assert quality.tree_paths(printed, ["words", "upper"]) == {
+        (a,), (b,), (("upper", False, -2e-5), a), (("upper", True, -2e-5), a)}
+    assert quality.Rule((("upper", True, -2e-5), a)).holds() == "_stats.upper > -2e-05D AND _stats.words <= 1.5D"
 
 
 # Sharding.

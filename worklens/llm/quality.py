@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import dataclasses
 import math
-from functools import reduce
+import re
 
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector
@@ -33,9 +33,10 @@ from pyspark.sql import functions as F
 from worklens.llm.common import stage, table
 
 MAX_FIT_ROWS = 20_000
-TREES = 24
+TREES = 16
 DEPTH = 3
 LASSO = 0.002
+STEPS = 40
 SEED = 11
 FOLDS, HELD_OUT_FOLD = 3, 1
 
@@ -105,9 +106,9 @@ class Rule:
     conditions: tuple[tuple[str, bool, float], ...]
     weight: float = 0.0
 
-    def holds(self) -> Column:
-        tests = [F.col(f"_stats.{s}") > t if above else F.col(f"_stats.{s}") <= t for s, above, t in self.conditions]
-        return reduce(lambda a, b: a & b, tests)
+    def holds(self) -> str:
+        """The conjunction as a SQL condition over a ``_stats`` column."""
+        return " AND ".join(f"_stats.{name} {'>' if above else '<='} {at!r}D" for name, above, at in self.conditions)
 
 
 @dataclasses.dataclass(frozen=True)
@@ -116,20 +117,27 @@ class RuleEnsemble:
     rules: tuple[Rule, ...]
 
     def score(self) -> Column:
-        """Probability of label 1 over a ``_stats`` column."""
-        terms = [F.when(r.holds(), F.lit(r.weight)).otherwise(F.lit(0.0)) for r in self.rules]
-        odds = reduce(lambda a, b: a + b, terms, F.lit(self.intercept))
-        return F.lit(1.0) / (F.lit(1.0) + F.exp(-odds))
-
-
-def _paths(node, names: list[str], above: tuple = ()) -> list[tuple]:
-    """Every path from the root to a node below it, as sorted conditions."""
-    found = [tuple(sorted(above))] if above else []
-    if node.getClass().getSimpleName() == "InternalNode":
-        split = node.split()
-        name, at = names[split.featureIndex()], float(split.threshold())
-        found += _paths(node.leftChild(), names, (*above, (name, False, at)))
-        found += _paths(node.rightChild(), names, (*above, (name, True, at)))
+        """Probability of label 1 over a ``_stats`` column, as one compiled expression."""
+        terms = [f"IF({r.holds()}, {r.weight!r}D, 0D)" for r in self.rules]
+        return F.expr(f"1D / (1D + exp(-({' + '.join([f'{self.intercept!r}D', *terms])})))")
+
+
+# Lines of a printed tree: the test that holds in a branch.
+BRANCH = re.compile(r"^( *)(?:If|Else) \(feature (\d+) (<=|>) ([^)]+)\)$")
+
+
+def tree_paths(printed: str, names: list[str]) -> set[tuple]:
+    """Every path from a root to a node below it in printed trees, as sorted conditions."""
+    found: set[tuple] = set()
+    path: list[tuple[int, tuple[str, bool, float]]] = []
+    for line in printed.splitlines():
+        if test := BRANCH.match(line):
+            depth, feature, sign, at = test.groups()
+            path = [p for p in path if p[0] < len(depth)]
+            path.append((len(depth), (names[int(feature)], sign == ">", float(at))))
+            found.add(tuple(sorted(condition for _, condition in path)))
+        elif line.lstrip().startswith("Tree "):
+            path = []
     return found
 
 
@@ -143,11 +151,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_FIT_
     found = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
     sample = with_statistics(found).select("doc_id", "label", "_stats")
     # One task and one order, so that the trees' draws repeat; the rows are bounded.
-    return stage(sample.coalesce(1).sortWithinPartitions("doc_id"), "quality-sample")
+    return stage(sample.repartition(1).sortWithinPartitions("doc_id"), "quality-sample")
 
 
-def _vectors(sample: DataFrame, columns: list[Column]) -> DataFrame:
-    return sample.select("label", array_to_vector(F.array(*columns)).alias("x"))
+def _vectors(sample: DataFrame, columns: list[str]) -> DataFrame:
+    return sample.select("label", array_to_vector(F.expr(f"array({', '.join(columns)})")).alias("x"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_FIT_ROWS) -> RuleEnsemble:
@@ -160,14 +168,14 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_FIT_ROWS) -> Rul
         return constant
     forest = RandomForestClassifier(featuresCol="x", labelCol="label", numTrees=TREES, maxDepth=DEPTH,
                                     featureSubsetStrategy="0.6", subsamplingRate=0.7, minInstancesPerNode=5,
-                                    seed=SEED).fit(_vectors(sample, [F.col(f"_stats.{n}") for n in names]))
-    paths = sorted({p for tree in forest.trees for p in _paths(tree._java_obj.rootNode(), names)})
+                                    seed=SEED).fit(_vectors(sample, [f"_stats.{n}" for n in names]))
+    paths = sorted(tree_paths(forest.toDebugString, names))
     if not paths:  # no statistic tells the classes apart
         return constant
     rules = [Rule(p) for p in paths]
     lasso = LogisticRegression(featuresCol="x", labelCol="label", elasticNetParam=1.0, regParam=LASSO,
-                               maxIter=60, standardization=False).fit(
-        _vectors(sample, [r.holds().cast("double") for r in rules]))
+                               maxIter=STEPS, standardization=False).fit(
+        _vectors(sample, [f"IF({r.holds()}, 1D, 0D)" for r in rules]))
     weights = lasso.coefficients.toArray()
     kept = tuple(dataclasses.replace(r, weight=float(w)) for r, w in zip(rules, weights) if w)
     return RuleEnsemble(float(lasso.intercept), kept)
