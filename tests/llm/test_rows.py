@@ -234,32 +234,23 @@ def test_language_model(documents):
     compare_scores(df, docs) if docs else rows(df) == []
 
 
-def test_language_model_in_segments(small):
-    documents = small("documents")
-    whole, parts = (rows(language_model.score_documents(documents, n)) for n in (1 << 26, 1 << 17))
-    assert [r[:5] for r in whole] == [r[:5] for r in parts]
-    assert np.allclose([r[5:] for r in whole], [r[5:] for r in parts], rtol=1e-9)
+@pytest.mark.parametrize("which", ["odd", "small"])
+def test_language_model_with_filters_that_are_not_broadcast(which, odd_documents, small):
+    documents = {"odd": odd_documents, "small": small("documents")}[which]
+    whole, parts = (rows(language_model.score_documents(documents, n)) for n in (1 << 26, 0))
+    assert whole == parts
 
 
 def test_filter_holds_every_level():
     keys = np.arange(1, 4001, dtype=np.uint64) * np.uint64(977)
     counts = np.arange(1, 4001)
     n_items, bits = language_model.build_filter(keys, counts)
-    found = language_model.LogFrequencyFilter({0: bits}, 1).counts(keys)
-    exact = 2 ** np.floor(np.log2(counts)).astype(int)
-    assert n_items == (np.floor(np.log2(counts)) + 1).sum()
+    found = language_model.LogFrequencyFilter({0: bits}, 1).levels(keys)
+    exact = np.floor(np.log2(counts)).astype(int) + 1
+    assert n_items == exact.sum()
     assert (found >= exact).all() and (found == exact).mean() > 0.95
     others = np.arange(1, 4001, dtype=np.uint64) * np.uint64(977) + np.uint64(5)
-    assert (language_model.LogFrequencyFilter({0: bits}, 1).counts(others) > 0).mean() < 0.03
-
-
-def test_segments_respect_their_bound():
-    sizes = [(p, 10 + p) for p in range(20)]
-    found = language_model.segments(sizes, 45)
-    assert sorted(p for s in found for p in s) == list(range(20))
-    assert all(sum(10 + p for p in s) <= 45 for s in found)
-    with pytest.raises(ValueError):
-        language_model.segments([(0, 50)], 45)
+    assert (language_model.LogFrequencyFilter({0: bits}, 1).levels(others) > 0).mean() < 0.03
 
 
 # Vector search.

@@ -13,11 +13,11 @@ pair frequency with the token's add-one probability:
 
     P(w | v) = MIX * min(c(v w), c(v)) / c(v) + (1 - MIX) * (c(w) + 1) / (N + V + 1)
 
-The filters grow with the corpus, what is broadcast does not: buckets are
-broadcast in segments of at most ``SEGMENT_BYTES`` each, one scoring pass a
-segment. A token's term needs its own pair's bucket only, so the passes' sums
-add up to the score. (A single bucket above the bound is an error that names
-the remedy: more shuffle partitions, which means more and smaller buckets.)
+Filters of up to ``BROADCAST_BYTES`` together are broadcast to the workers, and
+every unit probes them there. Larger ones stay where they are, one row a
+bucket: the units send their distinct pairs to the buckets, which probe and
+answer. Both ways probe the same bits and give the same scores, and the work
+of either is in proportion to the text.
 
 Counts travel once a unit and token (see units), so a word in every text makes
 no hot bucket. NULL texts have the end token alone, NULL doc_ids are training
@@ -39,8 +39,8 @@ from worklens.llm.common import WordArrays, mix64, raw_texts, shuffle_partitions
 from worklens.llm.units import NO_ID, arrow_table, bucket_slices, by_unit, ids_of, ordered, pack, unpack
 
 MIX = 0.4
-BITS, PROBES = 10, 5
-SEGMENT_BYTES = 64 << 20
+BITS, PROBES_PER_ITEM = 10, 5
+BROADCAST_BYTES = 64 << 20
 PAIR_KEY_BITS = 44
 FOLDS, HELD_OUT_FOLD = 7, 2
 #: The end token; no word holds white space.
@@ -48,7 +48,9 @@ END = b"\n"
 
 SENT = "p int, u int, hashes binary, counts binary, keys binary, pair_counts binary"
 LEARNED = "u int, p int, counts binary, n_tokens long, n_words long, n_pairs long, n_items long, bits binary"
-SCORES = "u int, row int, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+PROBES = "p int, u int, keys binary"
+ANSWERS = "u int, p int, counts binary, levels binary"
+SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
 def is_held_out(doc_id: int | None) -> bool:
@@ -133,7 +135,7 @@ def summed(keys: list[np.ndarray], packed_counts: list[bytes]) -> tuple[np.ndarr
 
 
 def probe_places(keys: np.ndarray, level: int, probe: int, size: np.ndarray | np.uint64) -> np.ndarray:
-    return mix64(keys + np.uint64((0x9E3779B97F4A7C15 * (level * PROBES + probe + 1)) & (2**64 - 1))) % size
+    return mix64(keys + np.uint64((0x9E3779B97F4A7C15 * (level * PROBES_PER_ITEM + probe + 1)) & (2**64 - 1))) % size
 
 
 def build_filter(keys: np.ndarray, counts: np.ndarray) -> tuple[int, bytes]:
@@ -144,7 +146,7 @@ def build_filter(keys: np.ndarray, counts: np.ndarray) -> tuple[int, bytes]:
     bits = np.zeros(int(size), bool)
     for level in range(int(levels.max(initial=0))):
         stored = keys[levels > level]
-        for probe in range(PROBES):
+        for probe in range(PROBES_PER_ITEM):
             bits[probe_places(stored, level, probe, size)] = True
     return n_items, np.packbits(bits, bitorder="little").tobytes()
 
@@ -160,103 +162,104 @@ class LogFrequencyFilter:
             at += len(part)
         self.bytes = np.frombuffer(b"".join(parts.values()), np.uint8)
 
-    def counts(self, keys: np.ndarray) -> np.ndarray:
-        """Quantised counts of pair keys whose buckets are here; 0 for pairs that are not stored."""
-        found = np.zeros(len(keys), np.int64)
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        """How many levels of each pair key are stored; 0 for pairs that are not."""
+        found = np.zeros(len(keys), np.uint8)
         buckets = (keys >> np.uint64(PAIR_KEY_BITS)).astype(np.int64)
         size, offset = self.size[buckets], self.offset[buckets]
         short = keys & np.uint64((1 << PAIR_KEY_BITS) - 1)
         left, level = np.flatnonzero(size > 0), 0
-        while len(left):
-            for probe in range(PROBES):
+        while len(left) and level < 63:
+            for probe in range(PROBES_PER_ITEM):
                 place = offset[left] + probe_places(short[left], level, probe, size[left])
                 hit = (self.bytes[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1
                 left = left[hit == 1]
-            found[left] = 1 << min(level, 62)
             level += 1
-            if level == 63:
-                break
+            found[left] = level
         return found
 
 
-def score_units(buckets: int, n_tokens: int, n_words: int, here: list[int], first: bool, broadcast) -> Callable:
-    def score(unit: pa.Table, counted: pa.Table) -> pa.Table:
+def send_probes(buckets: int) -> Callable:
+    """A unit's distinct pairs, of all its texts, to the buckets of their filters."""
+
+    def send(unit: pa.Table) -> pa.Table:
+        own = UnitTokens(unit, buckets)
+        keys = np.unique(pair_keys(own.pair_hashes(), own.buckets))
+        short = keys & np.uint64((1 << PAIR_KEY_BITS) - 1)
+        slices = bucket_slices(keys >> np.uint64(PAIR_KEY_BITS), buckets)
+        return arrow_table([(p, own.u, pack(short[at], rising=True)) for p, at in enumerate(slices) if at.stop > at.start],
+                           PROBES)
+
+    return send
+
+
+def answer_probes(probes: pa.Table, filters: pa.Table) -> pa.Table:
+    """Probes a bucket's filter for every unit."""
+    if not probes.num_rows:
+        return arrow_table([], ANSWERS)
+    parts = dict(enumerate(filters.column("bits").to_pylist()))
+    stored = LogFrequencyFilter(parts, 1)
+    return arrow_table([(u, p, None, pack(stored.levels(unpack(keys, rising=True)))) for p, u, keys in
+                        zip(*(probes.column(n).to_pylist() for n in ("p", "u", "keys")))], ANSWERS)
+
+
+def score_units(buckets: int, n_tokens: int, n_words: int, broadcast=None) -> Callable:
+    """Scores of a unit's texts from the answers to its tokens, and to its pairs unless the filters are broadcast."""
+
+    def score(unit: pa.Table, answers: pa.Table) -> pa.Table:
         if not unit.num_rows:
             return arrow_table([], SCORES)
         own = UnitTokens(unit, buckets)
+        told = list(zip(*(answers.column(n).to_pylist() for n in ("p", "counts", "levels"))))
+        counted = {p: c for p, c, _ in told if c is not None}
         counts = np.zeros(len(own.tokens.words), np.int64)
-        answers = dict(zip(counted.column("p").to_pylist(), counted.column("counts").to_pylist()))
         for p, at in enumerate(own.slices):
             if at.stop > at.start:
-                counts[own.order[at]] = unpack(answers[p])
+                counts[own.order[at]] = unpack(counted[p])
+        keys, number = np.unique(pair_keys(own.pair_hashes(), own.buckets), return_inverse=True)
+        if broadcast is not None:
+            levels = LogFrequencyFilter(dict(broadcast.value), buckets).levels(keys).astype(np.int64)
+        else:
+            probed = {p: x for p, _, x in told if x is not None}
+            levels = np.concatenate([unpack(probed[p]) for p in sorted(probed)]).astype(np.int64)
+        seen = np.where(levels > 0, np.int64(1) << np.maximum(levels - 1, 0), 0)[number]
         base = (counts + 1) / (n_tokens + n_words + 1)
         ids, context = own.tokens.ids, counts[own.previous()]
-        keys = pair_keys(own.pair_hashes(), own.buckets)
-        in_segment = np.zeros(buckets, bool)
-        in_segment[here] = True
-        at = np.flatnonzero(in_segment[(keys >> np.uint64(PAIR_KEY_BITS)).astype(np.int64)])
-        distinct, number = np.unique(keys[at], return_inverse=True)
-        seen = LogFrequencyFilter(dict(broadcast.value), buckets).counts(distinct)[number]
-        ratio = np.minimum(seen, context[at]) / np.maximum(context[at], 1)
-        p = np.where(context[at] > 0, MIX * ratio + (1 - MIX) * base[ids[at]], base[ids[at]])
-
-        def by_doc(values: np.ndarray, where: np.ndarray | slice = slice(None)) -> np.ndarray:
-            return np.bincount(own.of[where], weights=values, minlength=len(own.ids))
-
-        scores = by_doc(np.log10(p), at)
-        base_scores = by_doc(np.log10(base)[ids]) if first else np.zeros(len(own.ids))
-        known = by_doc((counts > 0)[ids])
-        return arrow_table(list(zip(
-            [own.u] * len(own.ids), range(len(own.ids)), own.ids, own.held_out.tolist(), own.tokens.length.tolist(),
-            known.astype(np.int64).tolist(), base_scores.tolist(), scores.tolist())), SCORES)
+        ratio = np.minimum(seen, context) / np.maximum(context, 1)
+        p = np.where(context > 0, MIX * ratio + (1 - MIX) * base[ids], base[ids])
 
-    return score
+        def by_doc(values: np.ndarray) -> list:
+            return np.bincount(own.of, weights=values, minlength=len(own.ids)).tolist()
 
+        known = [int(k) for k in by_doc((counts > 0)[ids])]
+        return arrow_table(list(zip(own.ids, own.held_out.tolist(), own.tokens.length.tolist(), known,
+                                    by_doc(np.log10(base)[ids]), by_doc(np.log10(p)))), SCORES)
 
-def segments(sizes: list[tuple[int, int]], most: int = SEGMENT_BYTES) -> list[list[int]]:
-    """Buckets (number, bytes) in order, in runs of at most ``most`` bytes."""
-    found: list[list[int]] = [[]]
-    room = most
-    for p, size in sorted(sizes):
-        if size > most:
-            raise ValueError(f"the filter of bucket {p} has {size} bytes, above {most}: raise spark.sql.shuffle.partitions")
-        if size > room:
-            found.append([])
-            room = most
-        found[-1].append(p)
-        room -= size
-    return found
+    return score
 
 
-def score_documents(docs: DataFrame, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
+def score_documents(docs: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(doc_id, text) -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score."""
     spark = docs.sparkSession
     n = shuffle_partitions(spark)
     units = by_unit(docs.select(F.col("doc_id").cast("long"), "text"), ["doc_id", "text"])
     learned = stage(units.groupBy("u").applyInArrow(send_counts(n), SENT).groupBy("p").applyInArrow(learn, LEARNED),
                     "language-model")
-    counted = learned.select("u", "p", "counts")
+    answers = learned.select("u", "p", "counts", F.lit(None).cast("binary").alias("levels"))
     filters = learned.filter("bits is not null").select("p", "bits")
-    totals = learned.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum("n_words"), F.lit(0))).first()
-    # One row a bucket, and there are as many buckets as shuffle partitions.
-    sizes = [(r["p"], r["size"]) for r in filters.select("p", F.octet_length("bits").alias("size")).collect()]
-    passes = []
-    for i, here in enumerate(segments(sizes, segment_bytes)):
-        parts = filters.filter(F.col("p").isin(here)).select("p", "bits").collect()
-        broadcast = spark.sparkContext.broadcast([(r["p"], bytes(r["bits"])) for r in parts])
-        # Pairs of buckets without any stored pair are scored in the first pass.
-        stored = {p for p, _ in sizes}
-        scored = sorted(here) + ([p for p in range(n) if p not in stored] if i == 0 else [])
-        passes.append(units.groupBy("u").cogroup(counted.groupBy("u")).applyInArrow(
-            score_units(n, int(totals[0]), int(totals[1]), scored, i == 0, broadcast), SCORES))
-    out = passes[0]
-    if len(passes) > 1:
-        for more in passes[1:]:
-            out = out.unionByName(more)
-        keys = ["u", "row", "doc_id", "held_out", "n_tokens", "n_known"]
-        out = out.groupBy(*keys).agg(F.sum("base_score").alias("base_score"), F.sum("score").alias("score"))
-    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(totals[0])).cast("long").alias("train_tokens"),
-                      "base_score", "score")
+    totals = learned.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("n_tokens", "n_words")],
+                         F.coalesce(F.sum(F.octet_length("bits")), F.lit(0)).alias("n_bytes")).first()
+    broadcast = None
+    if totals["n_bytes"] <= broadcast_bytes:
+        broadcast = spark.sparkContext.broadcast([(r["p"], bytes(r["bits"])) for r in filters.collect()])
+    else:
+        probes = units.groupBy("u").applyInArrow(send_probes(n), PROBES)
+        answers = answers.unionByName(
+            probes.groupBy("p").cogroup(filters.groupBy("p")).applyInArrow(answer_probes, ANSWERS))
+    scored = units.groupBy("u").cogroup(answers.groupBy("u")).applyInArrow(
+        score_units(n, totals["n_tokens"], totals["n_words"], broadcast), SCORES)
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known",
+                         F.lit(totals["n_tokens"]).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
