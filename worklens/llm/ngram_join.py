@@ -22,9 +22,9 @@ Equal sets are one class, represented by one document. For the classes:
    tokens may occur, and is searched there as in 2.
 
 Tokens all of whose sets already share a component need no search: so the
-first round between units routes each set only towards the token's smallest
-component, and the second, which is exhaustive, finds most of the sets of a
-large group of near copies already connected. A search gives a spanning
+first turns between units route each set only towards one unit of the token's
+smallest component, while that finds links, and the last turn, which is
+exhaustive, finds the sets of a large group of near copies mostly connected. A search gives a spanning
 forest, never the pairs. All state between rounds is written to shared storage.
 
 Short documents keep their order of words in the single shingle. Equal rows
@@ -51,6 +51,8 @@ from worklens.llm.units import arrow_table, bucket_slices, pack, pack_bits, unpa
 
 #: Inverted lists of more units than this are long: set aside, not merged.
 LONG = 256
+#: Turns between units before the exhaustive one, at most (any number is exact).
+TURNS = 5
 #: DivideSkip's weight of the long lists' number (a tuning constant; any value is exact).
 SKIP = 0.01
 TOKEN_BITS = 40
@@ -332,11 +334,11 @@ def send_entries(buckets: int) -> Callable:
     return send
 
 
-def find_routes(everywhere: bool) -> Callable:
+def find_routes(turn: int, everywhere: bool) -> Callable:
     """For each entry the units to which its sets may have to travel.
 
-    Towards the unit of the token's smallest label, or (``everywhere``) to all
-    later units that hold the token under another label.
+    Towards one unit of the token's smallest label, another one each turn, or
+    (``everywhere``) to all later units that hold the token under another label.
     """
 
     def find(bucket: pa.Table) -> pa.Table:
@@ -346,7 +348,7 @@ def find_routes(everywhere: bool) -> Callable:
         labels = np.concatenate([unpack(x) for x in bucket.column("labels").to_pylist()]).view(np.int64)
         unit = np.repeat(np.array(bucket.column("u").to_pylist()), sizes)
         entry = np.concatenate([np.arange(s) for s in sizes])
-        order = np.lexsort((unit, labels, keys))
+        order = np.lexsort((mix64(unit + 1000003 * (turn + 1)), labels, keys))
         keys, labels, unit, entry = keys[order], labels[order], unit[order], entry[order]
         new = np.concatenate([[True], keys[1:] != keys[:-1]])
         first = np.flatnonzero(new)
@@ -457,17 +459,24 @@ def link_classes(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     sets = stage(candidates.drop("row_key").join(whole, "class"), "ngram-candidate-sets")
 
     edges = stage(sets.groupBy("u").applyInArrow(link_inside(rule), EDGES), "ngram-edges")
-    for everywhere in (False, True):
+    first = 0
+    for turn in range(TURNS + 1):
         labels = components(edges, "ngram").withColumnRenamed("node", "class")
         labelled = stage(sets.join(labels, "class", "left")
                          .select("u", "class", "n", "tokens", "hashes", F.coalesce("component", "class").alias("label")),
                          "ngram-labelled")
+        everywhere = turn == TURNS or (turn > 0 and last * 10 <= first)
         entries = labelled.select("u", "class", "n", "tokens", "label")
         routes = (entries.groupBy("u").applyInArrow(send_entries(n), ENTRIES)
-                  .groupBy("p").applyInArrow(find_routes(everywhere), ROUTES))
+                  .groupBy("p").applyInArrow(find_routes(turn, everywhere), ROUTES))
         shipped = labelled.groupBy("u").cogroup(routes.groupBy("u")).applyInArrow(ship(rule, n), SHIPPED)
-        found = labelled.groupBy("u").cogroup(shipped.groupBy("v")).applyInArrow(link_shipped(rule), EDGES)
-        edges = edges.unionByName(stage(found, "ngram-edges"))
+        found = stage(labelled.groupBy("u").cogroup(shipped.groupBy("v")).applyInArrow(link_shipped(rule), EDGES),
+                      "ngram-edges")
+        edges = edges.unionByName(found)
+        if everywhere:
+            break
+        last = found.count()
+        first = first or last
     return described.drop("tokens"), components(edges, "ngram").withColumnRenamed("node", "class")
 
 
