@@ -245,12 +245,12 @@ def test_filter_holds_every_level():
     keys = np.arange(1, 4001, dtype=np.uint64) * np.uint64(977)
     counts = np.arange(1, 4001)
     n_items, bits = language_model.build_filter(keys, counts)
-    found = language_model.LogFrequencyFilter({0: bits}, 1).levels(keys)
+    found = language_model.LogFrequencyFilter([(0, len(bits))], bits, 1).levels(keys)
     exact = np.floor(np.log2(counts)).astype(int) + 1
     assert n_items == exact.sum()
     assert (found >= exact).all() and (found == exact).mean() > 0.95
     others = np.arange(1, 4001, dtype=np.uint64) * np.uint64(977) + np.uint64(5)
-    assert (language_model.LogFrequencyFilter({0: bits}, 1).levels(others) > 0).mean() < 0.03
+    assert (language_model.LogFrequencyFilter([(0, len(bits))], bits, 1).levels(others) > 0).mean() < 0.03
 
 
 # Vector search.

@@ -40,7 +40,7 @@ from worklens.llm.units import NO_ID, arrow_table, bucket_slices, by_unit, ids_o
 
 MIX = 0.4
 BITS, PROBES_PER_ITEM = 10, 5
-BROADCAST_BYTES = 64 << 20
+BROADCAST_BYTES = 128 << 20
 PAIR_KEY_BITS = 44
 FOLDS, HELD_OUT_FOLD = 7, 2
 #: The end token; no word holds white space.
@@ -152,15 +152,15 @@ def build_filter(keys: np.ndarray, counts: np.ndarray) -> tuple[int, bytes]:
 
 
 class LogFrequencyFilter:
-    """Filters of some buckets, side by side."""
+    """Filters of some buckets side by side: (bucket, bytes) each, and their bytes in that order."""
 
-    def __init__(self, parts: dict[int, bytes], buckets: int):
+    def __init__(self, sizes: list[tuple[int, int]], content: bytes, buckets: int):
         self.size, self.offset = np.zeros(buckets, np.uint64), np.zeros(buckets, np.uint64)
         at = 0
-        for p, part in parts.items():
-            self.size[p], self.offset[p] = len(part) * 8, at * 8
-            at += len(part)
-        self.bytes = np.frombuffer(b"".join(parts.values()), np.uint8)
+        for p, size in sizes:
+            self.size[p], self.offset[p] = size * 8, at * 8
+            at += size
+        self.bytes = np.frombuffer(content, np.uint8)
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """How many levels of each pair key are stored; 0 for pairs that are not."""
@@ -197,8 +197,8 @@ def answer_probes(probes: pa.Table, filters: pa.Table) -> pa.Table:
     """Probes a bucket's filter for every unit."""
     if not probes.num_rows:
         return arrow_table([], ANSWERS)
-    parts = dict(enumerate(filters.column("bits").to_pylist()))
-    stored = LogFrequencyFilter(parts, 1)
+    parts = filters.column("bits").to_pylist()
+    stored = LogFrequencyFilter([(0, len(x)) for x in parts], b"".join(parts), 1)
     return arrow_table([(u, p, None, pack(stored.levels(unpack(keys, rising=True)))) for p, u, keys in
                         zip(*(probes.column(n).to_pylist() for n in ("p", "u", "keys")))], ANSWERS)
 
@@ -218,7 +218,7 @@ def score_units(buckets: int, n_tokens: int, n_words: int, broadcast=None) -> Ca
                 counts[own.order[at]] = unpack(counted[p])
         keys, number = np.unique(pair_keys(own.pair_hashes(), own.buckets), return_inverse=True)
         if broadcast is not None:
-            levels = LogFrequencyFilter(dict(broadcast.value), buckets).levels(keys).astype(np.int64)
+            levels = LogFrequencyFilter(*broadcast.value, buckets).levels(keys).astype(np.int64)
         else:
             probed = {p: x for p, _, x in told if x is not None}
             levels = np.concatenate([unpack(probed[p]) for p in sorted(probed)]).astype(np.int64)
@@ -251,7 +251,9 @@ def score_documents(docs: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) ->
                          F.coalesce(F.sum(F.octet_length("bits")), F.lit(0)).alias("n_bytes")).first()
     broadcast = None
     if totals["n_bytes"] <= broadcast_bytes:
-        broadcast = spark.sparkContext.broadcast([(r["p"], bytes(r["bits"])) for r in filters.collect()])
+        parts = [(r["p"], bytes(r["bits"])) for r in filters.toLocalIterator()]
+        broadcast = spark.sparkContext.broadcast(([(p, len(x)) for p, x in parts], b"".join(x for _, x in parts)))
+        del parts
     else:
         probes = units.groupBy("u").applyInArrow(send_probes(n), PROBES)
         answers = answers.unionByName(
