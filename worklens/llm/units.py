@@ -7,8 +7,8 @@ reduces its words to sorted distinct keys, sends each key to the bucket its
 value belongs to, and the bucket answers every unit. A key that most documents
 share is sent once a unit, so no bucket grows with a key's frequency.
 
-There are as many units and buckets as the session has shuffle partitions:
-both grow with the cluster's setting, and so with the data it is sized for.
+There are as many buckets as the session has shuffle partitions, and twice as
+many units: both grow with the cluster's setting, and so with the data it is sized for.
 """
 
 from __future__ import annotations
@@ -20,13 +20,15 @@ from pyspark.sql import functions as F
 
 from worklens.llm.common import shuffle_partitions
 
+#: Units a shuffle partition: a task holds one unit's word arrays at a time.
+UNITS_PER_PARTITION = 2
 #: doc_id of rows without one: they come after all others.
 NO_ID = np.iinfo(np.int64).max
 
 
 def by_unit(docs: DataFrame, columns: list[str]) -> DataFrame:
     """``columns`` of ``docs`` and the unit ``u``, shuffled by it."""
-    n = shuffle_partitions(docs.sparkSession)
+    n = UNITS_PER_PARTITION * shuffle_partitions(docs.sparkSession)
     picked = docs.select(*columns)
     return picked.withColumn("u", F.pmod(F.xxhash64(*columns), F.lit(n)).cast("int")).repartition(n, "u")
 
