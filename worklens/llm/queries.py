@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from worklens.llm import (
-    boilerplate, decontamination, language_model, mixing, ngram_join, quality, sharding, substring_dedup, token_counts,
-    vector_search,
+    boilerplate, decontamination, filter_audit, language_model, mixing, ngram_join, pieces, quality, sharding,
+    substring_dedup, token_counts, vector_search, whitening,
 )
 
 QUERIES = {
@@ -18,8 +18,12 @@ QUERIES = {
     "op8_line_dedup": boilerplate.op8_line_dedup,
     "op9_lm_scoring": language_model.op9_lm_scoring,
     "op10_vector_search": vector_search.op10_vector_search,
+    "op11_whitening": whitening.op11_whitening,
+    "op12_filter_audit": filter_audit.op12_filter_audit,
+    "op13_sentencepiece": pieces.op13_sentencepiece,
 }
 ORACLE_SQL = {
     "op8_line_dedup": boilerplate.ORACLE,
     "op10_vector_search": vector_search.ORACLE,
+    "op12_filter_audit": filter_audit.ORACLE,
 }
