@@ -32,6 +32,7 @@ import heapq
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +46,8 @@ MODEL = "piece_bpe_32k.model"
 MAX_MODEL_BYTES = 64 << 20
 SLICE = 512
 REMEMBERED, REMEMBERED_LENGTH = 500_000, 64
+#: Segments that are compared with the library's ids at once.
+CHECKED = 128
 #: Runs of at most so many characters keep their agenda as a list, longer ones as a heap.
 SHORT = 48
 #: Agenda order of a pair that is no piece.
@@ -135,13 +138,11 @@ class Vocabulary:
 
     def segment_ids(self, segment: str) -> list[int]:
         """Ids of a run of characters in which spaces are marks."""
-        out = []
-        for piece in self.merged(segment):
-            if (i := self.ids.get(piece)) is not None:
-                out.append(i)
-            else:
-                out += [self.byte_ids[b] for b in piece.encode()]
-        return out
+        pieces, ids = self.merged(segment), self.ids
+        try:
+            return [ids[p] for p in pieces]
+        except KeyError:
+            return [i for p in pieces for i in ([ids[p]] if p in ids else [self.byte_ids[b] for b in p.encode()])]
 
     def segments(self, text: str) -> list[str]:
         if not text:
@@ -191,12 +192,21 @@ class Vocabulary:
         return out[1:] if first in self.marked else out
 
     def check_segments(self, segments: list[str], ids: list[list[int]]) -> None:
-        """Compare ids of segments with the library's, each behind the same one-letter word."""
+        """Compare ids of segments with the library's: ``CHECKED`` of them as one text, behind a one-letter word.
+
+        Segments of marks alone, which only end a text, end one here too.
+        """
+        pairs = list(zip(segments, ids))
+        runs = [[pair] for pair in pairs if pair[0].endswith(MARK)]
+        whole = [pair for pair in pairs if not pair[0].endswith(MARK)]
+        runs += [whole[at:at + CHECKED] for at in range(0, len(whole), CHECKED)]
         lead = self.library.encode("a")
-        found = self.library.encode(["a" + s.replace(MARK, " ") for s in segments], num_threads=1)
-        for segment, own, theirs in zip(segments, ids, found):
-            if lead + own != theirs:
-                raise ValueError(f"{segment[:80]!r}: the agenda gives {own[:20]}, the library {theirs[len(lead):][:20]}")
+        for run in runs:
+            own = [*lead, *chain.from_iterable(i for _, i in run)]
+            text = "".join(s for s, _ in run)
+            theirs = self.library.encode("a" + text.replace(MARK, " "))
+            if own != theirs:
+                raise ValueError(f"{text[:80]!r}: the agenda's {len(own)} ids differ from the library's {len(theirs)}")
 
     def check_text(self, text: str, ids: list[int], decoded: str) -> None:
         if self.library.encode(text, add_bos=True, add_eos=True) != ids or self.library.decode(ids) != decoded:
@@ -217,7 +227,7 @@ class Memory(dict):
         """Ids of all the segments; those not remembered go through the agenda and are checked together."""
         if len(self) > REMEMBERED:
             self.clear()
-        new = [s for s in segments if s not in self]
+        new = list(segments.difference(self))
         ids = [self.vocabulary.segment_ids(s) for s in new]
         if self.check and new and self.vocabulary.cut:
             self.vocabulary.check_segments(new, ids)
@@ -255,8 +265,8 @@ def encoder(model: bytes, check: str):
                 long = memory.learn(set().union(*cut))
                 packed, decoded = [], []
                 for text, segments in zip(texts, cut):
-                    known = [long[s] if s in long else memory[s] for s in segments] if long else [memory[s] for s in segments]
-                    packed.append(b"".join([begin, *known, end]))
+                    known = map(memory.__getitem__, segments) if not long else [long.get(s) or memory[s] for s in segments]
+                    packed.append(begin + b"".join(known) + end)
                     ids = np.frombuffer(packed[-1], "<u4").tolist()
                     decoded.append(vocabulary.decode(ids))
                     if check == "texts" or check == "segments" and not vocabulary.cut:
