@@ -8,6 +8,10 @@ or holds the ten tables as ``<root>/<table>`` parquet (see
 ``worklens.sources.tables``). Parameters default to the original jobs' values;
 ``--day-from``, ``--day-until``, ``--sessions-since``, ``--after``,
 ``--viewer``, ``--default-viewer`` and ``--domain-prefix`` override them.
+``--sums`` names a folder of kept day sums (``worklens.plans.day_sums``): the
+per-user reports and totals then read only the days of detail that changed
+since the sums were last refreshed. What is proven of the version (see
+``worklens.sources.versions``) bounds the department report's scan by date.
 ``browser_reclassify`` publishes the next version as ``--out/<--version>``,
 which must not exist; no other job overwrites its output either.
 """
@@ -20,8 +24,11 @@ import sys
 
 from pyspark.sql import SparkSession
 
+from worklens.functions.names import RULES
 from worklens.operators import access, departments, reports, rollup
+from worklens.plans import day_sums
 from worklens.plans import reclassify as reclassify_job
+from worklens.plans.user_reports import user_report
 from worklens.session import configure
 from worklens.sources.tables import read_tables
 
@@ -32,7 +39,7 @@ def _date(text: str) -> _dt.datetime:
 
 def _report_params(args, monthly: bool) -> reports.ReportParams:
     overrides = {k: v for k, v in {
-        "day_from": args.day_from, "day_until": args.day_until, "sessions_since": args.sessions_since,
+        "names": args.names, "day_from": args.day_from, "day_until": args.day_until, "sessions_since": args.sessions_since,
     }.items() if v is not None}
     if monthly:
         return reports.monthly_params(**overrides)
@@ -48,19 +55,27 @@ def _jobs(args):
         date_from, date_until = access.report_window(
             args.day_from or access.EARLIEST_FROM, args.day_until or access.LATEST_UNTIL, args.as_of)
         return departments.department_productivity(t.detail, t.daily, t.users, t.department, t.base,
-                                                   visible(t), date_from, date_until)
+                                                   visible(t), date_from, date_until, t.proves("dates_agree"), args.names)
+
+    def kept(t, params):
+        return day_sums.DaySums(t.base.sparkSession, args.sums, params).refresh(t) if args.sums else None
 
     def report(monthly):
-        return lambda t: reports.user_report(t.detail, t.base, t.users, t.department, t.user_session,
-                                             _report_params(args, monthly))
+        params = _report_params(args, monthly)
+        return lambda t: user_report(t, params, kept(t, params))
+
+    def day_totals(t):
+        sums = kept(t, _report_params(args, True))
+        return (rollup.user_day_totals(t.detail, t.base, args.names) if sums is None
+                else day_sums.user_day_totals(sums, t.base, args.names))
 
     return {
         "pending_rollup_count": lambda t: rollup.pending_rollup_count(t.activity),
         "rollup_drift": lambda t: rollup.rollup_drift(t.detail, t.activity, args.tolerance),
-        "user_day_totals": lambda t: rollup.user_day_totals(t.detail, t.base),
-        "user_month_totals": lambda t: reports.user_month_totals(t.detail, t.base, t.users),
+        "user_day_totals": day_totals,
+        "user_month_totals": lambda t: reports.month_totals(day_totals(t), t.users),
         "resource_hour_usage": lambda t: reports.resource_hour_usage(
-            t.detail, t.base, t.users, args.after, args.domain_prefix, args.limit),
+            t.detail, t.base, t.users, args.after, args.domain_prefix, args.limit, args.names),
         "user_month_report": report(True),
         "user_period_report": report(False),
         "visible_users": visible,
@@ -82,16 +97,22 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("--viewer", type=int, default=None)
     parser.add_argument("--default-viewer", type=int, default=None)
     parser.add_argument("--domain-prefix", default="")
+    parser.add_argument("--sums", help="folder of kept day sums, made or refreshed by this run")
     parser.add_argument("--limit", type=int, default=None)
     parser.add_argument("--tolerance", type=int, default=2)
+    parser.add_argument("--collation", choices=[r.collation for r in RULES], default=RULES[0].collation,
+                        help="how names compare")
     args = parser.parse_args(argv)
+    args.names = next(r for r in RULES if r.collation == args.collation)
 
     spark = configure(SparkSession.builder.appName(f"worklens-{args.job}").getOrCreate())
     tables = read_tables(spark, args.tables)
     if args.job == "browser_reclassify":
-        result = reclassify_job.browser_reclassify(tables, args.as_of)
+        result = reclassify_job.browser_reclassify(tables, args.as_of, names=args.names)
         reclassify_job.publish(result, args.out, args.version or args.as_of.strftime("v%Y%m%d%H%M%S"), args.tables)
         return 0
+    if tables.version and not tables.proves("unique_oid"):
+        print("warning: detail rows share oids; work-hour sums count each of them once", file=sys.stderr)
     jobs = _jobs(args)
     if args.job not in jobs:
         parser.error(f"unknown job {args.job!r}; one of {sorted(jobs) + ['browser_reclassify']}")

@@ -7,10 +7,14 @@ from worklens.functions.calendar import (
     weekday,
 )
 from worklens.functions.names import (
+    BINARY,
     BROWSER_RESOURCE_NAMES,
+    COLLATED,
     LOCK_SCREEN_FRAGMENT,
+    NOCASE,
     TITLE_DELIMITERS,
-    contains_ci,
+    Names,
+    contains_name,
     is_blank,
     key_in,
     left_of,
@@ -22,8 +26,8 @@ from worklens.functions.names import (
 from worklens.functions.timetext import clock_time, duration_text, seconds_since, truncated_avg
 
 __all__ = [
-    "BROWSER_RESOURCE_NAMES", "LOCK_SCREEN_FRAGMENT", "TITLE_DELIMITERS",
-    "clock_time", "contains_ci", "duration_text", "in_work_hours", "is_blank", "key_in",
+    "BINARY", "BROWSER_RESOURCE_NAMES", "COLLATED", "LOCK_SCREEN_FRAGMENT", "NOCASE", "Names", "TITLE_DELIMITERS",
+    "clock_time", "contains_name", "duration_text", "in_work_hours", "is_blank", "key_in",
     "left_of", "month_start", "name_key", "not_lock_screen", "ntz", "seconds_since",
     "site_name", "truncated_avg", "weekday", "without_prefix",
 ]

@@ -1,13 +1,22 @@
 """Name matching for resource, machine, department and user names.
 
-Names are compared the way a case-insensitive, trailing-blank-insensitive
-collation compares them: ``lower(rtrim(name))`` is the comparison key for
-equality, grouping and membership; pattern and delimiter searches ignore case.
+How names compare is a parameter of every job that compares them, a
+:class:`Names` rule:
+
+* :data:`NOCASE` (the default): case and trailing blanks do not count, as in a
+  case-insensitive database collation. The key ``lower(rtrim(name))`` serves
+  equality, grouping and membership; pattern and delimiter searches ignore case.
+* :data:`BINARY`: names compare byte by byte, searches heed case.
+* :data:`COLLATED`: the same equality as ``NOCASE`` through Spark's collated
+  strings (``UTF8_LCASE_RTRIM``). Spark groups collated strings by sorting, so
+  it is the slower of the two (figures in the README).
+
 The original text is what a report shows (the smallest spelling per group).
 """
 
 from __future__ import annotations
 
+import dataclasses
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column
@@ -29,9 +38,38 @@ TITLE_DELIMITERS = ("aspx", ".htm", ".pdf", "./Search", ".com/")
 SITE_NAME_MAX_CHARS = 500
 
 
-def name_key(name: Column) -> Column:
-    """Comparison key of a name: case-folded, trailing blanks ignored."""
-    return F.lower(F.rtrim(name))
+@dataclasses.dataclass(frozen=True)
+class Names:
+    """A rule by which names compare: ``nocase``, ``binary`` or a collation of Spark."""
+
+    collation: str
+
+    @property
+    def heeds_case(self) -> bool:
+        return self.collation == "binary"
+
+    def key(self, name: Column) -> Column:
+        """What names are equal by."""
+        if self.heeds_case:
+            return name
+        return F.lower(F.rtrim(name)) if self.collation == "nocase" else F.collate(name, self.collation)
+
+    def searched(self, text: Column, fragment: str) -> tuple[Column, str]:
+        """The text to look in and the fragment to look for."""
+        return (text, fragment) if self.heeds_case else (F.lower(text), fragment.lower())
+
+    @property
+    def flags(self) -> str:
+        """Flags of a regular expression that searches by this rule."""
+        return "s" if self.heeds_case else "is"
+
+
+NOCASE, BINARY, COLLATED = RULES = Names("nocase"), Names("binary"), Names("UTF8_LCASE_RTRIM")
+
+
+def name_key(name: Column, names: Names = NOCASE) -> Column:
+    """Comparison key of a name."""
+    return names.key(name)
 
 
 def is_blank(text: Column) -> Column:
@@ -39,18 +77,21 @@ def is_blank(text: Column) -> Column:
     return F.trim(text) == F.lit("")
 
 
-def contains_ci(text: Column, fragment: str) -> Column:
-    """Case-insensitive ``text LIKE '%fragment%'`` (NULL for NULL text)."""
-    return F.lower(text).contains(fragment.lower())
+def contains_name(text: Column, fragment: str, names: Names = NOCASE) -> Column:
+    """``text LIKE '%fragment%'`` (NULL for NULL text)."""
+    where, what = names.searched(text, fragment)
+    return where.contains(what)
 
 
-def not_lock_screen(resource_name: Column, fragment: str = LOCK_SCREEN_FRAGMENT) -> Column:
+def not_lock_screen(resource_name: Column, fragment: str = LOCK_SCREEN_FRAGMENT, names: Names = NOCASE) -> Column:
     """Keep-predicate for time reports: NULL names are dropped too, as NOT LIKE does."""
-    return ~contains_ci(resource_name, fragment)
+    return ~contains_name(resource_name, fragment, names)
 
 
-def key_in(name: Column, values: Iterable[str]) -> Column:
-    return name_key(name).isin([v.rstrip().lower() for v in values])
+def key_in(name: Column, values: Iterable[str], names: Names = NOCASE) -> Column:
+    if names.collation == "nocase":
+        return names.key(name).isin([v.rstrip().lower() for v in values])
+    return names.key(name).isin(list(values))
 
 
 def _quoted(literal: str) -> str:
@@ -58,25 +99,25 @@ def _quoted(literal: str) -> str:
     return "\\Q" + literal.replace("\\E", "\\E\\\\E\\Q") + "\\E"
 
 
-def left_of(text: Column, delimiter: str) -> Column:
-    """Text left of the first case-insensitive occurrence of ``delimiter``; unchanged if absent.
+def left_of(text: Column, delimiter: str, names: Names = NOCASE) -> Column:
+    """Text left of the first occurrence of ``delimiter``; unchanged if absent.
 
     One regex replace (delimiter to end of text) references ``text`` once, so
     nesting several cuts grows the expression linearly and keeps it in
     whole-stage codegen.
     """
-    return F.regexp_replace(text, F.lit("(?is)" + _quoted(delimiter) + ".*"), F.lit(""))
+    return F.regexp_replace(text, F.lit(f"(?{names.flags})" + _quoted(delimiter) + ".*"), F.lit(""))
 
 
-def without_prefix(name: Column, prefix: str) -> Column:
-    """``name`` without any occurrence of ``prefix``, ignoring case as all name comparisons do."""
-    return F.regexp_replace(name, F.lit("(?i)" + _quoted(prefix)), F.lit("")) if prefix else name
+def without_prefix(name: Column, prefix: str, names: Names = NOCASE) -> Column:
+    """``name`` without any occurrence of ``prefix``, searched as all names are."""
+    return F.regexp_replace(name, F.lit(f"(?{names.flags})" + _quoted(prefix)), F.lit("")) if prefix else name
 
 
 def site_name(title: Column, delimiters: Sequence[str] = TITLE_DELIMITERS,
-              max_chars: int = SITE_NAME_MAX_CHARS) -> Column:
+              max_chars: int = SITE_NAME_MAX_CHARS, names: Names = NOCASE) -> Column:
     """Site name from a browser window title: cut at each delimiter in turn, then cap the length."""
     out = title
     for delimiter in delimiters:
-        out = left_of(out, delimiter)
+        out = left_of(out, delimiter, names)
     return F.left(out, F.lit(max_chars))

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from worklens.functions import name_key, ntz
+from worklens.functions import NOCASE, Names, name_key, ntz
 
 # Fixed labels of the department report (types outside 0..3 get no label).
 TYPE_LABELS = {0: "Undefined", 1: "Productive", 2: "Distracting", 3: "Neutral"}
@@ -21,14 +21,15 @@ def type_label(ptype: Column) -> Column:
 
 def department_productivity(detail: DataFrame, daily: DataFrame, users: DataFrame, department: DataFrame,
                             base: DataFrame, visible: DataFrame, date_from, date_until,
-                            dates_agree: bool = False) -> DataFrame:
+                            dates_agree: bool = False, compare: Names = NOCASE) -> DataFrame:
     """Sums of Undefined/Productive/Distracting/Neutral and total time per
     (department, user name, position, resource name, type label), for detail
     rows whose parent day lies in ``[date_from, date_until]`` (both inclusive)
     and whose user is visible and has a department.
 
     The label has no fallback: other or NULL types get a NULL label and count
-    in the total only. Names group case-insensitively, so homonyms merge.
+    in the total only. Names group by what they are equal by (``compare``), so
+    homonyms merge.
 
     ``dates_agree`` says that every detail row has its parent day's date (see
     :func:`detail_date_mismatch`); the window then bounds the detail scan as
@@ -78,7 +79,7 @@ def department_productivity(detail: DataFrame, daily: DataFrame, users: DataFram
     )
     names = ["department_name", "username", "position", "resource_name"]
     return joined.groupBy(
-        *[name_key(F.col(n)).alias(f"_{n}") for n in names], "adjusted_productivity_type"
+        *[name_key(F.col(n), compare).alias(f"_{n}") for n in names], "adjusted_productivity_type"
     ).agg(
         *[F.min(n).alias(n) for n in names], *[F.sum(s).alias(s) for s in sums]
     ).select(*names, "adjusted_productivity_type", *sums)

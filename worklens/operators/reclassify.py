@@ -24,8 +24,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from worklens.functions import BROWSER_RESOURCE_NAMES, is_blank, key_in, name_key, ntz, site_name
+from worklens.functions import BROWSER_RESOURCE_NAMES, NOCASE, Names, is_blank, key_in, name_key, ntz, site_name
 from worklens.plans.distributed import global_ordinal, join_spreading_key, left_join_spreading_nulls
+from worklens.sources.tables import day_of
 
 # Fixed value: seconds of browser time a (site, browser) pair needs before the
 # site becomes a catalogue entry.
@@ -33,13 +34,13 @@ MIN_SITE_SECONDS = 30
 LINK = "user_productivity_daily_detail"
 
 
-def expire_duplicate_resources(base: DataFrame, as_of: _dt.datetime) -> DataFrame:
+def expire_duplicate_resources(base: DataFrame, as_of: _dt.datetime, names: Names = NOCASE) -> DataFrame:
     """Among active, non-blank catalogue names held by more than one row,
     expire the row with the highest id (one per name per run, so n copies
     need n-1 runs). NULL names are never touched."""
     newest_duplicate = (
         base.where(F.col("expired_on").isNull() & ~is_blank(F.col("resource_name")))
-        .groupBy(name_key(F.col("resource_name")))
+        .groupBy(name_key(F.col("resource_name"), names))
         .agg(F.max("id").alias("id"), F.count(F.lit(1)).alias("copies"))
         .where(F.col("copies") > 1)
         .select("id", F.lit(True).alias("_expire"))
@@ -51,11 +52,11 @@ def expire_duplicate_resources(base: DataFrame, as_of: _dt.datetime) -> DataFram
     )
 
 
-def _browser_entries(base: DataFrame, browsers: Sequence[str]) -> DataFrame:
+def _browser_entries(base: DataFrame, browsers: Sequence[str], names: Names) -> DataFrame:
     """(productivity_base, resource_name) of the browser entries: a handful of
     ids holding a large share of all activity, so they are only joined with
     their keys spread."""
-    return base.where(key_in(F.col("resource_name"), browsers)).select(
+    return base.where(key_in(F.col("resource_name"), browsers, names)).select(
         F.col("id").alias("productivity_base"), "resource_name"
     )
 
@@ -65,21 +66,23 @@ def _titled_with_time():
 
 
 def browser_activity_extract(activity: DataFrame, base: DataFrame, detail: DataFrame,
-                             browsers: Sequence[str] = BROWSER_RESOURCE_NAMES) -> DataFrame:
+                             browsers: Sequence[str] = BROWSER_RESOURCE_NAMES,
+                             hot_resources: DataFrame | None = None, names: Names = NOCASE) -> DataFrame:
     """Activity with positive time on a browser entry (expired entries
     included) and a non-blank title, with the site name cut from the title.
 
     ``upd_oid`` is the linked roll-up row if it exists, else NULL. Activity is
-    filtered by the browser entries first (spread over salts where they are
-    not broadcast); activity without a link has its NULL key salted for the
-    roll-up lookup. Names and ids do not change when duplicates expire, so
-    any version of the catalogue since the last insert gives the same rows.
+    filtered by the browser entries first, with hot resources spread
+    (``hot_resources``: the hot keys of activity's resource, if known);
+    activity without a link has its NULL key salted for the roll-up lookup.
+    Names and ids do not change when duplicates expire, so any version of the
+    catalogue since the last insert gives the same rows.
     """
-    rows = join_spreading_key(activity.where(_titled_with_time()), _browser_entries(base, browsers),
-                              "productivity_base", ["id"], "inner")
+    rows = join_spreading_key(activity.where(_titled_with_time()), _browser_entries(base, browsers, names),
+                              "productivity_base", ["id"], "inner", hot_resources)
     snapshot = rows.select(
         "id", "first_captured_on",
-        site_name(F.col("description")).alias("new_resource_name"),
+        site_name(F.col("description"), names=names).alias("new_resource_name"),
         "url", "resource_name", "active_duration", LINK,
     )
     linked = left_join_spreading_nulls(
@@ -88,28 +91,43 @@ def browser_activity_extract(activity: DataFrame, base: DataFrame, detail: DataF
     return linked.drop(LINK)
 
 
-def new_resource_candidates(snapshot: DataFrame, base: DataFrame, min_seconds: int = MIN_SITE_SECONDS) -> DataFrame:
+def new_resource_candidates(snapshot: DataFrame, base: DataFrame, min_seconds: int = MIN_SITE_SECONDS,
+                            names: Names = NOCASE) -> DataFrame:
     """Site names whose time under one browser entry exceeds ``min_seconds``
     and that no active catalogue entry has. The threshold is per (site,
     browser) pair, so a site above it in two browsers is listed twice."""
-    return candidates_of(site_times(snapshot), base, min_seconds)
+    return candidates_of(site_times(snapshot), base, min_seconds, names)
+
+
+def site_links(snapshot: DataFrame) -> DataFrame:
+    """What later steps need of the snapshot: seconds and rows per exact
+    spelling of site and browser and per roll-up row."""
+    return snapshot.groupBy("new_resource_name", "resource_name", "upd_oid").agg(
+        F.sum("active_duration").alias("seconds"), F.count(F.lit(1)).alias("rows")
+    )
 
 
 def site_times(snapshot: DataFrame) -> DataFrame:
     """Seconds and rows of the snapshot per exact spelling of site and browser
     (a hash aggregate, combined map-side)."""
-    return snapshot.groupBy("new_resource_name", "resource_name").agg(
-        F.sum("active_duration").alias("seconds"), F.count(F.lit(1)).alias("rows")
+    return site_times_of(snapshot.withColumns({"seconds": F.col("active_duration"), "rows": F.lit(1)}))
+
+
+def site_times_of(links: DataFrame) -> DataFrame:
+    """:func:`site_times` from :func:`site_links`."""
+    return links.groupBy("new_resource_name", "resource_name").agg(
+        F.sum("seconds").alias("seconds"), F.sum("rows").alias("rows")
     )
 
 
-def candidates_of(times: DataFrame, base: DataFrame, min_seconds: int = MIN_SITE_SECONDS) -> DataFrame:
-    """:func:`new_resource_candidates` from :func:`site_times`: spellings merge
-    case-insensitively on the reduced rows."""
+def candidates_of(times: DataFrame, base: DataFrame, min_seconds: int = MIN_SITE_SECONDS,
+                  names: Names = NOCASE) -> DataFrame:
+    """:func:`new_resource_candidates` from :func:`site_times`: equal spellings
+    merge on the reduced rows."""
     pairs = (
         times.groupBy(
-            name_key(F.col("new_resource_name")).alias("_site"),
-            name_key(F.col("resource_name")).alias("_browser"),
+            name_key(F.col("new_resource_name"), names).alias("_site"),
+            name_key(F.col("resource_name"), names).alias("_browser"),
         )
         .agg(
             F.min("new_resource_name").alias("new_resource_name"),
@@ -122,14 +140,14 @@ def candidates_of(times: DataFrame, base: DataFrame, min_seconds: int = MIN_SITE
     # distinct name keys (combined map-side): catalogue names repeat, and the
     # anti-join only needs each key once
     active_names = base.where(F.col("expired_on").isNull()).select(
-        name_key(F.col("resource_name")).alias("_site")
+        name_key(F.col("resource_name"), names).alias("_site")
     ).distinct()
     return pairs.join(active_names, "_site", "left_anti").select(
         "new_resource_name", "existing_resource_name", "sum_active_duration", "r_count"
     )
 
 
-def register_resources(base: DataFrame, candidates: DataFrame, as_of: _dt.datetime) -> DataFrame:
+def register_resources(base: DataFrame, candidates: DataFrame, as_of: _dt.datetime, names: Names = NOCASE) -> DataFrame:
     """The catalogue with one new browser-related site entry per candidate row.
 
     New ids continue after the current highest id, numbered in descending
@@ -139,7 +157,7 @@ def register_resources(base: DataFrame, candidates: DataFrame, as_of: _dt.dateti
     start = base.select(F.max("id")).scalar()
     numbered = global_ordinal(
         candidates.select("new_resource_name"),
-        [F.desc_nulls_last(name_key(F.col("new_resource_name"))), F.desc_nulls_last("new_resource_name")],
+        [F.desc_nulls_last(name_key(F.col("new_resource_name"), names)), F.desc_nulls_last("new_resource_name")],
     )
     added = numbered.select(
         (F.coalesce(start, F.lit(0)) + F.col("ordinal")).cast("bigint").alias("id"),
@@ -153,8 +171,43 @@ def register_resources(base: DataFrame, candidates: DataFrame, as_of: _dt.dateti
     return base.unionByName(added)
 
 
+def _with_moves(activity: DataFrame, snapshot_base: DataFrame, base: DataFrame, browsers: Sequence[str],
+                hot_resources: DataFrame | None, hot_sites: DataFrame | None, names: Names) -> DataFrame:
+    """``activity`` with ``_target``, the entry a row belongs to by its site, and
+    whether it has to move there (``_moved``), in one pass over the rows.
+
+    Rows outside the snapshot have no site; as NULL keys they spread over all
+    partitions of the site lookup and match nothing.
+    """
+    target = (
+        base.where(F.col("expired_on").isNull() & (F.col("browser_related") == 1))
+        .groupBy(name_key(F.col("resource_name"), names).alias("_site"))
+        .agg(F.min("id").alias("_target"))
+    )
+    entries = _browser_entries(snapshot_base, browsers, names).select("productivity_base", F.lit(True).alias("_browser"))
+    rows = join_spreading_key(activity, entries, "productivity_base", ["id"], "left", hot_resources)
+    sited = rows.withColumn("_site", F.when(
+        F.col("_browser") & _titled_with_time(), name_key(site_name(F.col("description"), names=names), names))).drop("_browser")
+    return join_spreading_key(sited, target, "_site", ["id"], "left", hot_sites).withColumn(
+        "_moved", F.coalesce(F.col("productivity_base") != F.col("_target"), F.lit(False))).drop("_site")
+
+
+def _with_hits(activity: DataFrame, affected: DataFrame) -> DataFrame:
+    """``activity`` with ``_hit``: whether its link is in the affected set (a NULL in the set matches nothing)."""
+    hits = affected.where(F.col("upd_oid").isNotNull()).select(F.col("upd_oid").alias(LINK), F.lit(True).alias("_hit"))
+    return left_join_spreading_nulls(activity, hits, LINK, ["id"]).withColumn("_hit", F.coalesce("_hit", F.lit(False)))
+
+
+def _moved_and_unlinked(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({
+        "productivity_base": F.when(F.col("_moved"), F.col("_target")).otherwise(F.col("productivity_base")),
+        LINK: F.when(~F.col("_moved"), F.col(LINK)),
+    })
+
+
 def reassign_activity(activity: DataFrame, snapshot_base: DataFrame, base: DataFrame,
-                      browsers: Sequence[str] = BROWSER_RESOURCE_NAMES) -> DataFrame:
+                      browsers: Sequence[str] = BROWSER_RESOURCE_NAMES, hot_resources: DataFrame | None = None,
+                      hot_sites: DataFrame | None = None, names: Names = NOCASE) -> DataFrame:
     """Activity of the browser snapshot whose site name has an active
     browser-related catalogue entry is moved to the lowest such id and
     unlinked from its roll-up row, unless it already points there.
@@ -162,27 +215,29 @@ def reassign_activity(activity: DataFrame, snapshot_base: DataFrame, base: DataF
     ``snapshot_base`` is the catalogue the snapshot was taken against, ``base``
     the catalogue with the new entries. Belonging to the snapshot is a per-row
     test (a lookup of the browser entries, positive time, a non-blank title),
-    so activity is not joined back to the snapshot by id. Only snapshot rows
-    look up their site in the per-name target table, with a popular site
-    spread over salts; all other rows pass through without that join.
+    so activity is not joined back to the snapshot by id. One pass over the
+    rows, with hot resources and hot sites spread (``hot_*``: their hot keys,
+    if known).
     """
-    target = (
-        base.where(F.col("expired_on").isNull() & (F.col("browser_related") == 1))
-        .groupBy(name_key(F.col("resource_name")).alias("_site"))
-        .agg(F.min("id").alias("_target"))
-    )
-    entries = _browser_entries(snapshot_base, browsers).select("productivity_base", F.lit(True).alias("_browser"))
-    rows = join_spreading_key(activity, entries, "productivity_base", ["id"]).withColumn(
-        "_inside", F.coalesce(F.col("_browser"), F.lit(False)) & F.coalesce(_titled_with_time(), F.lit(False)))
-    moved = F.coalesce(F.col("productivity_base") != F.col("_target"), F.lit(False))
-    inside = rows.where("_inside").withColumn("_site", name_key(site_name(F.col("description"))))
-    changed = (
-        join_spreading_key(inside, target, "_site", ["id"])
-        .withColumn("_moved", moved)
-        .withColumn("productivity_base", F.when(F.col("_moved"), F.col("_target")).otherwise(F.col("productivity_base")))
-        .withColumn(LINK, F.when(F.col("_moved"), F.lit(None).cast("bigint")).otherwise(F.col(LINK)))
-    )
-    return rows.where("not _inside").select(*activity.columns).unionByName(changed.select(*activity.columns))
+    rows = _with_moves(activity, snapshot_base, base, browsers, hot_resources, hot_sites, names)
+    return _moved_and_unlinked(rows).select(*activity.columns)
+
+
+def next_activity(activity: DataFrame, snapshot_base: DataFrame, base: DataFrame, affected: DataFrame,
+                  browsers: Sequence[str] = BROWSER_RESOURCE_NAMES, hot_resources: DataFrame | None = None,
+                  hot_sites: DataFrame | None = None, changes_only: bool = False, names: Names = NOCASE) -> DataFrame:
+    """:func:`reassign_activity` and then :func:`detach_activity`, in one pass over the rows;
+    ``changes_only`` keeps the rows that either of them changes."""
+    moves = _with_moves(activity, snapshot_base, base, browsers, hot_resources, hot_sites, names)
+    rows = _with_hits(_moved_and_unlinked(moves), affected)
+    if changes_only:
+        rows = rows.where(F.col("_moved") | F.col("_hit"))
+    return rows.withColumn(LINK, F.when(~F.col("_hit"), F.col(LINK))).select(*activity.columns)
+
+
+def days_of(table: str, rows: DataFrame) -> DataFrame:
+    """The distinct days of some rows of a table laid out by day."""
+    return rows.select(day_of(table).alias("day")).distinct()
 
 
 def affected_details(snapshot: DataFrame) -> DataFrame:
@@ -194,10 +249,9 @@ def affected_details(snapshot: DataFrame) -> DataFrame:
 def detach_activity(activity: DataFrame, affected: DataFrame) -> DataFrame:
     """Unlink every activity row whose roll-up row is affected (a NULL in the
     affected set matches nothing)."""
-    hits = affected.where(F.col("upd_oid").isNotNull()).select(F.col("upd_oid").alias(LINK), F.lit(True).alias("_hit"))
     return (
-        left_join_spreading_nulls(activity, hits, LINK, ["id"])
-        .withColumn(LINK, F.when(F.col("_hit"), F.lit(None).cast("bigint")).otherwise(F.col(LINK)))
+        _with_hits(activity, affected)
+        .withColumn(LINK, F.when(~F.col("_hit"), F.col(LINK)))
         .select(*activity.columns)
     )
 
@@ -205,5 +259,13 @@ def detach_activity(activity: DataFrame, affected: DataFrame) -> DataFrame:
 def drop_details(detail: DataFrame, affected: DataFrame) -> DataFrame:
     """The roll-up table without the affected rows (anti-join: a NULL in the
     affected set removes nothing, unlike NOT IN)."""
-    keys = affected.where(F.col("upd_oid").isNotNull()).select(F.col("upd_oid").alias("oid"))
-    return detail.join(keys, "oid", "left_anti")
+    return detail.join(_affected_keys(affected), "oid", "left_anti")
+
+
+def details_to_drop(detail: DataFrame, affected: DataFrame) -> DataFrame:
+    """The rows that :func:`drop_details` removes."""
+    return detail.join(_affected_keys(affected), "oid", "left_semi")
+
+
+def _affected_keys(affected: DataFrame) -> DataFrame:
+    return affected.where(F.col("upd_oid").isNotNull()).select(F.col("upd_oid").alias("oid"))

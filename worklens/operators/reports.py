@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 from worklens.functions.calendar import first_of_month
 from worklens.functions import (
+    NOCASE,
+    Names,
     clock_time,
     duration_text,
     in_work_hours,
@@ -61,6 +63,7 @@ class ReportParams:
     top_weekdays: tuple[int, int] = MON_TO_SAT
     day_weekdays: tuple[int, int] = MON_TO_FRI
     top_k: int = TOP_RESOURCES
+    names: Names = NOCASE
 
     @property
     def keys(self) -> list[str]:
@@ -112,11 +115,16 @@ def _with_ym(df: DataFrame, day_col: str) -> DataFrame:
 _TOTALS = ["sum_daily_duration", "sum_productive", "sum_distracting", "sum_neutral", "sum_undefined"]
 
 
-def user_month_totals(detail: DataFrame, base: DataFrame, users: DataFrame) -> DataFrame:
+def user_month_totals(detail: DataFrame, base: DataFrame, users: DataFrame, names: Names = NOCASE) -> DataFrame:
     """Per (month, user): days observed, total time per type (clock text that
     wraps past 24 h, plus ``*_seconds``), and the average first start / last end.
     """
-    days = _with_ym(user_day_totals(detail, base), "date")
+    return month_totals(user_day_totals(detail, base, names), users)
+
+
+def month_totals(days: DataFrame, users: DataFrame) -> DataFrame:
+    """:func:`user_month_totals` from :func:`user_day_totals`."""
+    days = _with_ym(days, "date")
     month = days.groupBy("system_user", "y", "m").agg(
         F.count(F.lit(1)).alias("number_of_days_observed"),
         *[F.sum(c).alias(c + "_seconds") for c in _TOTALS],
@@ -144,7 +152,7 @@ def usage_type_label(ptype: Column) -> Column:
 
 def resource_hour_usage(detail: DataFrame, base: DataFrame, users: DataFrame,
                         after: _dt.datetime = _dt.datetime(2018, 10, 1),
-                        domain_prefix: str = "", limit: int | None = None) -> DataFrame:
+                        domain_prefix: str = "", limit: int | None = None, names: Names = NOCASE) -> DataFrame:
     """Per (user, month, resource name, hour bucket, productivity type): time used.
 
     Days strictly after ``after``; the lock screen is excluded. The user is
@@ -163,18 +171,18 @@ def resource_hour_usage(detail: DataFrame, base: DataFrame, users: DataFrame,
         )
         .agg(F.sum("daily_duration").alias("duration"))
     )
-    resources = base.where(not_lock_screen(F.col("resource_name"))).select(
+    resources = base.where(not_lock_screen(F.col("resource_name"), names=names)).select(
         F.col("id").alias("productivity_base"), "resource_name"
     )
     accounts = users.select(F.col("oid").alias("system_user"), "name", "friendly_name")
     joined = per_id.join(resources, "productivity_base").join(accounts, "system_user")
     usage = joined.groupBy(
         "system_user", "name", "friendly_name", "month",
-        name_key(F.col("resource_name")).alias("resource_key"), "hour_from", "adjusted_productivity_type",
+        name_key(F.col("resource_name"), names).alias("resource_key"), "hour_from", "adjusted_productivity_type",
     ).agg(F.sum("duration").alias("duration"), F.min("resource_name").alias("resource_name"))
     out = usage.select(
         "resource_name",
-        F.coalesce(F.col("friendly_name"), without_prefix(F.col("name"), domain_prefix)).alias("name"),
+        F.coalesce(F.col("friendly_name"), without_prefix(F.col("name"), domain_prefix, names)).alias("name"),
         "duration", "hour_from",
         usage_type_label(F.col("adjusted_productivity_type")).alias("productivity_type"),
         "month", "system_user", "adjusted_productivity_type", "resource_key",
@@ -206,7 +214,15 @@ def report_months(params: ReportParams) -> tuple[_dt.datetime, _dt.datetime] | N
     return first_of_month(params.day_from), first_of_month(params.day_until, months_ahead=1)
 
 
-def _resource_measures(params: ReportParams) -> list[Column]:
+def session_window(params: ReportParams) -> tuple[_dt.datetime, _dt.datetime | None]:
+    """The first and last moment of sessions that can reach the report (None: no end)."""
+    months = report_months(params)
+    if months is None:
+        return params.sessions_since, None
+    return max(params.sessions_since, months[0]), months[1]
+
+
+def resource_measures(params: ReportParams) -> list[Column]:
     work = in_work_hours(F.col("date"), F.col("hour_from"), params.work_hours, params.top_weekdays)
     return [F.sum(F.when(work, F.col("daily_duration")).otherwise(F.lit(0))).alias("sum_work"),
             F.sum("daily_duration").alias("sum_all")]
@@ -228,8 +244,8 @@ def user_resource_time(detail: DataFrame, base: DataFrame, params: ReportParams,
     rows = _in_months(detail, "date", months)
     if params.monthly:
         rows = _with_ym(rows, "date")
-    sums = rows.groupBy(*params.keys, "productivity_base").agg(*_resource_measures(params))
-    return _resource_times(reportable(sums, base), params)
+    sums = rows.groupBy(*params.keys, "productivity_base").agg(*resource_measures(params))
+    return _resource_times(reportable(sums, base, params.names), params)
 
 
 def top_resources(resource_time: DataFrame, params: ReportParams) -> DataFrame:
@@ -265,12 +281,13 @@ def user_machines(sessions: DataFrame, params: ReportParams,
     # combined map-side); the case-insensitive merge and its smallest spelling
     # then run on one row per spelling.
     per_spelling = rows.groupBy(*params.keys, "machine_name").agg(F.count(F.lit(1)).alias("n"))
-    per_machine = per_spelling.groupBy(*params.keys, name_key(F.col("machine_name")).alias("machine_key")).agg(
+    per_machine = per_spelling.groupBy(*params.keys, name_key(F.col("machine_name"), params.names).alias("machine_key")).agg(
         F.sum("n").alias("n"), F.min("machine_name").alias("machine_name")
     ).select(
         *params.keys,
         F.concat(F.col("machine_name"), F.lit("["), F.col("n").cast("string"), F.lit("]")).alias("machine_label"),
     )
+    order = "machine_label" if params.names.heeds_case else "lower(machine_label), machine_label"
     return (
         per_machine.where(F.col("system_user").isNotNull())
         .groupBy(*params.keys)
@@ -278,7 +295,7 @@ def user_machines(sessions: DataFrame, params: ReportParams,
             F.count(F.lit(1)).alias("computers_count"),
             F.expr(
                 f"listagg(machine_label, '{MACHINE_SEPARATOR}') "
-                "WITHIN GROUP (ORDER BY lower(machine_label), machine_label)"
+                f"WITHIN GROUP (ORDER BY {order})"
             ).alias("computer_names"),
         )
     )
@@ -296,7 +313,7 @@ def user_day_averages(detail: DataFrame, base: DataFrame, users: DataFrame, para
     the first and last day observed.
     """
     days = user_day_work_hours(detail, base, params.day_from, params.day_until,
-                               params.work_hours, params.day_weekdays)
+                               params.work_hours, params.day_weekdays, params.names)
     return _day_averages(days, users, params).drop("working_department")
 
 
@@ -349,7 +366,7 @@ _REPORT_TIMES = [
 
 
 def user_report(detail: DataFrame, base: DataFrame, users: DataFrame, department: DataFrame,
-                sessions: DataFrame, params: ReportParams) -> DataFrame:
+                sessions: DataFrame, params: ReportParams, sums: DataFrame | None = None) -> DataFrame:
     """The per-user report: day averages, department, machines and top resources.
 
     Monthly: machines attach through the top-resource row of the same month
@@ -365,15 +382,19 @@ def user_report(detail: DataFrame, base: DataFrame, users: DataFrame, department
 
     The detail table is scanned once: the measures of both halves are summed
     per (date, user, resource), filtered by the catalogue and written to
-    shared storage, and both halves merge these sums.
+    shared storage, and both halves merge these sums. Where the sums are kept
+    (``sums``, see ``worklens.plans.day_sums``) no detail is read.
     """
     keys = params.keys
     months = report_months(params)
-    sums = materialize(
-        reportable(day_resource_measures(
-            _in_months(detail, "date", months),
-            [*work_hour_measures(params.work_hours, params.day_weekdays), *_resource_measures(params)]), base),
-        "report-sums")
+    if sums is None:
+        sums = materialize(
+            reportable(day_resource_measures(
+                _in_months(detail, "date", months),
+                [*work_hour_measures(params.work_hours, params.day_weekdays), *resource_measures(params)]), base, params.names),
+            "report-sums")
+    else:
+        sums = materialize(reportable(_in_months(sums, "date", months), base, params.names), "report-sums")
     days = work_hour_days(sums.where(F.col("date").between(ntz(params.day_from), ntz(params.day_until))))
     report = _day_averages(days, users, params)
     per_resource = _with_ym(sums, "date") if params.monthly else sums

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from worklens.functions import (
+    NOCASE,
+    Names,
     clock_time,
     in_work_hours,
     not_lock_screen,
@@ -67,7 +69,7 @@ def rollup_drift(detail: DataFrame, activity: DataFrame, tolerance_seconds: int
     )
 
 
-def reportable(rows: DataFrame, base: DataFrame) -> DataFrame:
+def reportable(rows: DataFrame, base: DataFrame, names: Names = NOCASE) -> DataFrame:
     """Rows whose resource is in the catalogue and is not the lock screen.
 
     The catalogue id is its key, so the inner join of the original reports is
@@ -75,7 +77,7 @@ def reportable(rows: DataFrame, base: DataFrame) -> DataFrame:
     Callers pass rows that are already summed per resource, so the shuffle by
     resource, whose keys are hot, moves groups and no detail rows.
     """
-    keep = base.where(not_lock_screen(F.col("resource_name"))).select(F.col("id").alias("productivity_base"))
+    keep = base.where(not_lock_screen(F.col("resource_name"), names=names)).select(F.col("id").alias("productivity_base"))
     return rows.join(keep, "productivity_base", "left_semi")
 
 
@@ -144,7 +146,7 @@ _SPAN_AND_SUMS = ["min_activity_start", "max_activity_end", "sum_daily_duration"
                   "sum_distracting", "sum_neutral", "sum_undefined"]
 
 
-def user_day_totals(detail: DataFrame, base: DataFrame) -> DataFrame:
+def user_day_totals(detail: DataFrame, base: DataFrame, names: Names = NOCASE) -> DataFrame:
     """Per (date, user): first start, last end (timestamp, seconds of day and
     clock text), total time and time per productivity type.
 
@@ -153,10 +155,20 @@ def user_day_totals(detail: DataFrame, base: DataFrame) -> DataFrame:
     """
     per_resource = day_resource_measures(
         detail, _span_and_type_sums(None, "", else_zero=True, null_type_is_undefined=False))
-    day = merged(reportable(per_resource, base), ["date", "system_user"], _SPAN_AND_SUMS)
+    return day_totals(reportable(per_resource, base, names))
+
+
+def day_totals(per_resource: DataFrame) -> DataFrame:
+    """:func:`user_day_totals` from sums per (date, user, resource)."""
+    day = merged(per_resource, ["date", "system_user"], _SPAN_AND_SUMS)
     return _with_second_of_day(day, "").select("date", "system_user", *DAY_MEASURES)
 
 
+def plain_type_sums(suffix: str) -> list[Column]:
+    """The type sums of :func:`user_day_totals` (0 for other types, NULL types in none)."""
+    return _span_and_type_sums(None, suffix, else_zero=True, null_type_is_undefined=False)[3:]
+
+
 def work_hour_measures(work_hours: tuple[int, int] = (9, 19),
                        work_weekdays: tuple[int, int] = (2, 6)) -> list[Column]:
     """The day measures over all rows and, suffixed ``_wh``, over rows inside work hours."""
@@ -174,7 +186,7 @@ def work_hour_days(per_resource: DataFrame) -> DataFrame:
 
 def user_day_work_hours(detail: DataFrame, base: DataFrame, day_from, day_until,
                         work_hours: tuple[int, int] = (9, 19),
-                        work_weekdays: tuple[int, int] = (2, 6)) -> DataFrame:
+                        work_weekdays: tuple[int, int] = (2, 6), names: Names = NOCASE) -> DataFrame:
     """Per (date, user) in ``[day_from, day_until]``: the day measures over all
     rows and, suffixed ``_wh``, over rows inside work hours on work weekdays.
 
@@ -184,4 +196,5 @@ def user_day_work_hours(detail: DataFrame, base: DataFrame, day_from, day_until,
     detail key (exact because ``oid`` is unique).
     """
     rows = detail.where(F.col("date").between(ntz(day_from), ntz(day_until)))
-    return work_hour_days(reportable(day_resource_measures(rows, work_hour_measures(work_hours, work_weekdays)), base))
+    sums = day_resource_measures(rows, work_hour_measures(work_hours, work_weekdays))
+    return work_hour_days(reportable(sums, base, names))

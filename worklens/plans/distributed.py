@@ -1,6 +1,7 @@
 """Distributed building blocks the jobs share.
 
 * :func:`materialize` - a lineage cut in shared storage.
+* :func:`hot_keys` - the keys that hold more than a task's share of the rows.
 * :func:`join_spreading_key` - an equi-join whose left keys may be hot or NULL.
 * :func:`global_ordinal` - 1..n numbering in a global sort order without a
   single-partition window.
@@ -12,13 +13,10 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from worklens.session import ensure_checkpoint_dir
 
-# Join keys a value of the left side is spread over; AQE splits larger ones further.
-KEY_SPREAD = 32
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the session's shared folder and read it back.
 
@@ -30,25 +28,83 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def join_spreading_key(left: DataFrame, right: DataFrame, key: str, spread_by: list[str],
-                       how: str = "left") -> DataFrame:
+# Items a sketch tracks for each share of the rows: its error stays well under one share.
+TRACKED_PER_SHARE = 8
+
+
+def _key_hash(rows: DataFrame, key: list[str]) -> Column:
+    """A hash that equal keys share (of collated strings, which hash by their bytes, the folded text)."""
+    def canonical(name: str) -> Column:
+        kind = rows.schema[name].dataType
+        collated = isinstance(kind, StringType) and kind.collation != "UTF8_BINARY"
+        return F.lower(F.rtrim(F.col(name).cast("string"))) if collated else F.col(name)
+
+    return F.xxhash64(*[canonical(k) for k in key])
+
+
+def hot_keys(rows: DataFrame, key: str | list[str]) -> DataFrame:
+    """(_key_hash, _salts) of the keys that hold more than one share of ``rows``, a
+    share being the rows of a shuffle partition if all had as many.
+
+    Found by a mergeable heavy-hitter sketch of the keys' hashes: each task
+    sketches its rows and passes on one row. A key gets as many salts as its
+    rows fill shares, rounded up; keys with less than a share are not listed
+    (but for those near it, within the sketch's error of a sixth of a share).
+    With P shuffle partitions the table has under 1.5 P rows and its salts add
+    up to under 3 P. Two keys of one hash share their salts. NULL keys do not
+    count. The table is lazy: it is one pass over the key columns of ``rows``
+    in the job that uses it.
+    """
+    key = [key] if isinstance(key, str) else key
+    # Fixed value: the most items the sketch can track.
+    shares = min(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1_000_000 // TRACKED_PER_SHARE)
+    present = rows.where(" AND ".join(f"`{k}` IS NOT NULL" for k in key)).select(_key_hash(rows, key).alias("_key_hash"))
+    top = present.agg(
+        F.expr(f"approx_top_k(_key_hash, {min(2 * shares, 100_000)}, {max(64, TRACKED_PER_SHARE * shares)})").alias("top"),
+        F.count(F.lit(1)).alias("n"))
+    return (
+        top.select("n", F.inline("top").alias("_key_hash", "_rows"))
+        .where(F.col("_rows") * shares > F.col("n"))
+        .select("_key_hash", F.ceil(F.col("_rows") * shares / F.col("n")).cast("bigint").alias("_salts"))
+    )
+
+
+def hot_keys_of_counts(counts: DataFrame, key: str, rows: str) -> DataFrame:
+    """:func:`hot_keys` of rows that are already counted: ``counts`` has one or more rows a key, ``rows`` its count."""
+    shares = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    per_key = counts.where(F.col(key).isNotNull()).groupBy(_key_hash(counts, [key]).alias("_key_hash")).agg(
+        F.sum(rows).alias("_rows"))
+    n = per_key.select(F.sum("_rows")).scalar()
+    return per_key.where(F.col("_rows") * shares > n).select(
+        "_key_hash", F.ceil(F.col("_rows") * shares / n).cast("bigint").alias("_salts"))
+
+
+def join_spreading_key(left: DataFrame, right: DataFrame, key: str | list[str], spread_by: list[str],
+                       how: str = "left", hot: DataFrame | None = None) -> DataFrame:
     """``left.join(right, key, how)`` for a left key with hot values or NULLs.
 
-    A left row joins on (key, salt) with a salt in ``[0, KEY_SPREAD)`` from a
-    hash of ``spread_by`` (deterministic, so a retried task salts
-    identically); the right side, which must be small next to the left one,
-    is repeated for each salt. A NULL key can match nothing, so its salt is
-    the full 64-bit hash and its rows spread over all partitions. ``right``
-    must carry ``key`` and no other column of ``left``. Whether the right
-    side is broadcast is left to Spark's byte threshold.
+    Rows of a hot left key (:func:`hot_keys` of ``left``, unless ``hot`` is
+    given) are dealt over its salts by a hash of ``spread_by`` (deterministic,
+    so a retried task salts identically), and the right rows of that key are
+    repeated for each salt; all other right rows stay single. A NULL key can
+    match nothing, so its salt is the full 64-bit hash and its rows spread over
+    all partitions. ``right`` must carry ``key`` and no other column of
+    ``left``. What is broadcast by hint is the table of hot keys, whose size
+    the partition count bounds; of the two sides Spark's byte threshold decides.
     """
+    key = [key] if isinstance(key, str) else key
+    hot = F.broadcast(hot_keys(left, key) if hot is None else hot)
     spread = F.xxhash64(*spread_by)
-    salt = F.when(F.col(key).isNull(), spread).otherwise(F.pmod(spread, F.lit(KEY_SPREAD)).cast("bigint"))
-    salts = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(KEY_SPREAD - 1).cast("bigint")))
+    salts = F.coalesce(F.col("_salts"), F.lit(1).cast("bigint"))
+    absent = F.expr(" OR ".join(f"`{k}` IS NULL" for k in key))
+
+    def with_salts(side: DataFrame) -> DataFrame:
+        return side.withColumn("_key_hash", _key_hash(side, key)).join(hot, "_key_hash", "left")
+
+    dealt = with_salts(left).withColumn("_salt", F.when(absent, spread).otherwise(F.pmod(spread, salts)))
+    repeated = with_salts(right).withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), salts - 1)))
     return (
-        left.withColumn("_salt", salt)
-        .join(right.withColumn("_salt", salts), [key, "_salt"], how)
-        .drop("_salt")
+        dealt.drop("_key_hash", "_salts").join(repeated.drop("_key_hash", "_salts"), [*key, "_salt"], how).drop("_salt")
     )
 
 

@@ -9,18 +9,23 @@ so the whole fixture range is in scope.
 
 from __future__ import annotations
 
+import dataclasses
 import datetime as _dt
 import functools
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from worklens import oracle
+from worklens.functions import BINARY
 from worklens.operators import access, departments, reports, rollup
+from worklens.plans import day_sums
 from worklens.plans import reclassify as reclassify_job
-from worklens.session import configure
+from worklens.plans.user_reports import user_report
+from worklens.session import configure, ensure_checkpoint_dir
 from worklens.sources.fixtures import fixture_tables
-from worklens.sources.tables import Tables
+from worklens.sources.tables import Tables, read_tables, write_version
 
 # Fixture parameters (see module docstring).
 AS_OF = _dt.datetime(2024, 6, 1)
@@ -79,7 +84,7 @@ def _report_jobs(suffix: str, p: reports.ReportParams) -> dict[str, tuple[Job, s
             oracle.top_resources(p),
         ),
         f"user_machines{suffix}": (
-            _job(lambda t: reports.user_machines(t.user_session, p)),
+            _job(lambda t: reports.user_machines(t.between("user_session", p.sessions_since), p)),
             oracle.user_machines(p),
         ),
         ("user_day_work_hours" if p.monthly else "user_day_work_hours_period"): (
@@ -97,7 +102,7 @@ def _report_jobs(suffix: str, p: reports.ReportParams) -> dict[str, tuple[Job, s
             oracle.top_resources_pivot(p),
         ),
         ("user_month_report" if p.monthly else "user_period_report"): (
-            _job(lambda t: reports.user_report(t.detail, t.base, t.users, t.department, t.user_session, p)),
+            _job(lambda t: user_report(t, p)),
             oracle.user_report(p),
         ),
     }
@@ -145,10 +150,9 @@ def _visible(t: Tables, viewer, default_viewer=DEFAULT_VIEWER) -> DataFrame:
 
 def _department(t: Tables, viewer, first: _dt.datetime = DEPARTMENT_FROM, as_of: _dt.datetime = AS_OF) -> DataFrame:
     date_from, date_until = access.report_window(first, DEPARTMENT_UNTIL, as_of)
-    # detail_date_mismatch is empty for the fixtures.
     return departments.department_productivity(
         t.detail, t.daily, t.users, t.department, t.base, _visible(t, viewer), date_from, date_until,
-        dates_agree=True,
+        dates_agree=t.proves("dates_agree"),
     )
 
 
@@ -227,7 +231,71 @@ def _reclassify_jobs() -> dict[str, tuple[Job, str | None]]:
     return jobs
 
 
-JOBS = _jobs()
+@functools.lru_cache(maxsize=8)
+def _chain(spark: SparkSession, sf_dir: str) -> str:
+    """Root of two published versions: the fixture tables, and what the browser
+    re-attribution makes of them, of which only the days that change are written."""
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/chain-{uuid.uuid4().hex}"
+    write_version(_tables(spark, sf_dir).as_dict(), root, "v0")
+    reclassify_job.publish(reclassify_job.browser_reclassify(read_tables(spark, root), AS_OF), root, "v1", root)
+    return root
+
+
+def _published(table: str) -> Job:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return read_tables(spark, _chain(spark, sf_dir)).as_dict()[table]
+    return run
+
+
+def _kept_sums(spark: SparkSession, sf_dir: str) -> tuple[Tables, DataFrame]:
+    """The second version's tables and its day sums: those of the first version,
+    with the days summed again whose detail files changed."""
+    root = _chain(spark, sf_dir)
+    store = day_sums.DaySums(spark, f"{root}/sums", MONTHLY)
+    store.refresh(read_tables(spark, f"{root}/v0"))
+    tables = read_tables(spark, f"{root}/v1")
+    return tables, store.refresh(tables)
+
+
+def _kept_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables, sums = _kept_sums(spark, sf_dir)
+    return user_report(tables, MONTHLY, sums)
+
+
+def _kept_month_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables, sums = _kept_sums(spark, sf_dir)
+    return reports.month_totals(day_sums.user_day_totals(sums, tables.base), tables.users)
+
+
+def _version_jobs() -> dict[str, tuple[Job, str | None]]:
+    """Jobs over the version chain: tables read back from it, and reports from kept day sums."""
+    jobs: dict[str, tuple[Job, str | None]] = {
+        f"published_{table}": (_published(table), oracle.reclassify_step(step, AS_OF))
+        for table, step in (("productivity_base", "a4"), ("user_activity", "a7"), ("user_productivity_daily_detail", "a8"))
+    }
+    jobs["kept_user_month_report"] = (_kept_report, oracle.after_reclassify(oracle.user_report(MONTHLY), AS_OF))
+    jobs["kept_user_month_totals"] = (_kept_month_totals, oracle.after_reclassify(oracle.user_month_totals(), AS_OF))
+    return jobs
+
+
+def _binary_jobs() -> dict[str, tuple[Job, str | None]]:
+    """Name comparison byte by byte: the lock screen pattern and the title ends then miss other spellings."""
+    p = dataclasses.replace(MONTHLY, names=BINARY)
+    with oracle.exact_names():
+        return {
+            "user_day_totals_binary": (
+                _job(lambda t: rollup.user_day_totals(t.detail, t.base, BINARY)), oracle.user_day_totals()),
+            "resource_hour_usage_binary": (
+                _job(lambda t: reports.resource_hour_usage(t.detail, t.base, t.users, USAGE_AFTER, DOMAIN_PREFIX, names=BINARY)),
+                oracle.resource_hour_usage(USAGE_AFTER, DOMAIN_PREFIX)),
+            "user_month_report_binary": (_job(lambda t: user_report(t, p)), oracle.user_report(p)),
+            "new_resource_candidates_binary": (
+                _job(lambda t: reclassify_job.BrowserReclassify(t, AS_OF, names=BINARY).candidates),
+                oracle.reclassify_step("a3", AS_OF)),
+        }
+
+
+JOBS = _jobs() | _version_jobs() | _binary_jobs()
 
 
 def queries() -> dict[str, Job]:
