@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
-from worklens.plans.distributed import hot_keys, hot_keys_of_counts, join_spreading_key
+from worklens.plans.distributed import NO_HOT_KEYS, hot_keys, hot_of_sketch, join_spreading_key, key_sketch
 
 
 @pytest.fixture()
@@ -16,9 +17,10 @@ def sixteen(spark):
     spark.conf.set("spark.sql.shuffle.partitions", old)
 
 
-def salts(hot, keys):
-    hashes = hot.sparkSession.createDataFrame([(k,) for k in keys], "k bigint").select("k", F.xxhash64("k").alias("_key_hash"))
-    return {r["k"]: r["_salts"] for r in hashes.join(hot, "_key_hash").collect()}
+def salts(spark, hot, keys):
+    """Salts of the keys that get more than one."""
+    hashed = spark.createDataFrame([(k,) for k in keys], "k bigint").withColumn("_key_hash", F.xxhash64("k"))
+    return {r["k"]: r["s"] for r in hashed.withColumn("s", hot.salts("_key_hash")).where("s > 1").collect()}
 
 
 def skewed(spark, n=20_000):
@@ -29,19 +31,19 @@ def skewed(spark, n=20_000):
 
 
 def test_a_key_gets_salts_by_its_share(spark, sixteen):
-    found = salts(hot_keys(skewed(spark), "k"), range(2000))
-    assert found.keys() == {0} and sixteen * 0.85 <= found[0] <= sixteen
-    # Two keys of a quarter each get a quarter of the salts each.
+    # nine tenths of the rows are 14.4 of 16 shares, rounded up to a power of two
+    assert salts(spark, hot_keys(skewed(spark), "k"), range(2000)) == {0: 16}
+    # Four keys of a quarter each get a quarter of the salts each.
     even = spark.range(4000).select((F.col("id") % 4).alias("k"))
-    assert salts(hot_keys(even, "k"), range(4)) == {0: 4, 1: 4, 2: 4, 3: 4}
-    assert hot_keys(spark.range(4000).select(F.col("id").alias("k")), "k").count() == 0
-    assert hot_keys(spark.range(0).select(F.col("id").alias("k")), "k").count() == 0
+    assert salts(spark, hot_keys(even, "k"), range(9)) == {0: 4, 1: 4, 2: 4, 3: 4}
+    assert hot_keys(spark.range(4000).select(F.col("id").alias("k")), "k") == NO_HOT_KEYS
+    assert hot_keys(spark.range(0).select(F.col("id").alias("k")), "k") == NO_HOT_KEYS
 
 
-def test_counted_rows_give_the_same_table(spark, sixteen):
-    rows = skewed(spark)
-    counts = rows.groupBy("k", (F.col("id") % 3).alias("third")).agg(F.count(F.lit(1)).alias("n"))
-    assert salts(hot_keys_of_counts(counts, "k", "n"), range(2000)) == salts(hot_keys(rows, "k"), range(2000))
+def test_keys_observed_in_another_pass(spark, sixteen):
+    rows, seen = skewed(spark).where("k is not null"), Observation()
+    assert rows.observe(seen, *key_sketch(rows, ["k"])).count() == 16_000
+    assert hot_of_sketch(seen.get) == hot_keys(skewed(spark), "k")
 
 
 def test_many_partitions_and_many_keys(spark):
@@ -49,8 +51,12 @@ def test_many_partitions_and_many_keys(spark):
     spark.conf.set("spark.sql.shuffle.partitions", "3000")
     try:
         rows = spark.range(200_000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).cast("bigint").alias("k"))
-        found = hot_keys(rows, "k").collect()
-        assert len(found) <= 4500 and max(r["_salts"] for r in found) == pytest.approx(1000, rel=0.01)
+        found = hot_keys(rows, "k")
+        assert salts(spark, found, [7, 8, 10]) == {7: 1024}
+        assert sum(len(hashes) for _, hashes in found.by_salts) <= 4500
+        every = spark.range(300_000).select((F.col("id") % 1500).alias("k"))  # all keys hold two shares
+        found = hot_keys(every, "k")
+        assert salts(spark, found, range(1500)) == dict.fromkeys(range(1500), 2)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
 

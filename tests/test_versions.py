@@ -231,7 +231,8 @@ def test_kept_sums_read_only_the_days_that_changed(spark, monkeypatch):
                 if "FileScan" in x and "/user_productivity_daily_detail" in x]
     assert equal(report, user_report(second, p)) and not equal(report, user_report(first, p))
 
-    # The first version's sums are still right: its files are on record again after a refresh.
+    # The first version's sums are still there.
+    assert store.stale_days(first) == []
     assert equal(user_report(first, p, store.refresh(first)), user_report(first, p))
     # A day that loses all rows, and a run that only reads.
     job.publish(job.browser_reclassify(second, NOW), root, "v2", root)

@@ -25,7 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from worklens.functions import BROWSER_RESOURCE_NAMES, NOCASE, Names, is_blank, key_in, name_key, ntz, site_name
-from worklens.plans.distributed import global_ordinal, join_spreading_key, left_join_spreading_nulls
+from worklens.plans.distributed import (
+    NO_HOT_KEYS, HotKeys, global_ordinal, join_spreading_key, left_join_spreading_nulls,
+)
 from worklens.sources.tables import day_of
 
 # Fixed value: seconds of browser time a (site, browser) pair needs before the
@@ -67,13 +69,13 @@ def _titled_with_time():
 
 def browser_activity_extract(activity: DataFrame, base: DataFrame, detail: DataFrame,
                              browsers: Sequence[str] = BROWSER_RESOURCE_NAMES,
-                             hot_resources: DataFrame | None = None, names: Names = NOCASE) -> DataFrame:
+                             hot_resources: HotKeys = NO_HOT_KEYS, names: Names = NOCASE) -> DataFrame:
     """Activity with positive time on a browser entry (expired entries
     included) and a non-blank title, with the site name cut from the title.
 
     ``upd_oid`` is the linked roll-up row if it exists, else NULL. Activity is
     filtered by the browser entries first, with hot resources spread
-    (``hot_resources``: the hot keys of activity's resource, if known);
+    (``hot_resources``: the hot keys of activity's resource);
     activity without a link has its NULL key salted for the roll-up lookup.
     Names and ids do not change when duplicates expire, so any version of the
     catalogue since the last insert gives the same rows.
@@ -171,8 +173,13 @@ def register_resources(base: DataFrame, candidates: DataFrame, as_of: _dt.dateti
     return base.unionByName(added)
 
 
+def browser_entries(base: DataFrame, browsers: Sequence[str] = BROWSER_RESOURCE_NAMES, names: Names = NOCASE) -> DataFrame:
+    """The catalogue rows of the browsers: all of the catalogue that the snapshot and the moves look at."""
+    return base.where(key_in(F.col("resource_name"), browsers, names))
+
+
 def _with_moves(activity: DataFrame, snapshot_base: DataFrame, base: DataFrame, browsers: Sequence[str],
-                hot_resources: DataFrame | None, hot_sites: DataFrame | None, names: Names) -> DataFrame:
+                hot_resources: HotKeys, hot_sites: HotKeys, names: Names) -> DataFrame:
     """``activity`` with ``_target``, the entry a row belongs to by its site, and
     whether it has to move there (``_moved``), in one pass over the rows.
 
@@ -206,8 +213,8 @@ def _moved_and_unlinked(rows: DataFrame) -> DataFrame:
 
 
 def reassign_activity(activity: DataFrame, snapshot_base: DataFrame, base: DataFrame,
-                      browsers: Sequence[str] = BROWSER_RESOURCE_NAMES, hot_resources: DataFrame | None = None,
-                      hot_sites: DataFrame | None = None, names: Names = NOCASE) -> DataFrame:
+                      browsers: Sequence[str] = BROWSER_RESOURCE_NAMES, hot_resources: HotKeys = NO_HOT_KEYS,
+                      hot_sites: HotKeys = NO_HOT_KEYS, names: Names = NOCASE) -> DataFrame:
     """Activity of the browser snapshot whose site name has an active
     browser-related catalogue entry is moved to the lowest such id and
     unlinked from its roll-up row, unless it already points there.
@@ -216,16 +223,15 @@ def reassign_activity(activity: DataFrame, snapshot_base: DataFrame, base: DataF
     the catalogue with the new entries. Belonging to the snapshot is a per-row
     test (a lookup of the browser entries, positive time, a non-blank title),
     so activity is not joined back to the snapshot by id. One pass over the
-    rows, with hot resources and hot sites spread (``hot_*``: their hot keys,
-    if known).
+    rows, with hot resources and hot sites spread (``hot_*``: their hot keys).
     """
     rows = _with_moves(activity, snapshot_base, base, browsers, hot_resources, hot_sites, names)
     return _moved_and_unlinked(rows).select(*activity.columns)
 
 
 def next_activity(activity: DataFrame, snapshot_base: DataFrame, base: DataFrame, affected: DataFrame,
-                  browsers: Sequence[str] = BROWSER_RESOURCE_NAMES, hot_resources: DataFrame | None = None,
-                  hot_sites: DataFrame | None = None, changes_only: bool = False, names: Names = NOCASE) -> DataFrame:
+                  browsers: Sequence[str] = BROWSER_RESOURCE_NAMES, hot_resources: HotKeys = NO_HOT_KEYS,
+                  hot_sites: HotKeys = NO_HOT_KEYS, changes_only: bool = False, names: Names = NOCASE) -> DataFrame:
     """:func:`reassign_activity` and then :func:`detach_activity`, in one pass over the rows;
     ``changes_only`` keeps the rows that either of them changes."""
     moves = _with_moves(activity, snapshot_base, base, browsers, hot_resources, hot_sites, names)

@@ -61,19 +61,23 @@ def day_files(spark: SparkSession, tables: Tables) -> dict[str | None, tuple[str
 
 @dataclasses.dataclass(frozen=True)
 class Record:
-    """Of each summed day the detail files it was summed from and the folder and partitions that hold its sums (None: no rows)."""
+    """What has been summed: of a day and the detail files it was summed from, the
+    folder and partitions that hold the sums (None: no rows)."""
 
     sequence: int
-    days: dict[str | None, tuple[tuple[str, ...], tuple[str, tuple[str, ...]] | None]]
+    sums: dict[tuple[str | None, tuple[str, ...]], tuple[str, tuple[str, ...]] | None]
 
-    def parts(self, days) -> tuple[Part, ...]:
+    def parts(self, days: dict[str | None, tuple[str, ...]]) -> tuple[Part, ...]:
         """The folders of some days' sums, one part a folder."""
         folders: dict[str, list[str]] = {}
-        for day in days:
-            if (kept := self.days[day][1]) is not None:
+        for day in days.items():
+            if (kept := self.sums[day]) is not None:
                 folders.setdefault(kept[0], []).extend(kept[1])
         return tuple(Part(folder, tuple(sorted(names)), True) for folder, names in sorted(folders.items()))
 
+    def missing(self, days: dict[str | None, tuple[str, ...]]) -> list[str | None]:
+        return sorted((day for day, files in days.items() if (day, files) not in self.sums), key=lambda d: d or "")
+
 
 class DaySums:
     """The store under ``root`` for one set of report parameters."""
@@ -88,31 +92,28 @@ class DaySums:
             return Record(-1, {})
         said = json.loads(versions.read_text(self.spark, f"{self.root}/_log/{records[-1]}"))
         return Record(int(records[-1].split(".")[0]), {
-            day: (tuple(files), kept and (kept[0], tuple(kept[1]))) for day, files, kept in said})
+            (day, tuple(files)): kept and (kept[0], tuple(kept[1])) for day, files, kept in said})
 
-    def _publish(self, before: Record, days: dict) -> Record:
+    def _publish(self, record: Record) -> None:
         fs, where = versions.hadoop_path(self.spark, f"{self.root}/_log")
         fs.mkdirs(where)
-        record = Record(before.sequence + 1, days)
         versions.create_once(self.spark, f"{self.root}/_log/{record.sequence:020d}.json",
-                             json.dumps([[day, files, kept] for day, (files, kept) in days.items()]))
-        return record
+                             json.dumps([[day, files, kept] for (day, files), kept in record.sums.items()]))
 
     def stale_days(self, tables: Tables) -> list[str | None]:
-        """The days of the version whose sums are missing or were made from other files."""
-        files, have = day_files(self.spark, tables), self._latest().days
-        return sorted((d for d in files if d not in have or have[d][0] != files[d]), key=lambda d: d or "")
+        """The days of the version whose files have not been summed."""
+        return self._latest().missing(day_files(self.spark, tables))
 
     def refresh(self, tables: Tables) -> DataFrame:
         """Sum the stale days of the version and give the sums of all its days.
 
         Only the stale days' partitions of the detail are read, and only their
-        sums are written.
+        sums are written. Sums of other versions' files stay on record.
         """
         files = day_files(self.spark, tables)
         while True:
             before = self._latest()
-            stale = [d for d in files if d not in before.days or before.days[d][0] != files[d]]
+            stale = before.missing(files)
             if not stale:
                 return self._read(before, files)
             folder = f"{self.root}/run-{uuid.uuid4().hex}"
@@ -121,12 +122,13 @@ class DaySums:
             written: dict[str | None, list[str]] = {}
             for name in versions.partitions(self.spark, folder):
                 written.setdefault(versions.day_of(name), []).append(name)
-            summed = {d: (files[d], (folder, tuple(written[d])) if d in written else None) for d in stale}
+            summed = {(d, files[d]): (folder, tuple(written[d])) if d in written else None for d in stale}
+            record = Record(before.sequence + 1, {**before.sums, **summed})
             try:
-                # Days of other versions stay on record; their files are still there.
-                return self._read(self._publish(before, {**before.days, **summed}), files)
+                self._publish(record)
             except FileExistsError:
                 continue  # another run published first; look again at what is missing
+            return self._read(record, files)
 
     def _read(self, record: Record, days) -> DataFrame:
         schema = rollup.day_resource_measures(self._empty_detail(), measures(self.params)).schema

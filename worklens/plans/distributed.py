@@ -9,9 +9,11 @@
 
 from __future__ import annotations
 
+import dataclasses
 import uuid
+from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -42,70 +44,97 @@ def _key_hash(rows: DataFrame, key: list[str]) -> Column:
     return F.xxhash64(*[canonical(k) for k in key])
 
 
-def hot_keys(rows: DataFrame, key: str | list[str]) -> DataFrame:
-    """(_key_hash, _salts) of the keys that hold more than one share of ``rows``, a
-    share being the rows of a shuffle partition if all had as many.
+@dataclasses.dataclass(frozen=True)
+class HotKeys:
+    """Hashes of the keys that hold more than a share of some rows, by the salts they get (powers of two).
 
-    Found by a mergeable heavy-hitter sketch of the keys' hashes: each task
-    sketches its rows and passes on one row. A key gets as many salts as its
-    rows fill shares, rounded up; keys with less than a share are not listed
-    (but for those near it, within the sketch's error of a sixth of a share).
-    With P shuffle partitions the table has under 1.5 P rows and its salts add
-    up to under 3 P. Two keys of one hash share their salts. NULL keys do not
-    count. The table is lazy: it is one pass over the key columns of ``rows``
-    in the job that uses it.
+    The driver holds them: with P shuffle partitions under 1.5 P numbers.
     """
-    key = [key] if isinstance(key, str) else key
-    # Fixed value: the most items the sketch can track.
-    shares = min(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1_000_000 // TRACKED_PER_SHARE)
-    present = rows.where(" AND ".join(f"`{k}` IS NOT NULL" for k in key)).select(_key_hash(rows, key).alias("_key_hash"))
-    top = present.agg(
-        F.expr(f"approx_top_k(_key_hash, {min(2 * shares, 100_000)}, {max(64, TRACKED_PER_SHARE * shares)})").alias("top"),
-        F.count(F.lit(1)).alias("n"))
-    return (
-        top.select("n", F.inline("top").alias("_key_hash", "_rows"))
-        .where(F.col("_rows") * shares > F.col("n"))
-        .select("_key_hash", F.ceil(F.col("_rows") * shares / F.col("n")).cast("bigint").alias("_salts"))
-    )
+
+    by_salts: tuple[tuple[int, tuple[int, ...]], ...] = ()
+
+    @staticmethod
+    def of(counts: Iterable[tuple[int, int]], n: int, shares: int) -> HotKeys:
+        """From (key hash, rows) of the largest keys of ``n`` rows."""
+        groups: dict[int, list[int]] = {}
+        for key_hash, rows in counts:
+            if rows * shares > n:
+                # as many salts as the rows fill shares, rounded up
+                groups.setdefault(1 << (-(-rows * shares // n) - 1).bit_length(), []).append(key_hash)
+        return HotKeys(tuple((salts, tuple(sorted(hashes))) for salts, hashes in sorted(groups.items()) if salts > 1))
+
+    def salts(self, key_hash: str) -> Column:
+        """Salts of the key with that hash, as an expression over a column."""
+        cases = "".join(f" WHEN {key_hash} IN ({', '.join(f'{h}L' for h in hashes)}) THEN {salts}L"
+                        for salts, hashes in self.by_salts)
+        return F.expr(f"CASE{cases} ELSE 1L END") if cases else F.lit(1).cast("bigint")
 
 
-def hot_keys_of_counts(counts: DataFrame, key: str, rows: str) -> DataFrame:
-    """:func:`hot_keys` of rows that are already counted: ``counts`` has one or more rows a key, ``rows`` its count."""
-    shares = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    per_key = counts.where(F.col(key).isNotNull()).groupBy(_key_hash(counts, [key]).alias("_key_hash")).agg(
-        F.sum(rows).alias("_rows"))
-    n = per_key.select(F.sum("_rows")).scalar()
-    return per_key.where(F.col("_rows") * shares > n).select(
-        "_key_hash", F.ceil(F.col("_rows") * shares / n).cast("bigint").alias("_salts"))
+#: No key is known to be hot: adaptive execution alone splits large partitions.
+NO_HOT_KEYS = HotKeys()
+
+
+def _shares(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def key_sketch(rows: DataFrame, key: list[str]) -> list[Column]:
+    """Aggregates over non-NULL keys from which :func:`hot_of_sketch` reads the hot ones.
+
+    A mergeable heavy-hitter sketch of the keys' hashes: each task passes on
+    one row. They can be observed (``DataFrame.observe``) in a pass that runs anyway.
+    """
+    # The sketch tracks a million items and lists 100,000 of them at most.
+    shares = min(_shares(rows.sparkSession), 50_000)
+    top = F.call_function("approx_top_k", _key_hash(rows, key), F.lit(2 * shares), F.lit(max(64, TRACKED_PER_SHARE * shares)))
+    return [top.alias("top"), F.count(F.lit(1)).alias("n"), F.lit(shares).alias("shares")]
+
+
+def hot_of_sketch(found: dict) -> HotKeys:
+    """The keys that hold more than one share of the sketched rows, a share being
+    the rows of a shuffle partition if all had as many.
+
+    Keys near a share may be listed as well, within the sketch's error of a
+    sixth of a share. Two keys of one hash share their salts.
+    """
+    return HotKeys.of([(r["item"], r["count"]) for r in found["top"] or ()], found["n"], found["shares"])
+
+
+def hot_keys(rows: DataFrame, key: str | list[str]) -> HotKeys:
+    """:func:`hot_of_sketch` of ``rows``, in one job over their key columns; NULL keys do not count."""
+    key = [key] if isinstance(key, str) else key
+    present = rows.where(" AND ".join(f"`{k}` IS NOT NULL" for k in key)).select(*key)
+    return hot_of_sketch(present.agg(*key_sketch(present, key)).first().asDict())
 
 
 def join_spreading_key(left: DataFrame, right: DataFrame, key: str | list[str], spread_by: list[str],
-                       how: str = "left", hot: DataFrame | None = None) -> DataFrame:
+                       how: str = "left", hot: HotKeys | None = None) -> DataFrame:
     """``left.join(right, key, how)`` for a left key with hot values or NULLs.
 
-    Rows of a hot left key (:func:`hot_keys` of ``left``, unless ``hot`` is
-    given) are dealt over its salts by a hash of ``spread_by`` (deterministic,
-    so a retried task salts identically), and the right rows of that key are
-    repeated for each salt; all other right rows stay single. A NULL key can
-    match nothing, so its salt is the full 64-bit hash and its rows spread over
-    all partitions. ``right`` must carry ``key`` and no other column of
-    ``left``. What is broadcast by hint is the table of hot keys, whose size
-    the partition count bounds; of the two sides Spark's byte threshold decides.
+    Rows of a hot left key (``hot``; without it :func:`hot_keys` of ``left``
+    runs first) are dealt over its salts by a hash of ``spread_by``
+    (deterministic, so a retried task salts identically), and the right rows of
+    that key are repeated for each salt; all other right rows stay single. A
+    NULL key can match nothing, so its salt is the full 64-bit hash and its rows
+    spread over all partitions. ``right`` must carry ``key`` and no other column
+    of ``left``. The salts are expressions, so Spark's size estimates stay those
+    of the two sides, and its byte threshold decides what is broadcast.
     """
     key = [key] if isinstance(key, str) else key
-    hot = F.broadcast(hot_keys(left, key) if hot is None else hot)
+    hot = hot_keys(left, key) if hot is None else hot
     spread = F.xxhash64(*spread_by)
-    salts = F.coalesce(F.col("_salts"), F.lit(1).cast("bigint"))
     absent = F.expr(" OR ".join(f"`{k}` IS NULL" for k in key))
-
-    def with_salts(side: DataFrame) -> DataFrame:
-        return side.withColumn("_key_hash", _key_hash(side, key)).join(hot, "_key_hash", "left")
-
-    dealt = with_salts(left).withColumn("_salt", F.when(absent, spread).otherwise(F.pmod(spread, salts)))
-    repeated = with_salts(right).withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), salts - 1)))
-    return (
-        dealt.drop("_key_hash", "_salts").join(repeated.drop("_key_hash", "_salts"), [*key, "_salt"], how).drop("_salt")
-    )
+    if hot == NO_HOT_KEYS:
+        zero = F.lit(0).cast("bigint")
+        dealt = left.withColumn("_salt", F.when(absent, spread).otherwise(zero))
+        repeated = right.withColumn("_salt", zero)
+    else:
+        salts = hot.salts("_key_hash")
+        dealt = left.withColumn("_key_hash", _key_hash(left, key)).withColumn(
+            "_salt", F.when(absent, spread).otherwise(F.pmod(spread, salts))).drop("_key_hash")
+        repeated = right.withColumn("_key_hash", _key_hash(right, key)).withColumn(
+            "_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), salts - 1))).drop("_key_hash")
+    return dealt.join(repeated, [*key, "_salt"], how).drop("_salt")
 
 
 def left_join_spreading_nulls(left: DataFrame, right: DataFrame, key: str, spread_by: list[str]) -> DataFrame:

@@ -15,12 +15,12 @@ import datetime as _dt
 import functools
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from worklens.functions import BROWSER_RESOURCE_NAMES, NOCASE, Names, name_key, ntz
 from worklens.operators import reclassify as step
-from worklens.plans.distributed import hot_keys, hot_keys_of_counts, materialize
+from worklens.plans.distributed import NO_HOT_KEYS, HotKeys, hot_keys, hot_of_sketch, key_sketch, materialize
 from worklens.sources import versions
 from worklens.sources.tables import Tables, table_locations, write_version
 
@@ -30,10 +30,12 @@ CATALOGUE, ACTIVITY, DETAIL = CHANGED = ("productivity_base", "user_activity", "
 class BrowserReclassify:
     """The steps over one version of the tables, each built when it is asked for.
 
-    With ``keep`` the snapshot's links, the hot keys and the catalogue's
-    changes are written to shared storage when a step needs them, so that they
-    are computed once although three next tables read them; without, every
-    step is one lazy plan (apart from the id numbering of ``catalogue``).
+    With ``keep`` what several steps read is made once when a step needs it:
+    the browser entries of the catalogue (whose true size Spark then knows
+    before it plans) and the snapshot's links are written to shared storage,
+    and the hot resources and sites are sketched, so that their rows are spread.
+    Without, every step is one lazy plan (apart from the id numbering of
+    ``catalogue``), in which adaptive execution alone splits hot keys.
     """
 
     def __init__(self, tables: Tables, as_of: _dt.datetime, browsers: Sequence[str] = BROWSER_RESOURCE_NAMES,
@@ -49,28 +51,34 @@ class BrowserReclassify:
         return step.expire_duplicate_resources(self.before.base, self.as_of, self.names)
 
     @functools.cached_property
-    def _hot_resources(self) -> DataFrame:
-        return self._kept(hot_keys(self.before.activity, "productivity_base"), "hot-resources")
+    def _entries(self) -> DataFrame:
+        """What the snapshot needs of the catalogue it is taken against."""
+        return self._kept(step.browser_entries(self.before.base, self.browsers, self.names), "browser-entries")
+
+    @functools.cached_property
+    def _hot_resources(self) -> HotKeys:
+        return hot_keys(self.before.activity, "productivity_base") if self.keep else NO_HOT_KEYS
 
     @functools.cached_property
     def snapshot(self) -> DataFrame:
-        return step.browser_activity_extract(self.before.activity, self.before.base, self.before.detail, self.browsers,
+        return step.browser_activity_extract(self.before.activity, self._entries, self.before.detail, self.browsers,
                                              self._hot_resources, self.names)
 
     @functools.cached_property
-    def _links(self) -> DataFrame:
-        return materialize(step.site_links(self.snapshot), "site-links")
+    def _links_and_hot_sites(self) -> tuple[DataFrame, HotKeys]:
+        """What later steps need of the snapshot, and its hot sites, in one pass over it."""
+        sited = self.snapshot.withColumn("_site", name_key(F.col("new_resource_name"), self.names))
+        seen = Observation()
+        links = materialize(step.site_links(sited.observe(seen, *key_sketch(sited, ["_site"]))), "site-links")
+        return links, hot_of_sketch(seen.get)
 
     @functools.cached_property
     def _site_times(self) -> DataFrame:
-        return step.site_times_of(self._links) if self.keep else step.site_times(self.snapshot)
+        return step.site_times_of(self._links_and_hot_sites[0]) if self.keep else step.site_times(self.snapshot)
 
-    @functools.cached_property
-    def _hot_sites(self) -> DataFrame | None:
-        if not self.keep:
-            return None
-        times = self._site_times.withColumn("_site", name_key(F.col("new_resource_name"), self.names))
-        return self._kept(hot_keys_of_counts(times, "_site", "rows"), "hot-sites")
+    @property
+    def _hot_sites(self) -> HotKeys:
+        return self._links_and_hot_sites[1] if self.keep else NO_HOT_KEYS
 
     @functools.cached_property
     def candidates(self) -> DataFrame:
@@ -78,20 +86,20 @@ class BrowserReclassify:
 
     @functools.cached_property
     def catalogue(self) -> DataFrame:
-        return self._kept(step.register_resources(self.expired, self.candidates, self.as_of, self.names), "catalogue")
+        return step.register_resources(self.expired, self.candidates, self.as_of, self.names)
 
     @functools.cached_property
     def reassigned(self) -> DataFrame:
-        return step.reassign_activity(self.before.activity, self.before.base, self.catalogue, self.browsers,
+        return step.reassign_activity(self.before.activity, self._entries, self.catalogue, self.browsers,
                                       self._hot_resources, self._hot_sites, self.names)
 
     @functools.cached_property
     def affected(self) -> DataFrame:
-        return step.affected_details(self._links if self.keep else self.snapshot)
+        return step.affected_details(self._links_and_hot_sites[0] if self.keep else self.snapshot)
 
     def next_activity(self, rows: DataFrame, changes_only: bool = False) -> DataFrame:
         """The next version of some rows of the activity."""
-        return step.next_activity(rows, self.before.base, self.catalogue, self.affected, self.browsers,
+        return step.next_activity(rows, self._entries, self.catalogue, self.affected, self.browsers,
                                   self._hot_resources, self._hot_sites, changes_only, self.names)
 
     @functools.cached_property
