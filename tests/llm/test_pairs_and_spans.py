@@ -72,8 +72,8 @@ def test_substring_dedup_keeps_text_and_spans(odd_documents):
 
 
 def test_decontamination(documents, spark, small):
-    if "u" in documents.columns:
-        own = [t for _, t in pairs(documents) if t]
+    own = [t for _, t in pairs(documents) if t]
+    if "u" in documents.columns and own:
         items = [(1, own[-1][:400]), (1, own[0]), (2, "two words"), (None, own[12]), (3, ""), (4, None), (5, "nowhere"),
                  (6, own[12])]
         benchmark = spark.createDataFrame(items, "item_id long, text string")

@@ -99,8 +99,9 @@ def combinations(docs: DataFrame, labels: DataFrame) -> DataFrame:
     own = own_failures(keyed).withColumn("rows", F.lit(1).cast("long"))
     again = copies(keyed, docs.count()).select(
         "doc_id", "part", "digest", F.lit(BIT["E"]).alias("bits"), F.lit(0).cast("long").alias("rows"))
-    masks = own.unionByName(again).groupBy("doc_id", "part", "digest").agg(
-        F.bit_or("bits").alias("mask"), F.sum("rows").alias("n"))
+    # Written, as a sketch of the ids looks for hot ones before they are joined to the labels.
+    masks = stage(own.unionByName(again).groupBy("doc_id", "part", "digest").agg(
+        F.bit_or("bits").alias("mask"), F.sum("rows").alias("n")), "audit-masks")
     marks = labels.filter("doc_id is not null").groupBy("doc_id").agg(
         F.coalesce(F.max(F.col("quality") == 1), F.lit(False)).alias("_good"),
         F.coalesce(F.max(F.col("toxic") == 1), F.lit(False)).alias("_toxic"))
