@@ -76,3 +76,23 @@ def test_one_of_each_group_of_odd_rows(spark, odd_documents):
     # A component whose smallest doc_id lies in several rows keeps one of them.
     components = {c for _, n, c in groups if n}
     assert sorted(r["doc_id"] for r in got if brute.words(r["text"])) == sorted(components)
+
+
+#: Names that operators use for their own columns.
+CLASHES = ("_text", "_words", "_lines", "_chars", "_n", "_score", "_stats", "_hash", "_range", "_step", "_at", "_first", "_place",
+           "_copies", "_offset", "_total", "_row", "_rows", "_salt", "row_key", "row_number", "shard", "slot", "total_rows", "hit")
+
+
+@pytest.mark.parametrize("name,function", pipeline.STAGES)
+def test_columns_of_any_name(spark, odd_documents, name, function):
+    """Every stage keeps other columns; sharding replaces the three it makes."""
+    plain = function(spark, odd_documents, SMALL_SF)
+    docs = odd_documents.selectExpr("*", *[f"u as `{c}`" for c in CLASHES])
+    out = function(spark, docs, SMALL_SF)
+    made = ("row_number", "shard", "slot") if name == "sharding" else ()
+    kept = [c for c in CLASHES if c not in made]
+    assert sorted(out.columns) == sorted([*odd_documents.columns, *CLASHES])
+    got = out.collect()
+    assert all(r[c] == r["u"] for r in got for c in kept)
+    names = odd_documents.columns
+    assert Counter(tuple(r[n] for n in names) for r in got) == Counter(tuple(r[n] for n in names) for r in plain.collect())

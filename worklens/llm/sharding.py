@@ -9,7 +9,8 @@ reproduced or looked up without any stored table.
 
 The law is ``rows``: shards differ by one row at most. NULL texts count as
 empty, equal rows take different slots, an empty table gives an empty result;
-other columns of the input are kept and may have any name but the new ones.
+other columns of the input are kept whatever their name, but ``row_number``,
+``shard`` and ``slot`` are replaced; their types must be sortable (no maps).
 """
 
 from __future__ import annotations
@@ -60,19 +61,22 @@ def row_at(shard: int, slot: int, n: int, shards: int = SHARDS, seed: int = SEED
     return int(permute(np.array([slot * shards + shard]), n, seed, back=True)[0])
 
 
+PLACED = ("row_number", "shard", "slot")
+
+
 def assign_shards(df: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """``df`` with row_number, shard and slot."""
+    """``df`` with row_number, shard and slot (columns of these names are replaced)."""
 
     @F.pandas_udf("long")
     def place(row: pd.Series, total: pd.Series) -> pd.Series:
         return pd.Series(permute(row.to_numpy(), int(total.iloc[0]), seed)) if len(row) else row
 
+    kept = [F.col(f"_row.`{c}`") for c in df.columns if c not in PLACED]
     return (
         number_rows(df, "row_number", "_total")
         .withColumn("_place", place("row_number", "_total"))
-        .withColumn("shard", F.pmod("_place", F.lit(shards)).cast("int"))
-        .withColumn("slot", F.floor(F.col("_place") / F.lit(shards)).cast("long"))
-        .drop("_place", "_total")
+        .select(*kept, "row_number", F.pmod("_place", F.lit(shards)).cast("int").alias("shard"),
+                F.floor(F.col("_place") / F.lit(shards)).cast("long").alias("slot"))
     )
 
 
