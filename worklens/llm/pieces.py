@@ -17,8 +17,8 @@ cannot give wrong ids silently.
 
 ``encode_texts`` maps Arrow batches without any shuffle. The vocabulary file
 travels to the tasks as bytes, at most ``MAX_MODEL_BYTES``; a worker remembers
-at most ``REMEMBERED`` segments of at most ``REMEMBERED_LENGTH`` characters and
-starts anew beyond that. It holds ``SLICE`` rows of a batch as Python strings
+twice ``REMEMBERED`` segments of at most ``REMEMBERED_LENGTH`` characters and
+forgets those not met for longest. It holds ``SLICE`` rows of a batch as Python strings
 at a time.
 
 Whole texts of any length are encoded. NULL and empty texts have no ids but
@@ -217,17 +217,26 @@ SEGMENT = re.compile(f"{MARK}+[^{MARK}]*")
 
 
 class Memory(dict):
-    """Segment -> its ids as little-endian unsigned 32-bit integers, kept between a worker's batches."""
+    """Segment -> its ids as little-endian unsigned 32-bit integers, kept between a worker's batches.
+
+    What was used since the last ``REMEMBERED`` segments came in is here; the
+    generation before is kept besides, and what is met again returns from it.
+    """
 
     def __init__(self, vocabulary: Vocabulary, check: bool):
         super().__init__()
         self.vocabulary, self.check = vocabulary, check
+        self.before: dict[str, bytes] = {}
 
     def learn(self, segments: set[str]) -> dict[str, bytes]:
         """Ids of all the segments; those not remembered go through the agenda and are checked together."""
         if len(self) > REMEMBERED:
+            self.before = dict(self)
             self.clear()
-        new = list(segments.difference(self))
+        unknown = segments.difference(self)
+        again = unknown & self.before.keys()
+        self.update((s, self.before[s]) for s in again)
+        new = list(unknown - again)
         ids = [self.vocabulary.segment_ids(s) for s in new]
         if self.check and new and self.vocabulary.cut:
             self.vocabulary.check_segments(new, ids)
