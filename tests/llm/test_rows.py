@@ -148,6 +148,62 @@ def test_mixing(documents):
     assert rows(mixing.mixing_report(documents)) == rows(mixing.mixing_report(documents.repartition(5)))
 
 
+def selection(docs, target):
+    """[(size, u)] of a source -> copies of each, by Pareto order sampling in plain Python."""
+    low, high = 0.0, 4.0
+    for _ in range(300):
+        level = (low + high) / 2
+        low, high = (level, high) if sum(s * min(2, level * s**0.5) for s, _ in docs) < target else (low, level)
+    expected = [min(2.0, high * s**0.5) for s, _ in docs]
+    # sizes at the bound are full whatever the last digits of the level say
+    expected = [2.0 if e > 2 - 1e-9 else e for e in expected]
+    copies = [int(e) for e in expected]
+    rest = target - sum(c * s for c, (s, _) in zip(copies, docs))
+    ranked = defaultdict(list)
+    for i, (e, (s, u)) in enumerate(zip(expected, docs)):
+        if (f := e - int(e)) > 1e-12:
+            ranked[round(u / (1 - u) * (1 - f) / f, 9)].append(i)
+    words = 0
+    for _, group in sorted(ranked.items()):
+        more = sum(docs[i][0] for i in group)
+        if words >= rest or words + more - rest > rest - words:
+            break
+        words += more
+        for i in group:
+            copies[i] += 1
+    return copies
+
+
+def test_mixing_takes_what_pareto_sampling_takes(spark):
+    docs = spark.read.parquet(f"{MIDDLE_SF}/documents.parquet")
+    sized = mixing.sized_documents(docs).select("doc_id", "key", "size", "u").cache()
+    got = {r["doc_id"]: (r["key"], r["size"], r["u"], r["copies"], r["target"])
+           for r in mixing.apply_plan(sized, mixing.mixing_plan(sized.select("key", "size", "u"))).collect()}
+    by_source = defaultdict(list)
+    for d, (key, *_) in sorted(got.items()):
+        by_source[key].append(d)
+    beside = 0
+    for own in by_source.values():
+        own = [d for d in own if got[d][1] > 0]
+        assert [got[d][3] for d in own] == selection([got[d][1:3] for d in own], got[own[0]][4])
+        # Odds matter inside a source: what is sampled is not just what has the smallest u.
+        took = [d for d in own if got[d][3] > 0]
+        left = [d for d in own if not got[d][3]]
+        beside += bool(left) and max(got[d][2] for d in took) > min(got[d][2] for d in left)
+    assert beside > len(by_source) / 2
+
+
+def test_larger_documents_are_likelier_and_none_passes_its_bound(spark):
+    sized = spark.range(30_000).select(F.lit("1s").alias("key"), (F.col("id") % 3 * 40 + 10).alias("size"), mixing.uniform("id").alias("u"))
+    sizes = sized.groupBy("key", "size").agg(F.count(F.lit(1)).alias("n"))
+    for target in (300_000.0, 1_100_000.0, 2_999_000.0, 3_000_000.0):
+        targets = spark.createDataFrame([("1s", target)], "key string, target double")
+        level = mixing.source_levels(sizes, targets).first()
+        want = {s: min(2.0, level["level"] * s**0.5) for s in (10, 50, 90)}
+        assert sum(10_000 * s * e for s, e in want.items()) == pytest.approx(target, rel=1e-9)
+        assert level["rest"] == pytest.approx(sum(10_000 * s * (e % 1) for s, e in want.items() if e < 2 - 1e-9), rel=1e-6, abs=1)
+
+
 def test_mixed_documents_keep_their_columns(odd_documents):
     mixed = mixing.mix_documents(odd_documents)
     assert mixed.columns == odd_documents.columns

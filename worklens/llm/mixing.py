@@ -4,20 +4,26 @@ Sources in code-point order (NULL last) weigh 3, 1, 2, 3, 1, 2, ... and share
 150 % of all words by weight. A target stops at twice its source's words; the
 excess is shared among the others by weight until no target is above.
 
-A document of a source with target/size = b + f (b whole) is taken b times for
-certain and once more with inclusion odds f/(1-f): documents are ranked by
-(u/(1-u)) / (f/(1-f)) with u a hash of (doc_id, text), and the first ranks are
-taken whose words add up to the rest of the target, to the nearest document.
-
-The cut of each source is found without sorting a source: words are summed by
-(source, rank bucket), a running sum over the buckets finds the bucket that
-holds the cut, and only that bucket's documents are ordered. Plan rows are one
-per source; the join to the documents is salted, so a source with a third of
-all rows has no task of its own (and Spark broadcasts the plan when its written
-size is below the session's threshold).
-
-NULL texts and texts without words have size 0, targets of empty sources are
-0. Rows that repeat doc_id and text have one rank and are taken together.
+Inside a source a document's expected copies grow with its size:
+``level * size ** SIZE_POWER``, at most ``MOST_COPIES``, with one level a source
+such that the expected words are its target. The whole copies of that number
+are certain. Its fraction f is the inclusion probability of one more copy, which
+Pareto order sampling draws: documents are ranked by (u/(1-u)) / (f/(1-f)) with
+u a hash of (doc_id, text), and the first ranks are taken. The sample's fixed
+size is counted in words, as the target is: ranks are taken until their words
+add up to what the certain copies leave of it, to the nearest document.
+
+The level of a source follows from its numbers of documents per size (one task
+sees a source's distinct sizes, never its documents). The cut of each source is
+found without sorting a source: words are summed by (source, rank bucket), a
+running sum over the buckets finds the bucket that holds the cut, and only that
+bucket's documents are ordered. Plan rows are one per source; the join to the
+documents is salted, so a source with a third of all rows has no task of its own
+(and Spark broadcasts the plan when its written size is below the session's
+threshold).
+
+NULL texts and texts without words have size 0 and are not taken, targets of
+empty sources are 0. Rows that repeat doc_id and text have one rank and are taken together.
 """
 
 from __future__ import annotations
@@ -30,6 +36,8 @@ from worklens.llm.common import stage, table, word_count
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST_COPIES = 2
+#: Inclusion grows with this power of a document's size (0: all documents of a source alike).
+SIZE_POWER = 0.5
 SEED = 77
 #: Rank buckets; one bucket of a source is what a single task orders.
 BUCKETS = 1 << 16
@@ -75,22 +83,50 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     return leveled.select("key", "source_size", target.alias("target"))
 
 
+def expected_copies() -> Column:
+    """Copies that a document is expected to give, from its size and its source's level."""
+    free = F.col("level") * F.pow(F.col("size"), F.lit(SIZE_POWER))
+    # (Full up to the last digits of the level.)
+    return F.when(free < MOST_COPIES * (1 - 1e-9), free).when(free.isNotNull(), F.lit(float(MOST_COPIES)))
+
+
+def with_copies(rows: DataFrame) -> DataFrame:
+    """(size, level, ...) with the certain copies and the inclusion probability of one more."""
+    expected = F.coalesce(expected_copies(), F.lit(0.0))
+    return rows.withColumn("whole", F.floor(expected)).withColumn("fraction", expected - F.floor(expected))
+
+
+def source_levels(sizes: DataFrame, targets: DataFrame) -> DataFrame:
+    """(key, size, n) and targets -> (key, level, rest): the level at which expected words are the target, and the words
+    that certain copies leave of it.
+
+    From the largest size on, sizes that would exceed ``MOST_COPIES`` are full; the first size that is not full when
+    the rest of the target is spread over it and all smaller ones gives the level.
+    """
+    larger = Window.partitionBy("key").orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, -1)
+    others = Window.partitionBy("key").orderBy(F.desc("size")).rowsBetween(0, Window.unboundedFollowing)
+    words, power = F.col("n") * F.col("size"), F.pow(F.col("size"), F.lit(SIZE_POWER))
+    each = sizes.filter("size > 0").join(targets.select("key", "target"), "key")
+    leveled = each.withColumn(
+        "_level", (F.col("target") - MOST_COPIES * F.coalesce(F.sum(words).over(larger), F.lit(0))) / F.sum(words * power).over(others))
+    level = F.max_by(F.col("_level"), F.when(F.col("_level") * power <= MOST_COPIES * (1 + 1e-12), F.col("size")))
+    # No such size: the target is all there is, and even a text of one word is full.
+    levels = leveled.groupBy("key").agg(F.greatest(F.coalesce(level, F.lit(float(MOST_COPIES))), F.lit(0.0)).alias("level"))
+    certain = with_copies(each.join(levels, "key")).groupBy("key", "level").agg(
+        (F.first("target") - F.sum(F.col("whole") * words)).alias("rest"))
+    return certain.select("key", "level", "rest")
+
+
 def mixing_plan(sized: DataFrame) -> DataFrame:
-    """(key, size, u) per document -> one row per source: target, whole copies, fraction and cut rank.
+    """(key, size, u) per document -> one row per source: size, target, level and cut rank.
 
     A document is taken once more if its rank is at or below ``cut`` (NULL: none is).
     """
-    totals = sized.groupBy("key").agg(F.sum("size").alias("source_size"))
-    copies = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    plan = stage(
-        source_targets(totals).withColumn("_copies", copies)
-        .withColumn("whole", F.floor("_copies"))
-        .withColumn("fraction", F.col("_copies") - F.col("whole"))
-        .withColumn("_rest", F.col("target") - F.col("whole") * F.col("source_size"))
-        .drop("_copies"),
-        "mixing-plan",
-    )
-    ranked = with_plan(sized, plan.select("key", "fraction")).filter("fraction > 0").withColumn("rank", rank())
+    sizes = stage(sized.groupBy("key", "size").agg(F.count(F.lit(1)).alias("n")), "mixing-numbers")
+    totals = sizes.groupBy("key").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"))
+    targets = stage(source_targets(totals), "mixing-targets")
+    plan = stage(targets.join(source_levels(sizes, targets), "key", "left").withColumnRenamed("rest", "_rest"), "mixing-plan")
+    ranked = with_copies(with_plan(sized, plan.select("key", "level"))).filter("fraction > 0").withColumn("rank", rank())
     bucket = F.floor(F.col("rank") / (F.col("rank") + 1) * BUCKETS)
     ranked = ranked.withColumn("_bucket", bucket)
     sums = ranked.groupBy("key", "_bucket").agg(F.sum("size").alias("_words"))
@@ -158,10 +194,10 @@ def apply_plan(sized: DataFrame, plan: DataFrame) -> DataFrame:
     """``sized`` with source_size, target, copies (0, 1 or 2) and taken words."""
     more = F.coalesce(F.col("_rank") <= F.col("cut"), F.lit(False))
     return (
-        with_plan(sized, plan).withColumn("_rank", rank())
+        with_copies(with_plan(sized, plan)).withColumn("_rank", rank())
         .withColumn("copies", (F.col("whole") + more.cast("long")).cast("int"))
         .withColumn("taken", F.col("copies") * F.col("size"))
-        .drop("_rank", "whole", "fraction", "cut")
+        .drop("_rank", "whole", "fraction", "level", "cut")
     )
 
 
