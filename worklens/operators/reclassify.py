@@ -178,7 +178,16 @@ def browser_entries(base: DataFrame, browsers: Sequence[str] = BROWSER_RESOURCE_
     return base.where(key_in(F.col("resource_name"), browsers, names))
 
 
-def _with_moves(activity: DataFrame, snapshot_base: DataFrame, base: DataFrame, browsers: Sequence[str],
+def site_targets(base: DataFrame, names: Names = NOCASE) -> DataFrame:
+    """(_site, _target): the lowest active browser-related entry of each site name."""
+    return (
+        base.where(F.col("expired_on").isNull() & (F.col("browser_related") == 1))
+        .groupBy(name_key(F.col("resource_name"), names).alias("_site"))
+        .agg(F.min("id").alias("_target"))
+    )
+
+
+def _with_moves(activity: DataFrame, snapshot_base: DataFrame, targets: DataFrame, browsers: Sequence[str],
                 hot_resources: HotKeys, hot_sites: HotKeys, names: Names) -> DataFrame:
     """``activity`` with ``_target``, the entry a row belongs to by its site, and
     whether it has to move there (``_moved``), in one pass over the rows.
@@ -186,16 +195,11 @@ def _with_moves(activity: DataFrame, snapshot_base: DataFrame, base: DataFrame,
     Rows outside the snapshot have no site; as NULL keys they spread over all
     partitions of the site lookup and match nothing.
     """
-    target = (
-        base.where(F.col("expired_on").isNull() & (F.col("browser_related") == 1))
-        .groupBy(name_key(F.col("resource_name"), names).alias("_site"))
-        .agg(F.min("id").alias("_target"))
-    )
     entries = _browser_entries(snapshot_base, browsers, names).select("productivity_base", F.lit(True).alias("_browser"))
     rows = join_spreading_key(activity, entries, "productivity_base", ["id"], "left", hot_resources)
     sited = rows.withColumn("_site", F.when(
         F.col("_browser") & _titled_with_time(), name_key(site_name(F.col("description"), names=names), names))).drop("_browser")
-    return join_spreading_key(sited, target, "_site", ["id"], "left", hot_sites).withColumn(
+    return join_spreading_key(sited, targets, "_site", ["id"], "left", hot_sites).withColumn(
         "_moved", F.coalesce(F.col("productivity_base") != F.col("_target"), F.lit(False))).drop("_site")
 
 
@@ -225,16 +229,16 @@ def reassign_activity(activity: DataFrame, snapshot_base: DataFrame, base: DataF
     so activity is not joined back to the snapshot by id. One pass over the
     rows, with hot resources and hot sites spread (``hot_*``: their hot keys).
     """
-    rows = _with_moves(activity, snapshot_base, base, browsers, hot_resources, hot_sites, names)
+    rows = _with_moves(activity, snapshot_base, site_targets(base, names), browsers, hot_resources, hot_sites, names)
     return _moved_and_unlinked(rows).select(*activity.columns)
 
 
-def next_activity(activity: DataFrame, snapshot_base: DataFrame, base: DataFrame, affected: DataFrame,
+def next_activity(activity: DataFrame, snapshot_base: DataFrame, targets: DataFrame, affected: DataFrame,
                   browsers: Sequence[str] = BROWSER_RESOURCE_NAMES, hot_resources: HotKeys = NO_HOT_KEYS,
                   hot_sites: HotKeys = NO_HOT_KEYS, changes_only: bool = False, names: Names = NOCASE) -> DataFrame:
-    """:func:`reassign_activity` and then :func:`detach_activity`, in one pass over the rows;
-    ``changes_only`` keeps the rows that either of them changes."""
-    moves = _with_moves(activity, snapshot_base, base, browsers, hot_resources, hot_sites, names)
+    """:func:`reassign_activity` (to :func:`site_targets`) and then :func:`detach_activity`, in one
+    pass over the rows; ``changes_only`` keeps the rows that either of them changes."""
+    moves = _with_moves(activity, snapshot_base, targets, browsers, hot_resources, hot_sites, names)
     rows = _with_hits(_moved_and_unlinked(moves), affected)
     if changes_only:
         rows = rows.where(F.col("_moved") | F.col("_hit"))

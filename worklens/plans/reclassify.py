@@ -31,9 +31,9 @@ class BrowserReclassify:
     """The steps over one version of the tables, each built when it is asked for.
 
     With ``keep`` what several steps read is made once when a step needs it:
-    the browser entries of the catalogue (whose true size Spark then knows
-    before it plans) and the snapshot's links are written to shared storage,
-    and the hot resources and sites are sketched, so that their rows are spread.
+    the browser entries of the catalogue and the entry of each site (whose true
+    sizes Spark then knows before it plans the joins to the activity) and the
+    snapshot's links are written to shared storage, and the hot resources and sites are sketched, so that their rows are spread.
     Without, every step is one lazy plan (apart from the id numbering of
     ``catalogue``), in which adaptive execution alone splits hot keys.
     """
@@ -88,6 +88,10 @@ class BrowserReclassify:
     def catalogue(self) -> DataFrame:
         return step.register_resources(self.expired, self.candidates, self.as_of, self.names)
 
+    @functools.cached_property
+    def _targets(self) -> DataFrame:
+        return self._kept(step.site_targets(self.catalogue, self.names), "site-targets")
+
     @functools.cached_property
     def reassigned(self) -> DataFrame:
         return step.reassign_activity(self.before.activity, self._entries, self.catalogue, self.browsers,
@@ -99,7 +103,7 @@ class BrowserReclassify:
 
     def next_activity(self, rows: DataFrame, changes_only: bool = False) -> DataFrame:
         """The next version of some rows of the activity."""
-        return step.next_activity(rows, self._entries, self.catalogue, self.affected, self.browsers,
+        return step.next_activity(rows, self._entries, self._targets, self.affected, self.browsers,
                                   self._hot_resources, self._hot_sites, changes_only, self.names)
 
     @functools.cached_property
