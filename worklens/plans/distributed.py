@@ -78,33 +78,34 @@ def _shares(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def key_sketch(rows: DataFrame, key: list[str]) -> list[Column]:
-    """Aggregates over non-NULL keys from which :func:`hot_of_sketch` reads the hot ones.
-
-    A mergeable heavy-hitter sketch of the keys' hashes: each task passes on
-    one row. They can be observed (``DataFrame.observe``) in a pass that runs anyway.
-    """
-    # The sketch tracks a million items and lists 100,000 of them at most.
-    shares = min(_shares(rows.sparkSession), 50_000)
-    top = F.call_function("approx_top_k", _key_hash(rows, key), F.lit(2 * shares), F.lit(max(64, TRACKED_PER_SHARE * shares)))
-    return [top.alias("top"), F.count(F.lit(1)).alias("n"), F.lit(shares).alias("shares")]
-
-
-def hot_of_sketch(found: dict) -> HotKeys:
-    """The keys that hold more than one share of the sketched rows, a share being
-    the rows of a shuffle partition if all had as many.
+def hot_keys(rows: DataFrame, key: str | list[str]) -> HotKeys:
+    """The keys that hold more than one share of ``rows``, a share being the rows
+    of a shuffle partition if all had as many.
 
+    One job over the key columns of ``rows``, in which each task keeps a
+    mergeable heavy-hitter sketch of its keys' hashes and passes on one row.
     Keys near a share may be listed as well, within the sketch's error of a
-    sixth of a share. Two keys of one hash share their salts.
+    sixth of a share. Two keys of one hash share their salts; NULL keys do not
+    count.
     """
-    return HotKeys.of([(r["item"], r["count"]) for r in found["top"] or ()], found["n"], found["shares"])
-
-
-def hot_keys(rows: DataFrame, key: str | list[str]) -> HotKeys:
-    """:func:`hot_of_sketch` of ``rows``, in one job over their key columns; NULL keys do not count."""
     key = [key] if isinstance(key, str) else key
-    present = rows.where(" AND ".join(f"`{k}` IS NOT NULL" for k in key)).select(*key)
-    return hot_of_sketch(present.agg(*key_sketch(present, key)).first().asDict())
+    # The sketch tracks a million items and lists 100,000 of them at most.
+    shares = min(_shares(rows.sparkSession), 50_000)
+    present = rows.where(" AND ".join(f"`{k}` IS NOT NULL" for k in key)).select(_key_hash(rows, key).alias("_key_hash"))
+    found = present.agg(
+        F.expr(f"approx_top_k(_key_hash, {2 * shares}, {max(64, TRACKED_PER_SHARE * shares)})").alias("top"),
+        F.count(F.lit(1)).alias("n")).first()
+    return HotKeys.of([(r["item"], r["count"]) for r in found["top"] or ()], found["n"], shares)
+
+
+def hot_keys_of_counts(counts: DataFrame, key: str, rows: str) -> HotKeys:
+    """:func:`hot_keys` of rows that are already counted: ``counts`` has one or more rows a key, ``rows`` its count."""
+    shares = _shares(counts.sparkSession)
+    per_key = counts.where(F.col(key).isNotNull()).groupBy(_key_hash(counts, [key]).alias("_key_hash")).agg(
+        F.sum(rows).alias("_rows"))
+    n = per_key.agg(F.sum("_rows").alias("n")).first()["n"] or 0
+    found = per_key.where(F.col("_rows") * shares > n).collect() if n else []
+    return HotKeys.of([(r["_key_hash"], r["_rows"]) for r in found], n, shares)
 
 
 def join_spreading_key(left: DataFrame, right: DataFrame, key: str | list[str], spread_by: list[str],

@@ -15,12 +15,12 @@ import datetime as _dt
 import functools
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from worklens.functions import BROWSER_RESOURCE_NAMES, NOCASE, Names, name_key, ntz
 from worklens.operators import reclassify as step
-from worklens.plans.distributed import NO_HOT_KEYS, HotKeys, hot_keys, hot_of_sketch, key_sketch, materialize
+from worklens.plans.distributed import NO_HOT_KEYS, HotKeys, hot_keys, hot_keys_of_counts, materialize
 from worklens.sources import versions
 from worklens.sources.tables import Tables, table_locations, write_version
 
@@ -33,7 +33,8 @@ class BrowserReclassify:
     With ``keep`` what several steps read is made once when a step needs it:
     the browser entries of the catalogue and the entry of each site (whose true
     sizes Spark then knows before it plans the joins to the activity) and the
-    snapshot's links are written to shared storage, and the hot resources and sites are sketched, so that their rows are spread.
+    snapshot's links are written to shared storage, and the hot resources are
+    sketched and the hot sites counted, so that their rows are spread.
     Without, every step is one lazy plan (apart from the id numbering of
     ``catalogue``), in which adaptive execution alone splits hot keys.
     """
@@ -65,20 +66,19 @@ class BrowserReclassify:
                                              self._hot_resources, self.names)
 
     @functools.cached_property
-    def _links_and_hot_sites(self) -> tuple[DataFrame, HotKeys]:
-        """What later steps need of the snapshot, and its hot sites, in one pass over it."""
-        sited = self.snapshot.withColumn("_site", name_key(F.col("new_resource_name"), self.names))
-        seen = Observation()
-        links = materialize(step.site_links(sited.observe(seen, *key_sketch(sited, ["_site"]))), "site-links")
-        return links, hot_of_sketch(seen.get)
+    def _links(self) -> DataFrame:
+        return materialize(step.site_links(self.snapshot), "site-links")
 
     @functools.cached_property
     def _site_times(self) -> DataFrame:
-        return step.site_times_of(self._links_and_hot_sites[0]) if self.keep else step.site_times(self.snapshot)
+        return step.site_times_of(self._links) if self.keep else step.site_times(self.snapshot)
 
-    @property
+    @functools.cached_property
     def _hot_sites(self) -> HotKeys:
-        return self._links_and_hot_sites[1] if self.keep else NO_HOT_KEYS
+        if not self.keep:
+            return NO_HOT_KEYS
+        times = self._site_times.withColumn("_site", name_key(F.col("new_resource_name"), self.names))
+        return hot_keys_of_counts(times, "_site", "rows")
 
     @functools.cached_property
     def candidates(self) -> DataFrame:
@@ -99,7 +99,7 @@ class BrowserReclassify:
 
     @functools.cached_property
     def affected(self) -> DataFrame:
-        return step.affected_details(self._links_and_hot_sites[0] if self.keep else self.snapshot)
+        return step.affected_details(self._links if self.keep else self.snapshot)
 
     def next_activity(self, rows: DataFrame, changes_only: bool = False) -> DataFrame:
         """The next version of some rows of the activity."""
