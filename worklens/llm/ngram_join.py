@@ -21,11 +21,15 @@ Equal sets are one class, represented by one document. For the classes:
    aside and only lower the threshold; a set travels to a unit where t of its
    tokens may occur, and is searched there as in 2.
 
-Tokens all of whose sets already share a component need no search: so the
-first turns between units route each set only towards one unit of the token's
-smallest component, while that finds links, and the last turn, which is
-exhaustive, finds the sets of a large group of near copies mostly connected. A search gives a spanning
-forest, never the pairs. All state between rounds is written to shared storage.
+A unit's search gives every class the smallest class of its component inside
+the unit as its label. Tokens all of whose sets already share a label need no
+search: so the first turns between units route each set only towards one unit
+of the token's smallest label, while that finds links, and the last turn, which
+is exhaustive, finds the sets of a large group of near copies mostly connected.
+What a task finds between units it reduces to a forest over labels, so a turn
+yields at most one edge a label and task, never the pairs; the turn's components
+are those of that small table, and the labels follow. All state between rounds
+is written to shared storage, and deleted once the next is.
 
 Short documents keep their order of words in the single shingle. Equal rows
 and equal texts are one class; NULL and wordless texts have set size 0, link
@@ -45,9 +49,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from worklens.llm.common import WORD_PATTERN, WordArrays, mix64, raw_texts, shuffle_partitions, stage, table, words_of
+from worklens.llm.common import WORD_PATTERN, Scratch, WordArrays, mix64, raw_texts, shuffle_partitions, stage, table, words_of
 from worklens.llm.components import components
 from worklens.llm.units import arrow_table, bucket_slices, pack, pack_bits, unpack, unpack_bits
+from worklens.plans.distributed import join_spreading_key
 
 #: Inverted lists of more units than this are long: set aside, not merged.
 LONG = 256
@@ -62,10 +67,11 @@ SENT = "p int, u int, keys binary, flags binary"
 MASKS = "u int, p int, mask binary"
 CANDIDATES = "u int, class long"
 WHOLE = "class long, n long, hashes binary"
+LABELS = "class long, label long"
 EDGES = "a long, b long"
 ENTRIES = "p int, u int, keys binary, labels binary"
 ROUTES = "u int, p int, entry binary, target binary"
-SHIPPED = "v int, classes binary, sizes binary, hashes binary"
+SHIPPED = "v int, labels binary, sizes binary, hashes binary"
 EVERYWHERE = (1 << 31) - 1
 
 
@@ -291,7 +297,7 @@ def _sets(rows: pa.Table, names: tuple[str, str] = ("class", "hashes")) -> tuple
 
 
 def link_inside(rule: Rule) -> Callable:
-    """A spanning forest of the links inside a unit."""
+    """The label of each class of a unit: the smallest class it is linked with inside the unit."""
 
     def link(unit: pa.Table) -> pa.Table:
         classes, sets = _sets(unit)
@@ -299,7 +305,7 @@ def link_inside(rule: Rule) -> Callable:
         for i, own in enumerate(sets):
             for j in lists.query(own):
                 forest.join(classes[i], classes[j], (classes[i], classes[j]))
-        return arrow_table(forest.edges, EDGES)
+        return arrow_table([(c, forest.root(c)) for c in classes], LABELS)
 
     return link
 
@@ -407,8 +413,8 @@ def ship(rule: Rule, buckets: int) -> Callable:
             for v, times in counts.items():
                 if times + long >= least:
                     goes.setdefault(v, []).append(i)
-        classes, hashes = unit.column("class").to_pylist(), unit.column("hashes").to_pylist()
-        return arrow_table([(v, pack(np.array([classes[i] for i in own], np.int64).view(np.uint64)),
+        labels, hashes = unit.column("label").to_pylist(), unit.column("hashes").to_pylist()
+        return arrow_table([(v, pack(np.array([labels[i] for i in own], np.int64).view(np.uint64)),
                              pack(np.array([len(hashes[i]) for i in own])), b"".join(hashes[i] for i in own))
                             for v, own in goes.items()], SHIPPED)
 
@@ -416,7 +422,7 @@ def ship(rule: Rule, buckets: int) -> Callable:
 
 
 def link_shipped(rule: Rule) -> Callable:
-    """Links between a unit's sets and those that came, as edges between components."""
+    """Links between a unit's sets and those that came, as a forest over labels."""
 
     def link(unit: pa.Table, shipped: pa.Table) -> pa.Table:
         if not unit.num_rows or not shipped.num_rows:
@@ -424,60 +430,71 @@ def link_shipped(rule: Rule) -> Callable:
         label = dict(zip(unit.column("class").to_pylist(), unit.column("label").to_pylist()))
         classes, sets = _sets(unit)
         own_label = np.array([label[c] for c in classes])
-        lists, edges = InvertedLists(classes, sets, rule), []
-        for names, sizes, hashes in zip(*(shipped.column(n).to_pylist() for n in ("classes", "sizes", "hashes"))):
+        lists, forest = InvertedLists(classes, sets, rule), Forest(own_label.tolist())
+        for names, sizes, hashes in zip(*(shipped.column(n).to_pylist() for n in ("labels", "sizes", "hashes"))):
             at = 0
             for name, size in zip(unpack(names).view(np.int64).tolist(), unpack(sizes).tolist()):
-                found = lists.query(unpack(hashes[at:at + size], rising=True))
+                forest.up.setdefault(name, name)
+                for other in np.unique(own_label[lists.query(unpack(hashes[at:at + size], rising=True))]).tolist():
+                    forest.join(name, other, (name, other))
                 at += size
-                # One edge to each component is enough.
-                edges += [(name, classes[found[i]]) for i in np.unique(own_label[found], return_index=True)[1]]
-        return arrow_table(edges, EDGES)
+        return arrow_table(forest.edges, EDGES)
 
     return link
 
 
+def relabelled(labels: DataFrame, found: DataFrame) -> DataFrame:
+    """(class, label) after the labels that ``found`` links have become one."""
+    merged = components(found, "ngram").select(F.col("node").alias("label"), "component")
+    return join_spreading_key(labels, merged, "label", ["class"]).select(
+        "class", F.coalesce("component", "label").alias("label"))
+
+
 def link_classes(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     """Documents (row_key, doc_id, text) -> (row_key, doc_id, class, n) and (class, component) of linked classes."""
     spark = docs.sparkSession
-    n = shuffle_partitions(spark)
-    described = stage(docs.select("row_key", "doc_id", "text").mapInArrow(describe(rule), SETS), "ngram-sets")
+    n, scratch = shuffle_partitions(spark), Scratch(spark)
+    described = scratch.stage(docs.select("row_key", "doc_id", "text").mapInArrow(describe(rule), SETS), "ngram-sets")
     known = described.filter("class is not null")
     unit = F.pmod(F.xxhash64("class"), F.lit(n)).cast("int")
     classes = known.groupBy("class").agg(F.min("row_key").alias("row_key"), F.first("n").alias("n"),
                                          F.first("tokens").alias("tokens")).withColumn("u", unit)
-    classes = stage(classes, "ngram-classes")
+    classes = scratch.stage(classes, "ngram-classes")
     units = classes.select("u", "class", "n", "tokens")
     masks = units.groupBy("u").applyInArrow(send_tokens(n), SENT).groupBy("p").applyInArrow(find_shared, MASKS)
-    candidates = stage(
+    candidates = scratch.stage(
         units.groupBy("u").cogroup(masks.groupBy("u")).applyInArrow(find_candidates(rule, n), CANDIDATES)
         .select("class").join(classes, "class"), "ngram-candidates")
     whole = (
         docs.select("row_key", "text").join(candidates.select("row_key"), "row_key")
         .mapInArrow(whole_sets(rule), WHOLE).groupBy("class").agg(F.first("hashes").alias("hashes"))
     )
-    sets = stage(candidates.drop("row_key").join(whole, "class"), "ngram-candidate-sets")
+    sets = scratch.stage(candidates.drop("row_key").join(whole, "class"), "ngram-candidate-sets")
 
-    edges = stage(sets.groupBy("u").applyInArrow(link_inside(rule), EDGES), "ngram-edges")
+    labels = scratch.stage(sets.groupBy("u").applyInArrow(link_inside(rule), LABELS), "ngram-labels")
     first = 0
     for turn in range(TURNS + 1):
-        labels = components(edges, "ngram").withColumnRenamed("node", "class")
-        labelled = stage(sets.join(labels, "class", "left")
-                         .select("u", "class", "n", "tokens", "hashes", F.coalesce("component", "class").alias("label")),
-                         "ngram-labelled")
+        labelled = scratch.stage(sets.join(labels, "class").select("u", "class", "n", "tokens", "hashes", "label"),
+                                 "ngram-labelled")
         everywhere = turn == TURNS or (turn > 0 and last * 10 <= first)
         entries = labelled.select("u", "class", "n", "tokens", "label")
         routes = (entries.groupBy("u").applyInArrow(send_entries(n), ENTRIES)
                   .groupBy("p").applyInArrow(find_routes(turn, everywhere), ROUTES))
         shipped = labelled.groupBy("u").cogroup(routes.groupBy("u")).applyInArrow(ship(rule, n), SHIPPED)
-        found = stage(labelled.groupBy("u").cogroup(shipped.groupBy("v")).applyInArrow(link_shipped(rule), EDGES),
-                      "ngram-edges")
-        edges = edges.unionByName(found)
+        found = scratch.stage(labelled.groupBy("u").cogroup(shipped.groupBy("v")).applyInArrow(link_shipped(rule), EDGES),
+                              "ngram-found")
+        scratch.drop(labelled)
+        last = found.count()
+        if last:
+            before, labels = labels, scratch.stage(relabelled(labels, found), "ngram-labels")
+            scratch.drop(before)
+        scratch.drop(found)
         if everywhere:
             break
-        last = found.count()
         first = first or last
-    return described.drop("tokens"), components(edges, "ngram").withColumnRenamed("node", "class")
+    members = stage(described.drop("tokens"), "ngram-members")
+    scratch.drop(described, classes, candidates, sets)
+    return members, labels.withColumnRenamed("label", "component")
 
 
 def row_key() -> Column:
