@@ -51,7 +51,7 @@ def _share(part: Column, whole: Column) -> Column:
 
 
 def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with a struct ``_stats`` of doubles."""
+    """``docs`` with a struct ``_stats`` of doubles (columns of ``docs`` must not start with an underscore but ``_row``)."""
     t = F.col("_text")
 
     def count(pattern: str) -> Column:
@@ -181,9 +181,19 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_FIT_ROWS) -> Rul
     return RuleEnsemble(float(lasso.intercept), kept)
 
 
-def classify(docs: DataFrame, model: RuleEnsemble) -> DataFrame:
-    """``docs`` with ``_score``."""
-    return with_statistics(docs).withColumn("_score", model.score()).drop("_stats")
+def classify(docs: DataFrame, model: RuleEnsemble, text: str = "text") -> DataFrame:
+    """Every row of ``docs`` as the struct ``_row``, whatever its columns are called, with its ``_score``."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{text}`").alias("text"))
+    return with_statistics(rows).select("_row", model.score().alias("_score"))
+
+
+def keep_classified(docs: DataFrame, model: RuleEnsemble, least: float) -> DataFrame:
+    """The rows of ``docs`` whose score is ``least`` or more."""
+    # A filter moves through no projection that numbers its rows: so the score
+    # is computed once, in the projection, not inlined in the filter for each
+    # statistic that it names.
+    scored = classify(docs, model).withColumn("_at", F.monotonically_increasing_id())
+    return scored.filter((F.col("_score") >= least) & (F.col("_at") >= 0)).select("_row.*")
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -192,5 +202,6 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     scored = classify(docs.select("doc_id", "text"), fit(docs, labels))
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"),
+    doc_id = F.col("_row.doc_id")
+    return scored.select(doc_id, held_out(doc_id).alias("held_out"), F.col("_score").alias("score"),
                          (F.col("_score") >= 0.5).cast("int").alias("predicted"))
