@@ -20,11 +20,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from worklens.llm.common import stage, table
+from worklens.llm.common import Scratch, table
 from worklens.llm.decontamination import as_rows, decontaminate
 from worklens.llm.mixing import mix_documents
 from worklens.llm.ngram_join import Rule, one_of_each_group
-from worklens.llm.quality import classify, fit
+from worklens.llm.quality import fit, keep_classified
 from worklens.llm.sharding import assign_shards
 
 #: Near duplicates of the pipeline: five-word shingles, similarity 0.8 or more.
@@ -33,8 +33,7 @@ LEAST_SCORE = 0.5
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = fit(docs, table(spark, sf_dir, "labels"))
-    return classify(docs, model).filter(f"_score >= {LEAST_SCORE}").drop("_score")
+    return keep_classified(docs, fit(docs, table(spark, sf_dir, "labels")), LEAST_SCORE)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,7 +64,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    scratch, docs, before = Scratch(spark), table(spark, sf_dir, "documents"), None
     for name, function in STAGES:
-        docs = stage(function(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = scratch.stage(function(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            scratch.drop(before)
+        before = docs
     return docs
