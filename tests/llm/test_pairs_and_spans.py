@@ -115,3 +115,23 @@ def test_packing_round_trip():
         assert unpack(pack(x[::-1])).tolist() == x[::-1].tolist()
         bits = x % np.uint64(3) == 0
         assert unpack_bits(pack_bits(bits)).tolist() == bits.tolist()
+
+
+def test_ngram_join_of_a_large_group_over_many_units(spark):
+    """Near copies of one text and of copies of it, more than there are units, whose links form long chains."""
+    draw = np.random.default_rng(7)
+    words = [f"w{i}" for i in draw.integers(0, 500, 60)]
+    docs = []
+    for i in range(150):
+        if i % 30 == 0:
+            words = [*words[6:], *[f"n{i}-{j}" for j in range(6)]]
+        near = list(words)
+        near[draw.integers(60)] = f"e{i}"
+        docs.append((i, " ".join(near)))
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    try:
+        got = rows(ngram_join.join_report(spark.createDataFrame(docs, "doc_id long, text string"), ngram_join.Rule(2, 8, 10)))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert got == brute.join(docs, 2, 8, 10)

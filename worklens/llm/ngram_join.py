@@ -28,7 +28,8 @@ of the token's smallest label, while that finds links, and the last turn, which
 is exhaustive, finds the sets of a large group of near copies mostly connected.
 What a task finds between units it reduces to a forest over labels, so a turn
 yields at most one edge a label and task, never the pairs; the turn's components
-are those of that small table, and the labels follow. All state between rounds
+are those of that small table, and the labels follow. After the second turn only
+sets stay in the search that share enough tokens with another label. All state between rounds
 is written to shared storage, and deleted once the next is.
 
 Short documents keep their order of words in the single shingle. Equal rows
@@ -70,7 +71,8 @@ WHOLE = "class long, n long, hashes binary"
 LABELS = "class long, label long"
 EDGES = "a long, b long"
 ENTRIES = "p int, u int, keys binary, labels binary"
-ROUTES = "u int, p int, entry binary, target binary"
+ROUTES = "u int, p int, entry binary, target binary, mixed binary"
+OPEN = "u int, class long, n long, tokens binary, hashes binary"
 SHIPPED = "v int, labels binary, sizes binary, hashes binary"
 EVERYWHERE = (1 << 31) - 1
 
@@ -345,6 +347,7 @@ def find_routes(turn: int, everywhere: bool) -> Callable:
 
     Towards one unit of the token's smallest label, another one each turn, or
     (``everywhere``) to all later units that hold the token under another label.
+    Every unit learns besides which of its entries' tokens have several labels.
     """
 
     def find(bucket: pa.Table) -> pa.Table:
@@ -369,9 +372,13 @@ def find_routes(turn: int, everywhere: bool) -> Callable:
             found = [_later_units(a, b, labels, unit) for a, b in zip(first[mixed], end[mixed])]
             go, target = np.concatenate(found, axis=1) if found else np.empty((2, 0), np.int64)
         p = bucket.column("p")[0].as_py()
-        source = unit[go]
-        return arrow_table([(int(u), p, pack(entry[go][source == u]), pack(target[source == u]))
-                            for u in np.unique(source)], ROUTES)
+        several, rows = mixed[np.cumsum(new) - 1], []
+        for u in np.unique(unit[several]):
+            own, sent = unit == u, go[unit[go] == u]
+            bits = np.zeros(own.sum(), bool)
+            bits[entry[own]] = several[own]
+            rows.append((int(u), p, pack(entry[sent]), pack(target[unit[go] == u]), pack_bits(bits)))
+        return arrow_table(rows, ROUTES)
 
     return find
 
@@ -386,6 +393,30 @@ def _later_units(a: int, b: int, labels: np.ndarray, unit: np.ndarray) -> np.nda
     return np.array(pairs, np.int64).reshape(-1, 2).T
 
 
+def keep_open(rule: Rule, buckets: int) -> Callable:
+    """The sets that may still find a set of another label, with their tokens of several labels.
+
+    Sets that link share the threshold's number of tokens, all of which have
+    both sets' labels; labels only ever become one.
+    """
+
+    def keep(unit: pa.Table, routes: pa.Table) -> pa.Table:
+        if not unit.num_rows or not routes.num_rows:
+            return arrow_table([], OPEN)
+        keys, _, of_set, unit, slices = _entries(unit, buckets)
+        several = np.zeros(len(keys), bool)
+        for p, bits in zip(routes.column("p").to_pylist(), routes.column("mixed").to_pylist()):
+            several[slices[p]] = unpack_bits(bits)
+        rows = []
+        for u, c, n, tokens, hashes, numbers in zip(*(unit.column(x).to_pylist() for x in ("u", "class", "n", "tokens", "hashes")), of_set):
+            left = several[numbers]
+            if left.sum() >= rule.threshold(n):
+                rows.append((u, c, n, pack(unpack(tokens, rising=True)[left], rising=True), hashes))
+        return arrow_table(rows, OPEN)
+
+    return keep
+
+
 def ship(rule: Rule, buckets: int) -> Callable:
     """The sets that travel, packed by target unit."""
 
@@ -478,12 +509,17 @@ def link_classes(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
                                  "ngram-labelled")
         everywhere = turn == TURNS or (turn > 0 and last * 10 <= first)
         entries = labelled.select("u", "class", "n", "tokens", "label")
-        routes = (entries.groupBy("u").applyInArrow(send_entries(n), ENTRIES)
-                  .groupBy("p").applyInArrow(find_routes(turn, everywhere), ROUTES))
+        routes = scratch.stage(entries.groupBy("u").applyInArrow(send_entries(n), ENTRIES)
+                               .groupBy("p").applyInArrow(find_routes(turn, everywhere), ROUTES), "ngram-routes")
         shipped = labelled.groupBy("u").cogroup(routes.groupBy("u")).applyInArrow(ship(rule, n), SHIPPED)
         found = scratch.stage(labelled.groupBy("u").cogroup(shipped.groupBy("v")).applyInArrow(link_shipped(rule), EDGES),
                               "ngram-found")
-        scratch.drop(labelled)
+        if turn and not everywhere:
+            # (In the first turn every unit has labels of its own, and next to no set is done.)
+            before, sets = sets, scratch.stage(labelled.groupBy("u").cogroup(routes.groupBy("u")).applyInArrow(
+                keep_open(rule, n), OPEN), "ngram-open")
+            scratch.drop(before)
+        scratch.drop(labelled, routes)
         last = found.count()
         if last:
             before, labels = labels, scratch.stage(relabelled(labels, found), "ngram-labels")
