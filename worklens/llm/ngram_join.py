@@ -19,7 +19,8 @@ Equal sets are one class, represented by one document. For the classes:
 3. Between units the same idea routes sets: the lists of a token's units are
    merged and counted a target unit, lists of more than ``LONG`` units are set
    aside and only lower the threshold; a set travels to a unit where t of its
-   tokens may occur, and is searched there as in 2.
+   tokens may occur (in the last turn, where ceil(n NUM / DEN) of all its
+   shingles may), and is searched there as in 2.
 
 A unit's search gives every class the smallest class of its component inside
 the unit as its label. Tokens all of whose sets already share a label need no
@@ -172,8 +173,11 @@ def _portions(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordB
 
 # Tokens that occur in two sets.
 
-def _tokens(unit: pa.Table) -> tuple[pa.Table, list[np.ndarray]]:
+def _tokens(unit: pa.Table, whole: bool = False) -> tuple[pa.Table, list[np.ndarray]]:
+    """A unit by class, and the tokens of each set: those of its prefix or (``whole``) of all its shingles."""
     unit = unit.sort_by("class")
+    if whole:
+        return unit, [unpack(h, rising=True) >> np.uint64(64 - TOKEN_BITS) for h in unit.column("hashes").to_pylist()]
     return unit, [unpack(t, rising=True) for t in unit.column("tokens").to_pylist()]
 
 
@@ -314,9 +318,9 @@ def link_inside(rule: Rule) -> Callable:
 
 # Routes between units.
 
-def _entries(unit: pa.Table, buckets: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], pa.Table, list[slice]]:
+def _entries(unit: pa.Table, buckets: int, whole: bool) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], pa.Table, list[slice]]:
     """Distinct (token, label) of a unit sorted by bucket, those of each set, the sorted unit and the buckets' slices."""
-    unit, tokens = _tokens(unit)
+    unit, tokens = _tokens(unit, whole)
     labels = unit.column("label").to_numpy()
     keys = _by_bucket(np.concatenate(tokens), buckets)
     of = np.repeat(np.arange(len(tokens)), [len(t) for t in tokens])
@@ -332,9 +336,9 @@ def _entries(unit: pa.Table, buckets: int) -> tuple[np.ndarray, np.ndarray, list
             bucket_slices(keys >> np.uint64(TOKEN_BITS), buckets))
 
 
-def send_entries(buckets: int) -> Callable:
+def send_entries(buckets: int, whole: bool) -> Callable:
     def send(unit: pa.Table) -> pa.Table:
-        keys, labels, _, unit, slices = _entries(unit, buckets)
+        keys, labels, _, unit, slices = _entries(unit, buckets, whole)
         u = unit.column("u")[0].as_py()
         return arrow_table([(p, u, pack(keys[at] & np.uint64((1 << TOKEN_BITS) - 1), rising=True), pack(labels[at].view(np.uint64)))
                             for p, at in enumerate(slices) if at.stop > at.start], ENTRIES)
@@ -403,7 +407,7 @@ def keep_open(rule: Rule, buckets: int) -> Callable:
     def keep(unit: pa.Table, routes: pa.Table) -> pa.Table:
         if not unit.num_rows or not routes.num_rows:
             return arrow_table([], OPEN)
-        keys, _, of_set, unit, slices = _entries(unit, buckets)
+        keys, _, of_set, unit, slices = _entries(unit, buckets, whole=False)
         several = np.zeros(len(keys), bool)
         for p, bits in zip(routes.column("p").to_pylist(), routes.column("mixed").to_pylist()):
             several[slices[p]] = unpack_bits(bits)
@@ -417,13 +421,13 @@ def keep_open(rule: Rule, buckets: int) -> Callable:
     return keep
 
 
-def ship(rule: Rule, buckets: int) -> Callable:
-    """The sets that travel, packed by target unit."""
+def ship(rule: Rule, buckets: int, whole: bool) -> Callable:
+    """The sets that travel, packed by target unit: where as many of their tokens may occur as they share with any partner."""
 
     def run(unit: pa.Table, routes: pa.Table) -> pa.Table:
         if not unit.num_rows or not routes.num_rows:
             return arrow_table([], SHIPPED)
-        _, _, of_set, unit, slices = _entries(unit, buckets)
+        _, _, of_set, unit, slices = _entries(unit, buckets, whole)
         u = unit.column("u")[0].as_py()
         entry = np.concatenate([unpack(e).astype(np.int64) + slices[p].start for e, p in
                                 zip(routes.column("entry").to_pylist(), routes.column("p").to_pylist())])
@@ -437,7 +441,7 @@ def ship(rule: Rule, buckets: int) -> Callable:
             for e in numbers:
                 for v in target[low[e]:high[e]].tolist():
                     counts[v] = counts.get(v, 0) + 1
-            least = rule.threshold(n)
+            least = rule.least(n) if whole else rule.threshold(n)
             long = counts.pop(EVERYWHERE, 0)
             if long >= least:
                 counts = dict.fromkeys(range(u + 1, buckets), least)
@@ -508,10 +512,11 @@ def link_classes(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
         labelled = scratch.stage(sets.join(labels, "class").select("u", "class", "n", "tokens", "hashes", "label"),
                                  "ngram-labelled")
         everywhere = turn == TURNS or (turn > 0 and last * 10 <= first)
-        entries = labelled.select("u", "class", "n", "tokens", "label")
-        routes = scratch.stage(entries.groupBy("u").applyInArrow(send_entries(n), ENTRIES)
+        # Of what is left for the last turn, every shingle counts: a common passage then sends no set anywhere.
+        entries = labelled.select("u", "class", "hashes" if everywhere else "tokens", "label")
+        routes = scratch.stage(entries.groupBy("u").applyInArrow(send_entries(n, everywhere), ENTRIES)
                                .groupBy("p").applyInArrow(find_routes(turn, everywhere), ROUTES), "ngram-routes")
-        shipped = labelled.groupBy("u").cogroup(routes.groupBy("u")).applyInArrow(ship(rule, n), SHIPPED)
+        shipped = labelled.groupBy("u").cogroup(routes.groupBy("u")).applyInArrow(ship(rule, n, everywhere), SHIPPED)
         found = scratch.stage(labelled.groupBy("u").cogroup(shipped.groupBy("v")).applyInArrow(link_shipped(rule), EDGES),
                               "ngram-found")
         if turn and not everywhere:
