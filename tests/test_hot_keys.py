@@ -5,7 +5,9 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from worklens.plans.distributed import NO_HOT_KEYS, hot_keys, hot_keys_of_counts, join_spreading_key
+from worklens.plans.distributed import (
+    NO_HOT_KEYS, hot_keys, hot_keys_of_counts, join_spreading_key, left_join_spreading_nulls,
+)
 
 
 @pytest.fixture()
@@ -89,3 +91,32 @@ def test_several_key_columns(spark, how):
     right = spark.createDataFrame([(0, "x", 1), (1, "x", 2), (1, "x", 3), (0, "y", 4), (None, "x", 5)], "a bigint, b string, v int")
     got, want = join_spreading_key(left, right, ["a", "b"], ["id"], how), left.join(right, ["a", "b"], how)
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+@pytest.mark.parametrize("join", [
+    lambda left, right: join_spreading_key(left, right, "k", ["id"], "left", NO_HOT_KEYS),
+    lambda left, right: left_join_spreading_nulls(left, right, "k", ["id"])])
+def test_rows_without_a_key_are_spread_where_no_key_is_known_to_be_hot(spark, sixteen, join):
+    left = spark.range(8000, numPartitions=7).select(
+        "id", F.when(F.col("id") % 5 == 4, F.col("id") % 1000).cast("bigint").alias("k"))
+    right = spark.createDataFrame([*((k, k * 10) for k in range(900)), (None, 5)], "k bigint, v bigint")
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")
+    spark.conf.set(keys[0], "-1")
+    spark.conf.set(keys[1], "false")
+    try:
+        joined = join(left, right)
+        nulls = [r["count"] for r in joined.where("k is null").groupBy(F.spark_partition_id()).count().collect()]
+        # 6,400 rows have no key; a salt that folds into a constant deals them all to one task
+        assert len(nulls) == sixteen and max(nulls) < 800
+    finally:
+        for k in keys:
+            spark.conf.unset(k)
+    want = left.join(right, "k", "left")
+    assert joined.exceptAll(want).count() == 0 and want.exceptAll(joined).count() == 0
+
+
+def test_collated_keys_that_lower_differently_still_meet(spark):
+    left = spark.createDataFrame([(1, "ΟΔΟΣ "), (2, "οδοσ"), (3, "x"), (4, None)], "id bigint, k string COLLATE UTF8_LCASE_RTRIM")
+    right = spark.createDataFrame([("οδοσ", 7), ("X  ", 8)], "k string COLLATE UTF8_LCASE_RTRIM, v int")
+    got = join_spreading_key(left, right, "k", ["id"], "left", NO_HOT_KEYS)
+    assert {r["id"]: r["v"] for r in got.collect()} == {1: 7, 2: 7, 3: 8, 4: None}

@@ -39,7 +39,8 @@ def _key_hash(rows: DataFrame, key: list[str]) -> Column:
     def canonical(name: str) -> Column:
         kind = rows.schema[name].dataType
         collated = isinstance(kind, StringType) and kind.collation != "UTF8_BINARY"
-        return F.lower(F.rtrim(F.col(name).cast("string"))) if collated else F.col(name)
+        # a final sigma lowers by its place in the word, but collates as any other
+        return F.translate(F.lower(F.rtrim(F.col(name).cast("string"))), "ς", "σ") if collated else F.col(name)
 
     return F.xxhash64(*[canonical(k) for k in key])
 
@@ -119,16 +120,17 @@ def join_spreading_key(left: DataFrame, right: DataFrame, key: str | list[str],
     NULL key can match nothing, so its salt is the full 64-bit hash and its rows
     spread over all partitions. ``right`` must carry ``key`` and no other column
     of ``left``. The salts are expressions, so Spark's size estimates stay those
-    of the two sides, and its byte threshold decides what is broadcast.
+    of the two sides, and its byte threshold decides what is broadcast. Without
+    hot keys the salt of a row is its key's own hash: a constant one would be
+    folded into a filter, and the rows dealt by the key alone again.
     """
     key = [key] if isinstance(key, str) else key
     hot = hot_keys(left, key) if hot is None else hot
     spread = F.xxhash64(*spread_by)
     absent = F.expr(" OR ".join(f"`{k}` IS NULL" for k in key))
     if hot == NO_HOT_KEYS:
-        zero = F.lit(0).cast("bigint")
-        dealt = left.withColumn("_salt", F.when(absent, spread).otherwise(zero))
-        repeated = right.withColumn("_salt", zero)
+        dealt = left.withColumn("_salt", F.when(absent, spread).otherwise(_key_hash(left, key)))
+        repeated = right.withColumn("_salt", _key_hash(right, key))
     else:
         salts = hot.salts("_key_hash")
         dealt = left.withColumn("_key_hash", _key_hash(left, key)).withColumn(
@@ -139,15 +141,8 @@ def join_spreading_key(left: DataFrame, right: DataFrame, key: str | list[str],
 
 
 def left_join_spreading_nulls(left: DataFrame, right: DataFrame, key: str, spread_by: list[str]) -> DataFrame:
-    """``left.join(right, key, 'left')`` where only the NULL key is hot: NULL
-    rows get their full hash as a salt, all others and the right side salt 0."""
-    zero = F.lit(0).cast("bigint")
-    salt = F.when(F.col(key).isNull(), F.xxhash64(*spread_by)).otherwise(zero)
-    return (
-        left.withColumn("_salt", salt)
-        .join(right.withColumn("_salt", zero), [key, "_salt"], "left")
-        .drop("_salt")
-    )
+    """``left.join(right, key, 'left')`` where only the NULL key is hot."""
+    return join_spreading_key(left, right, key, spread_by, "left", NO_HOT_KEYS)
 
 
 def global_ordinal(df: DataFrame, order: list[Column], name: str = "ordinal") -> DataFrame:
