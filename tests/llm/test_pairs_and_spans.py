@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from llm import brute
 
 from worklens.llm import decontamination, ngram_join, substring_dedup
 from worklens.llm.components import components
 from worklens.llm.fm_index import FMIndex
-from worklens.llm.units import pack, pack_bits, unpack, unpack_bits
+from worklens.llm.units import arrow_table, pack, pack_bits, unpack, unpack_bits
 
 
 def pairs(df):
@@ -135,3 +139,94 @@ def test_ngram_join_of_a_large_group_over_many_units(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
     assert got == brute.join(docs, 2, 8, 10)
+
+
+def brute_routes(entries, everywhere_from):
+    """(unit, entry, target unit) of the last turn for entries {unit: [(token, label)]}."""
+    out = set()
+    for u, own in entries.items():
+        for i, (token, label) in enumerate(own):
+            held = {v: {x for t, x in other if t == token} for v, other in entries.items()}
+            held = {v: found for v, found in held.items() if found}
+            if len(set.union(*held.values())) == 1:
+                continue
+            if len(held) > everywhere_from:
+                out.add((u, i, ngram_join.EVERYWHERE))
+            else:
+                out |= {(u, i, v) for v, found in held.items() if v > u and found != {label}}
+    return out
+
+
+@pytest.mark.parametrize("long, portion", [(256, 1 << 20), (256, 3), (4, 50), (1, 1)])
+def test_routes_of_the_last_turn(monkeypatch, long, portion):
+    monkeypatch.setattr(ngram_join, "LONG", long)
+    monkeypatch.setattr(ngram_join, "PORTION", portion)
+    draw = np.random.default_rng(long + portion)
+    entries = {u: sorted({(int(t), int(x)) for t, x in zip(draw.integers(0, 12, 9), draw.integers(-2, 2, 9))})
+               for u in (5, 0, 3, 7, 1, 2)}
+    bucket = arrow_table([(9, u, pack(np.array([t for t, _ in own]), rising=True),
+                           pack(np.array([x for _, x in own], np.int64).view(np.uint64))) for u, own in entries.items()],
+                         ngram_join.ENTRIES)
+    got, mixed = set(), {}
+    for row in ngram_join.find_routes(2, True)(bucket).to_pylist():
+        assert row["p"] == 9
+        got |= set(zip([row["u"]] * 99, unpack(row["entry"], rising=True).tolist(), unpack(row["target"]).tolist()))
+        mixed[row["u"]] = unpack_bits(row["mixed"]).tolist()
+    assert got == brute_routes(entries, long)
+    labels = {t: {x for own in entries.values() for s, x in own if s == t} for t in range(12)}
+    want = {u: [len(labels[t]) > 1 for t, _ in own] for u, own in entries.items()}
+    assert mixed == {u: bits for u, bits in want.items() if any(bits)}
+
+
+def python_lines(function, *args):
+    """The function's result and the number of lines of Python that it ran."""
+    lines = 0
+
+    def count(frame, event, arg):
+        nonlocal lines
+        lines += event == "line"
+        return count
+
+    sys.settrace(count)
+    try:
+        return function(*args), lines
+    finally:
+        sys.settrace(None)
+
+
+@pytest.mark.parametrize("long", [256, 2])
+def test_the_last_turn_does_not_visit_tokens_or_routes_in_python(monkeypatch, long):
+    """Ten times the tokens and routes take no more lines of Python; ``ship`` sends what counting finds."""
+    monkeypatch.setattr(ngram_join, "LONG", long)
+    rule, ran = ngram_join.Rule(3, 90, 100), []
+    for size in (40, 400):
+        draw = np.random.default_rng(size)
+        base = np.unique(draw.integers(0, 2**63, size).astype(np.uint64) * np.uint64(2))
+        rows = []
+        for i in range(12):
+            # Half of the sets share the base but for a few; the others half of it.
+            common = base[draw.random(len(base)) < (0.97 if i % 2 else 0.5)]
+            own = np.unique(np.concatenate([common, draw.integers(0, 2**63, 2 if i % 2 else size).astype(np.uint64)]))
+            rows.append((i % 4, i, len(own), pack(own[:1], rising=True), pack(own, rising=True), i))
+        units = [arrow_table([r for r in rows if r[0] == u], f"{ngram_join.OPEN}, label long") for u in range(4)]
+        sent = pa.concat_tables([ngram_join.send_entries(4, True)(unit) for unit in units])
+        buckets = [sent.filter(pc.equal(sent.column("p"), p)) for p in range(4)]
+        found = [python_lines(ngram_join.find_routes(2, True), bucket) for bucket in buckets]
+        routes = pa.concat_tables([r for r, _ in found])
+        shipped = [python_lines(ngram_join.ship(rule, 4, True), unit, routes.filter(pc.equal(routes.column("u"), u)))
+                   for u, unit in enumerate(units)]
+        ran.append(sum(n for _, n in found + shipped))
+        got = {(v, label) for r, _ in shipped for v, labels in zip(r.column("v").to_pylist(), r.column("labels").to_pylist())
+               for label in unpack(labels).tolist()}
+        sets = [set((unpack(r[4], rising=True) >> np.uint64(24)).tolist()) for r in rows]
+        held = [set().union(*(s for s, r in zip(sets, rows) if r[0] == u)) for u in range(4)]
+        crowded = {t for t in set().union(*sets) if sum(t in h for h in held) > long}
+        want = set()
+        for (u, i, n, *_), own in zip(rows, sets):
+            least = rule.least(n)
+            for v in range(u + 1, 4):
+                times, many = len((own & held[v]) - crowded), len(own & crowded)
+                if many >= least or (times and times + many >= least):
+                    want.add((v, i))
+        assert got == want and got
+    assert ran[1] < 1.5 * ran[0]

@@ -63,6 +63,8 @@ TURNS = 5
 #: DivideSkip's weight of the long lists' number (a tuning constant; any value is exact).
 SKIP = 0.01
 TOKEN_BITS = 40
+#: Routes expanded at a time.
+PORTION = 1 << 20
 
 SETS = "row_key long, doc_id long, class long, n long, tokens binary"
 SENT = "p int, u int, keys binary, flags binary"
@@ -166,11 +168,22 @@ def whole_sets(rule: Rule) -> Callable:
 def _portions(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with a bounded number of text bytes (or one row)."""
     sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    edges = np.unique(np.concatenate([[0], np.flatnonzero(np.diff(np.cumsum(sizes) // most)) + 1, [len(sizes)]]))
-    for a, b in pairwise(edges):
+    for a, b in portions(sizes, most):
         yield batch.slice(a, b - a)
 
 
+def portions(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of items whose sizes add up to about ``most`` (or of one item)."""
+    edges = np.unique(np.concatenate([[0], np.flatnonzero(np.diff(np.cumsum(sizes) // most)) + 1, [len(sizes)]]))
+    return pairwise(edges.tolist())
+
+
+def expand(first: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(i, x) for each x of the ``number[i]`` integers from ``first[i]`` on."""
+    of = np.repeat(np.arange(len(number)), number)
+    return of, np.arange(len(of)) + np.repeat(first - np.cumsum(number) + number, number)
+
+
 # Tokens that occur in two sets.
 
 def _tokens(unit: pa.Table, whole: bool = False) -> tuple[pa.Table, list[np.ndarray]]:
@@ -356,45 +369,61 @@ def find_routes(turn: int, everywhere: bool) -> Callable:
 
     def find(bucket: pa.Table) -> pa.Table:
         parts = [unpack(k, rising=True) for k in bucket.column("keys").to_pylist()]
-        sizes = [len(k) for k in parts]
+        sizes = np.array([len(k) for k in parts])
         keys = np.concatenate(parts)
         labels = np.concatenate([unpack(x) for x in bucket.column("labels").to_pylist()]).view(np.int64)
         unit = np.repeat(np.array(bucket.column("u").to_pylist()), sizes)
-        entry = np.concatenate([np.arange(s) for s in sizes])
         order = np.lexsort((mix64(unit + 1000003 * (turn + 1)), labels, keys))
-        keys, labels, unit, entry = keys[order], labels[order], unit[order], entry[order]
+        keys, labels, unit = keys[order], labels[order], unit[order]
         new = np.concatenate([[True], keys[1:] != keys[:-1]])
         first = np.flatnonzero(new)
         end = np.append(first[1:], len(keys))
-        mixed = labels[first] != labels[end - 1]
+        token = np.cumsum(new) - 1
+        several = (labels[first] != labels[end - 1])[token]
         if not everywhere:
             # The first entry of a token has its smallest label.
-            of = first[np.cumsum(new) - 1]
+            of = first[token]
             go = np.flatnonzero((labels != labels[of]) & (unit != unit[of]))
             target = unit[of][go]
         else:
-            found = [_later_units(a, b, labels, unit) for a, b in zip(first[mixed], end[mixed])]
-            go, target = np.concatenate(found, axis=1) if found else np.empty((2, 0), np.int64)
-        p = bucket.column("p")[0].as_py()
-        several, rows = mixed[np.cumsum(new) - 1], []
-        for u in np.unique(unit[several]):
-            own, sent = unit == u, go[unit[go] == u]
-            bits = np.zeros(own.sum(), bool)
-            bits[entry[own]] = several[own]
-            rows.append((int(u), p, pack(entry[sent]), pack(target[unit[go] == u]), pack_bits(bits)))
+            open_ = np.flatnonzero(several)
+            go, target = _later_units(token[open_], labels[open_], unit[open_])
+            go = open_[go]
+        # Back to the order in which the units sent their entries.
+        bits = np.empty(len(order), bool)
+        bits[order] = several
+        go = order[go]
+        rising = np.argsort(go, kind="stable")
+        go, target = go[rising], target[rising]
+        start = np.cumsum(sizes) - sizes
+        p, rows = bucket.column("p")[0].as_py(), []
+        for u, a, n, b, e in zip(bucket.column("u").to_pylist(), start, sizes, np.searchsorted(go, start),
+                                 np.searchsorted(go, start + sizes)):
+            if bits[a:a + n].any():
+                rows.append((u, p, pack(go[b:e] - a, rising=True), pack(target[b:e]), pack_bits(bits[a:a + n])))
         return arrow_table(rows, ROUTES)
 
     return find
 
 
-def _later_units(a: int, b: int, labels: np.ndarray, unit: np.ndarray) -> np.ndarray:
-    """(entry, unit) for entries a..b of one token and later units that hold it under another label."""
-    units = np.unique(unit[a:b])
-    if len(units) > LONG:
-        return np.array([np.arange(a, b), np.full(b - a, EVERYWHERE)])
-    span = {v: (labels[a:b][unit[a:b] == v].min(), labels[a:b][unit[a:b] == v].max()) for v in units}
-    pairs = [(i, v) for i in range(a, b) for v in units[units > unit[i]] if span[v] != (labels[i], labels[i])]
-    return np.array(pairs, np.int64).reshape(-1, 2).T
+def _later_units(token: np.ndarray, labels: np.ndarray, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(entry, unit) for entries of tokens and later units that hold the token under another label."""
+    order = np.lexsort((labels, unit, token))
+    token, labels, unit = token[order], labels[order], unit[order]
+    # One place for each unit of a token, with its smallest and largest label.
+    new = np.ones(len(order), bool)
+    new[1:] = (token[1:] != token[:-1]) | (unit[1:] != unit[:-1])
+    first, place = np.flatnonzero(new), np.cumsum(new) - 1
+    at, low, high = unit[first], labels[first], labels[np.append(first[1:], len(order))[: len(first)] - 1]
+    begin, end = (np.searchsorted(token[first], token, side=side) for side in ("left", "right"))
+    long = end - begin > LONG
+    found = [(order[long], np.full(long.sum(), EVERYWHERE))]
+    number = np.where(long, 0, end - place - 1)
+    for a, b in portions(number, PORTION):
+        entry, later = expand(place[a:b] + 1, number[a:b])
+        fits = (low[later] != labels[a:b][entry]) | (high[later] != labels[a:b][entry])
+        found.append((order[a:b][entry[fits]], at[later[fits]]))
+    return tuple(np.concatenate(x) for x in zip(*found))
 
 
 def keep_open(rule: Rule, buckets: int) -> Callable:
@@ -429,25 +458,26 @@ def ship(rule: Rule, buckets: int, whole: bool) -> Callable:
             return arrow_table([], SHIPPED)
         _, _, of_set, unit, slices = _entries(unit, buckets, whole)
         u = unit.column("u")[0].as_py()
-        entry = np.concatenate([unpack(e).astype(np.int64) + slices[p].start for e, p in
+        entry = np.concatenate([unpack(e, rising=True).astype(np.int64) + slices[p].start for e, p in
                                 zip(routes.column("entry").to_pylist(), routes.column("p").to_pylist())])
         target = np.concatenate([unpack(t).astype(np.int64) for t in routes.column("target").to_pylist()])
         order = np.argsort(entry, kind="stable")
-        entry, target = entry[order], target[order]
+        # (EVERYWHERE is counted after all units.)
+        entry, target = entry[order], np.minimum(target[order], buckets)
         low, high = (np.searchsorted(entry, np.arange(slices[-1].stop), side=side) for side in ("left", "right"))
+        n = unit.column("n").to_numpy()
+        least = rule.least(n) if whole else rule.threshold(n)
         goes: dict[int, list[int]] = {}
-        for i, (numbers, n) in enumerate(zip(of_set, unit.column("n").to_pylist())):
-            counts: dict[int, int] = {}
-            for e in numbers:
-                for v in target[low[e]:high[e]].tolist():
-                    counts[v] = counts.get(v, 0) + 1
-            least = rule.least(n) if whole else rule.threshold(n)
-            long = counts.pop(EVERYWHERE, 0)
-            if long >= least:
-                counts = dict.fromkeys(range(u + 1, buckets), least)
-            for v, times in counts.items():
-                if times + long >= least:
-                    goes.setdefault(v, []).append(i)
+        for a, b in portions(np.array([buckets + (high[e] - low[e]).sum() for e in of_set]), PORTION):
+            own = np.concatenate(of_set[a:b])
+            of = np.repeat(np.arange(b - a), [len(e) for e in of_set[a:b]])
+            i, at = expand(low[own], (high - low)[own])
+            times = np.bincount(of[i] * (buckets + 1) + target[at], minlength=(b - a) * (buckets + 1)).reshape(b - a, -1)
+            times, long = times[:, :buckets], times[:, buckets:]
+            enough = least[a:b, None]
+            fits = ((times > 0) & (times + long >= enough)) | ((long >= enough) & (np.arange(buckets) > u))
+            for v, i in zip(*(x.tolist() for x in np.nonzero(fits.T))):
+                goes.setdefault(v, []).append(a + i)
         labels, hashes = unit.column("label").to_pylist(), unit.column("hashes").to_pylist()
         return arrow_table([(v, pack(np.array([labels[i] for i in own], np.int64).view(np.uint64)),
                              pack(np.array([len(hashes[i]) for i in own])), b"".join(hashes[i] for i in own))
